@@ -40,10 +40,12 @@ def _bucket_expr(order_col: str, bounds: Sequence[float]) -> Column:
 
 def dense_positions(df: DataFrame, order_col: str, partition_cols: Sequence[str] = (),
                     pos_col: str = "pos", size_col: str | None = None,
-                    buckets: int | None = None) -> DataFrame:
-    """Add ``pos`` = 0-based rank of ``order_col`` within ``partition_cols``.
+                    buckets: int | None = None, tiebreak: str | None = None) -> DataFrame:
+    """Add ``pos`` = 0-based rank of ``(order_col, tiebreak)`` within ``partition_cols``.
 
-    ``order_col`` must be numeric and unique within a partition group. Done in two steps
+    ``order_col`` must be numeric; with ``tiebreak`` the pair must be unique within a
+    group, without it ``order_col`` must be. Equal ``order_col`` values always share a
+    bucket, so ties are ranked inside one window. Done in two steps
     so no single task sorts a whole group (a class may hold a third of the rows):
     quantile buckets of ``order_col`` split every group; per-(group, bucket) counts are
     prefix-summed on a small table; each row adds its bucket's offset to its row number
@@ -63,7 +65,8 @@ def dense_positions(df: DataFrame, order_col: str, partition_cols: Sequence[str]
         F.sum("_cnt").over(wp).alias("_tot"),
     ).fillna(0, subset=["_off"])
     # offsets has at most (#groups x buckets) rows
-    rn = F.row_number().over(Window.partitionBy(*parts, "_bkt").orderBy(order_col))
+    order = [order_col] + ([tiebreak] if tiebreak else [])
+    rn = F.row_number().over(Window.partitionBy(*parts, "_bkt").orderBy(*order))
     numbered = b.withColumn("_rn", rn)
     # Without groups the offsets table has len(bounds)+1 rows: a proven bound, so it is
     # broadcast. With groups its size grows with the group count; AQE decides at runtime.

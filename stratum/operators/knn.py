@@ -214,11 +214,14 @@ def average_distance(data: DataFrame, group_col: str = "label") -> DataFrame:
                         .alias("_s"))
     d = (base.join(splits, "cell")
          .withColumn("dsub", F.pmod(F.xxhash64("index"), F.col("_s")).cast("int"))
-         .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))))
-    q = (base.select(F.col("index").alias("q_index"), F.col("features").alias("q_features"),
-                     "cell").join(splits, "cell")
-         .withColumn("qsub", F.pmod(F.xxhash64("q_index", F.lit(7)), F.col("_s")).cast("int"))
-         .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))))
+         .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+         .select("cell", "dsub", "qsub", "index", "features"))
+    q = (base.join(splits, "cell")
+         .withColumn("qsub", F.pmod(F.xxhash64("index", F.lit(7)), F.col("_s")).cast("int"))
+         .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+         .select(F.col("cell").alias("cell"), F.col("dsub").alias("dsub"),
+                 F.col("qsub").alias("qsub"), F.col("index").alias("q_index"),
+                 F.col("features").alias("q_features")))
     keys = ["cell", "dsub", "qsub"]
     part = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(run, schema)
     sums = part.groupBy("index").agg(F.sum("s").alias("s"))
