@@ -25,13 +25,15 @@ def class_targets(counts: DataFrame) -> DataFrame:
              F.floor(F.col("max_n") / 2).cast("long").alias("smote_target"))
 
 
-def counts_with_targets(df: DataFrame) -> DataFrame:
-    """``label, n, min_n, max_n`` in one pass: the per-class counts plus the global min/max
-    as window aggregates over the (small, one row per class) count table."""
+def counts_with_targets(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys..., label, n, min_n, max_n``: per-class counts plus min/max over the classes
+    of the same key, as window aggregates over the small count table (one row per key and
+    class)."""
     from pyspark.sql import Window
-    c = class_counts(df)
-    w = Window.partitionBy(F.lit(0))
-    return c.select("label", "n", F.min("n").over(w).alias("min_n"),
+    k = list(keys)
+    c = df.groupBy(*k, "label").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))
+    return c.select(*k, "label", "n", F.min("n").over(w).alias("min_n"),
                     F.max("n").over(w).alias("max_n"))
 
 

@@ -6,7 +6,12 @@ from :func:`dense_positions`, which never sorts a whole class in one task. Draw
 generated in chunks, so a class needing a billion new rows is still spread over many
 tasks.
 
-Output schema of every method (``resampled``)::
+Every method takes ``keys``: extra grouping columns (e.g. fold and grade subset of an
+experiment grid). Each key is resampled on its own - targets, positions and draws per
+key - so a whole grid is one plan, and each cell gets exactly the rows a standalone call
+on that cell would give (the key is not part of the draw hash).
+
+Output schema of every method (``resampled``), after the key columns::
 
     index long (NULL for synthetic rows), label int, minority_type int (-1 synthetic),
     features array<double>, is_synthetic boolean, draw long (NULL for original rows)
@@ -26,9 +31,9 @@ METHODS = ("none", "undersample", "oversample", "smote")
 DRAW_CHUNK = 100_000
 
 
-def _original(df: DataFrame) -> DataFrame:
+def _original(df: DataFrame, keys=()) -> DataFrame:
     mt = F.col("minority_type") if "minority_type" in df.columns else F.lit(-1)
-    return df.select(F.col("index").cast("long"), F.col("label").cast("int"),
+    return df.select(*keys, F.col("index").cast("long"), F.col("label").cast("int"),
                      mt.cast("int").alias("minority_type"), "features",
                      F.lit(False).alias("is_synthetic"), F.lit(None).cast("long").alias("draw"))
 
@@ -51,62 +56,68 @@ def draw_table(need: DataFrame, count_col: str = "m", chunk: int = DRAW_CHUNK) -
 
 # ----------------------------------------------------------------- R1 undersample
 
-def undersample(df: DataFrame, seed: int = 42) -> DataFrame:
+def undersample(df: DataFrame, seed: int = 42, keys=()) -> DataFrame:
     """Every class cut to exactly the smallest class size, keeping the rows with the
     smallest ``md5(seed:index)`` (ties by index). Exact size, seeded."""
-    c = counts_with_targets(df).select("label", "min_n")
+    k = list(keys)
+    c = counts_with_targets(df, k).select(*k, "label", "min_n")
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("index").cast("string"))),
                            1, 8), 16, 10).cast("bigint")
-    ranked = dense_positions(df.withColumn("_h", h), "_h", ["label"], pos_col="_pos",
+    ranked = dense_positions(df.withColumn("_h", h), "_h", [*k, "label"], pos_col="_pos",
                              tiebreak="index")
-    kept = ranked.join(c, "label").where(F.col("_pos") < F.col("min_n"))
-    return _original(kept.drop("_h", "_pos", "min_n"))
+    kept = ranked.join(c, [*k, "label"]).where(F.col("_pos") < F.col("min_n"))
+    return _original(kept.drop("_h", "_pos", "min_n"), k)
 
 
 # ----------------------------------------------------------------- R2 oversample
 
-def oversample(df: DataFrame, seed: int = 42) -> DataFrame:
+def oversample(df: DataFrame, seed: int = 42, keys=()) -> DataFrame:
     """R2: every non-empty class below the largest gets ``max - n`` copies of its own rows,
     copy s taking class position ``md5(seed:label:s) mod n``. Exact size, seeded."""
-    c = counts_with_targets(df)
+    k = list(keys)
+    c = counts_with_targets(df, k)
     need = c.where((F.col("n") > 0) & (F.col("n") < F.col("max_n"))) \
-        .select("label", "n", (F.col("max_n") - F.col("n")).alias("m"))
+        .select(*k, "label", "n", (F.col("max_n") - F.col("n")).alias("m"))
     draws = draw_table(need).withColumn("pos", draw_position(F.col("n"), seed, "label", "s"))
-    numbered = dense_positions(df, "index", ["label"])
-    copies = draws.select("label", "pos", "s").join(numbered, ["label", "pos"])
+    numbered = dense_positions(df, "index", [*k, "label"])
+    copies = draws.select(*k, "label", "pos", "s").join(numbered, [*k, "label", "pos"])
     mt = F.col("minority_type") if "minority_type" in df.columns else F.lit(-1)
-    added = copies.select(F.col("index").cast("long"), F.col("label").cast("int"),
+    added = copies.select(*k, F.col("index").cast("long"), F.col("label").cast("int"),
                           mt.cast("int").alias("minority_type"), "features",
                           F.lit(False).alias("is_synthetic"), F.col("s").alias("draw"))
-    return _original(df).unionByName(added)
+    return _original(df, k).unionByName(added)
 
 
 # ----------------------------------------------------------------- R3/R4 SMOTE (mean form)
 
-def smote_rows(df: DataFrame, seed: int = 42, draws_per_row: int = 5) -> DataFrame:
+def smote_rows(df: DataFrame, seed: int = 42, draws_per_row: int = 5, keys=()) -> DataFrame:
     """R3 synthetic rows only: classes below half the largest class get ``max//2 - n`` new
     rows; row s is the mean of the *distinct* class rows hit by ``draws_per_row`` draws
     ``md5(seed:label:s:j) mod n``."""
-    c = counts_with_targets(df)
+    k = list(keys)
+    c = counts_with_targets(df, k)
     target = F.floor(F.col("max_n") / 2)
-    need = c.where(F.col("n") < target).select("label", "n", (target - F.col("n")).alias("m"))
+    need = c.where(F.col("n") < target).select(*k, "label", "n",
+                                               (target - F.col("n")).alias("m"))
     draws = draw_table(need)
-    dj = draws.select("label", "n", "s",
+    dj = draws.select(*k, "label", "n", "s",
                       F.explode(F.sequence(F.lit(1), F.lit(draws_per_row))).alias("j"))
-    dj = dj.select("label", "s", draw_position(F.col("n"), seed, "label", "s", "j").alias("pos"))
-    numbered = dense_positions(df.select("index", "label", "features"), "index", ["label"])
-    hit = dj.join(numbered, ["label", "pos"])
-    grp = hit.groupBy("label", "s").agg(
+    dj = dj.select(*k, "label", "s",
+                   draw_position(F.col("n"), seed, "label", "s", "j").alias("pos"))
+    numbered = dense_positions(df.select(*k, "index", "label", "features"), "index",
+                               [*k, "label"])
+    hit = dj.join(numbered, [*k, "label", "pos"])
+    grp = hit.groupBy(*k, "label", "s").agg(
         F.array_distinct(F.array_sort(F.collect_list(F.struct("pos", "features")))).alias("_h"))
     mean = mean_of_arrays(F.transform("_h", lambda x: x["features"]))
-    return grp.select(F.lit(None).cast("long").alias("index"), F.col("label").cast("int"),
+    return grp.select(*k, F.lit(None).cast("long").alias("index"), F.col("label").cast("int"),
                       F.lit(-1).alias("minority_type"), mean.alias("features"),
                       F.lit(True).alias("is_synthetic"), F.col("s").cast("long").alias("draw"))
 
 
-def smote(df: DataFrame, seed: int = 42, draws_per_row: int = 5) -> DataFrame:
+def smote(df: DataFrame, seed: int = 42, draws_per_row: int = 5, keys=()) -> DataFrame:
     """Original rows plus :func:`smote_rows`."""
-    return _original(df).unionByName(smote_rows(df, seed, draws_per_row))
+    return _original(df, keys).unionByName(smote_rows(df, seed, draws_per_row, keys))
 
 
 # ----------------------------------------------------------------- R5 SMOTE+ (cluster form)
@@ -157,19 +168,20 @@ def smote_plus(selected: DataFrame, pool: DataFrame, draws_per_row: int,
 
 # ----------------------------------------------------------------- dispatch
 
-def resample(df: DataFrame, method: str, seed: int = 42) -> DataFrame:
-    """One method over all classes; unknown names are rejected."""
+def resample(df: DataFrame, method: str, seed: int = 42, keys=()) -> DataFrame:
+    """One method over all classes (and keys); unknown names are rejected."""
     if method == "none":
-        return _original(df)
+        return _original(df, keys)
     if method == "undersample":
-        return undersample(df, seed)
+        return undersample(df, seed, keys)
     if method == "oversample":
-        return oversample(df, seed)
+        return oversample(df, seed, keys)
     if method == "smote":
-        return smote(df, seed)
+        return smote(df, seed, keys=keys)
     raise ValueError(f"unknown sampling method {method!r}; use one of {METHODS} or smotePlus")
 
 
-def resample_types(minority: DataFrame, types, method: str, seed: int = 42) -> DataFrame:
+def resample_types(minority: DataFrame, types, method: str, seed: int = 42,
+                   keys=()) -> DataFrame:
     """Keep the selected grades, then resample; targets are computed after the filter."""
-    return resample(filter_types(minority, types), method, seed)
+    return resample(filter_types(minority, types), method, seed, keys)

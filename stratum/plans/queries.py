@@ -296,3 +296,161 @@ def smote_filtered_q(spark, sf):
     """R9+F2: grades [1 2 3] kept, then SMOTE; targets computed after the filter."""
     g = _doc_graded(spark, sf)
     return _smote_rows_out(g.where(F.col("minority_type").isin(1, 2, 3)))
+
+
+# ----------------------------------------------------------------- folds, confusion, metrics
+
+from stratum.operators.folds import assign_folds  # noqa: E402
+from stratum.operators.metrics import METRIC_NAMES, class_rates, confusion, metrics  # noqa: E402
+from stratum.operators.model import knn_vote_predict  # noqa: E402
+
+
+def _graded_folds(spark, sf):
+    return assign_folds(_doc_graded(spark, sf), 5)
+
+
+@query("fold_cuts",
+       O.doc_graded_prefix(5) + ", " + O.fold_sql("g") +
+       ' SELECT fold, count(*) AS n, min(idx) AS min_index, max(idx) AS max_index FROM fo'
+       ' GROUP BY fold')
+def fold_cuts(spark, sf):
+    """P2+V1: five contiguous folds by row rank; size, first and last id of each."""
+    f = _graded_folds(spark, sf)
+    return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min("index").alias("min_index"),
+                                 F.max("index").alias("max_index"))
+
+
+@query("fold_sizes",
+       O.doc_graded_prefix(5) + ", " + O.fold_sql("g") +
+       ", fl AS (SELECT CAST(i AS INTEGER) AS f FROM range(5) t(i))"
+       " SELECT fl.f AS fold, fo.label, count(*) FILTER (WHERE fo.fold <> fl.f) AS n_train,"
+       " count(*) FILTER (WHERE fo.fold = fl.f) AS n_test FROM fl CROSS JOIN fo"
+       " GROUP BY fl.f, fo.label")
+def fold_sizes(spark, sf):
+    """V2: per fold and class, train rows (other folds) and test rows (this fold)."""
+    f = _graded_folds(spark, sf)
+    per = f.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("c"))
+    tot = per.groupBy("label").agg(F.sum("c").alias("t"))
+    # every (fold, label) pair: the five fold ids are a literal array, exploded per class
+    grid = tot.select("label", "t", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
+    j = grid.join(per, ["fold", "label"], "left").fillna(0, subset=["c"])
+    return j.select("fold", "label", (F.col("t") - F.col("c")).cast("long").alias("n_train"),
+                    F.col("c").cast("long").alias("n_test"))
+
+
+def _fold_votes(spark, sf):
+    """L2 predictions: every fold's rows predicted by 5-NN vote from the other folds, all
+    folds in one blocked neighbour search keyed by fold."""
+    f = _graded_folds(spark, sf)
+    train = f.withColumn("cell", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)),
+                                                    lambda x: x != F.col("fold"))))
+    test = f.withColumn("cell", F.col("fold"))
+    pred = knn_vote_predict(train.withColumn("draw", F.lit(None).cast("long")), test, 5,
+                            cell_col="cell")
+    return pred.withColumnRenamed("cell", "fold")
+
+
+_CONF = (O.doc_graded_prefix(5) + ", " + O.fold_sql("g") + ", " + O.vote_confusion_sql("fo", 4))
+
+
+@query("confusion", _CONF + " SELECT fold, label, prediction, n FROM conf")
+def confusion_q(spark, sf):
+    """A5 (long form) with the kNN-vote stand-in model over five folds."""
+    return confusion(_fold_votes(spark, sf), ["fold"])
+
+
+@query("class_rates", _CONF + ", " + O.rates_sql() +
+       " SELECT fold, label, tp, fn, fp, tn FROM rates")
+def class_rates_q(spark, sf):
+    """Tp / fn / fp / tn per fold and class."""
+    r = class_rates(confusion(_fold_votes(spark, sf), ["fold"]), ["fold"])
+    return r.drop("has_test")
+
+
+@query("multiclass_metrics", _CONF + ", " + O.rates_sql() + ", " + O.metrics_sql() +
+       f" SELECT fold, {O.round_metrics()}, n_classes_scored FROM met")
+def multiclass_metrics(spark, sf):
+    """The ten metrics per fold."""
+    m = metrics(class_rates(confusion(_fold_votes(spark, sf), ["fold"]), ["fold"]), ["fold"])
+    return m.select("fold", *[F.round(c, 6).alias(c) for c in METRIC_NAMES], "n_classes_scored")
+
+
+# ----------------------------------------------------------------- clusters, SMOTE+
+
+from stratum.operators.aggregates import cluster_histogram  # noqa: E402
+from stratum.operators.subsets import cluster_keep, select_by_clusters, subset_list  # noqa: E402
+
+FIXED_K = 3
+
+
+def _fixed_clusters(spark, sf):
+    g = _doc_graded(spark, sf)
+    return g.withColumn("cluster", F.pmod(F.col("index"), F.lit(FIXED_K)).cast("int"))
+
+
+_CL = O.doc_graded_prefix(5) + f", cl AS (SELECT *, CAST(idx % {FIXED_K} AS INTEGER) AS cluster FROM g)"
+
+
+@query("cluster_histogram", _CL + " SELECT label, cluster, minority_type, count(*) AS n FROM cl"
+       " GROUP BY label, cluster, minority_type")
+def cluster_histogram_q(spark, sf):
+    """Grade histogram per (class, cluster); cluster = index mod 3 (fixed)."""
+    return cluster_histogram(_fixed_clusters(spark, sf))
+
+
+@query("cluster_cutoff", _CL + " SELECT label, cluster, count(*) AS n,"
+       " count(*) FILTER (WHERE minority_type IN (1, 2, 3)) AS n_selected,"
+       " count(*) FILTER (WHERE minority_type IN (1, 2, 3)) >= count(*) * 0.5 AS keep"
+       " FROM cl GROUP BY label, cluster")
+def cluster_cutoff_q(spark, sf):
+    """which clusters survive a 0.5 cutoff for grades [1 2 3]."""
+    return cluster_keep(_fixed_clusters(spark, sf), [1, 2, 3], 0.5)
+
+
+@query("empty_class_report",
+       O.doc_graded_prefix(5) + f", ss AS (SELECT CAST(i AS INTEGER) AS subset_id FROM range(15) t(i)),"
+       " cls AS (SELECT DISTINCT label FROM g)"
+       " SELECT ss.subset_id, cls.label, 'empty_class' AS status FROM ss CROSS JOIN cls"
+       " WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.label = cls.label"
+       " AND ((ss.subset_id >> g.minority_type) & 1) = 0)")
+def empty_class_report(spark, sf):
+    """(subset, class) pairs where the grade filter leaves the class empty."""
+    g = _doc_graded(spark, sf)
+    present = g.groupBy("label").agg(F.collect_set("minority_type").alias("present"))
+    lists = F.array(*[F.array(*[F.lit(t) for t in sub]) for sub in subset_list()])
+    x = present.select("label", "present",
+                       F.explode(F.sequence(F.lit(0), F.lit(14))).alias("subset_id"))
+    x = x.where(F.size(F.array_intersect("present", F.element_at(lists, F.col("subset_id") + 1)))
+                == 0)
+    return x.select("subset_id", "label", F.lit("empty_class").alias("status"))
+
+
+def _smote_plus_sql(k: int) -> str:
+    avgs = ", ".join(f"avg(num.f{i}) AS f{i}" for i in range(4))
+    return (_CL + ", cnt AS (SELECT label, count(*) AS n FROM cl GROUP BY label),"
+            " tg AS (SELECT label, (max(n) OVER ()) // 2 - n AS m FROM cnt),"
+            " sz AS (SELECT label, cluster, count(*) AS size FROM cl GROUP BY label, cluster),"
+            " rk AS (SELECT label, cluster, size, dense_rank() OVER (PARTITION BY label ORDER BY"
+            " cluster) - 1 AS crank, count(*) OVER (PARTITION BY label) AS ncl FROM sz),"
+            " nc AS (SELECT DISTINCT label, ncl FROM rk),"
+            " dr AS (SELECT tg.label, nc.ncl, unnest(generate_series(1, tg.m)) AS s FROM tg"
+            " JOIN nc ON tg.label = nc.label WHERE tg.m > 0),"
+            " pk AS (SELECT dr.label, dr.s, rk.cluster, rk.size FROM dr JOIN rk"
+            f" ON rk.label = dr.label AND rk.crank = {O.draw_sql('dr.ncl', 'dr.label', 'dr.s')}),"
+            f" dj AS (SELECT label, s, cluster, size, unnest(generate_series(1, {k})) AS j FROM pk),"
+            " num AS (SELECT *, row_number() OVER (PARTITION BY label, cluster ORDER BY idx) - 1"
+            " AS pos FROM cl),"
+            f" syn AS (SELECT dj.label, dj.s, {avgs} FROM dj JOIN num ON num.label = dj.label"
+            " AND num.cluster = dj.cluster AND num.pos ="
+            f" {O.draw_sql('dj.size', 'dj.label', 'dj.s', 'dj.j')} GROUP BY dj.label, dj.s)"
+            f" SELECT label, CAST(s AS BIGINT) AS draw, {O.round_cols(4)} FROM syn")
+
+
+@query("smote_plus_fixed", _smote_plus_sql(FIXED_K))
+def smote_plus_fixed(spark, sf):
+    """SMOTE+ synthetic rows with a fixed cluster column (index mod 3): pick a
+    cluster of the class uniformly, average 3 draws with replacement from it."""
+    cl = _fixed_clusters(spark, sf)
+    sel = select_by_clusters(cl, [0, 1, 2, 3], 0.0)
+    syn = R.smote_plus_rows(sel, cl, FIXED_K)
+    return feature_columns(syn, 4, keep=("label", "draw"))
