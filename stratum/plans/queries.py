@@ -454,3 +454,122 @@ def smote_plus_fixed(spark, sf):
     sel = select_by_clusters(cl, [0, 1, 2, 3], 0.0)
     syn = R.smote_plus_rows(sel, cl, FIXED_K)
     return feature_columns(syn, 4, keep=("label", "draw"))
+
+
+# ----------------------------------------------------------------- neighbour search at scale (K4)
+
+@query("knn_cells_full",
+       f"WITH ds AS ({_E}), {O.knn_sql('ds', 64, 5)}"
+       " SELECT idx AS \"index\", n_idx AS n_index, CAST(rn AS INTEGER) AS rn,"
+       " round(d2, 6) AS d2 FROM nn")
+def knn_cells_full(spark, sf):
+    """K4 at full probe (8 k-means cells, all probed): equal to the exact search."""
+    nb = K.knn_cells(D.ds_emb(spark, sf), 5, n_cells=8, nprobe=8)
+    return nb.select("index", "n_index", F.col("rn").cast("int").alias("rn"),
+                     F.round("d2", 6).alias("d2"))
+
+
+@query("knn_cells")
+def knn_cells_q(spark, sf):
+    """K4: 16 k-means cells, 8 probed per query (approximate; rows-only check, recall is
+    tested separately)."""
+    nb = K.knn_cells(D.ds_emb(spark, sf), 5, n_cells=16, nprobe=8)
+    return nb.select("index", "n_index", F.col("rn").cast("int").alias("rn"),
+                     F.round("d2", 6).alias("d2"))
+
+
+# ----------------------------------------------------------------- grid, models, clusters
+
+from stratum.operators.clusters import class_clusters  # noqa: E402
+from stratum.operators.subsets import filter_all_subsets as _fas  # noqa: E402
+from stratum.plans.experiment import run_experiment  # noqa: E402
+
+_GRID_METHODS = ("none", "undersample", "oversample", "smote")
+
+
+@query("grid_counts",
+       O.doc_graded_prefix(5) + ", " + O.fold_sql("g") +
+       ", fl AS (SELECT CAST(i AS INTEGER) AS f FROM range(5) t(i)),"
+       " ss AS (SELECT CAST(i AS INTEGER) AS subset_id FROM range(15) t(i)),"
+       " tr AS (SELECT fl.f AS fold, ss.subset_id, fo.label FROM fl CROSS JOIN ss JOIN fo"
+       " ON fo.fold <> fl.f AND ((ss.subset_id >> fo.minority_type) & 1) = 0),"
+       " c AS (SELECT fold, subset_id, label, count(*) AS n FROM tr GROUP BY fold, subset_id, label),"
+       " t AS (SELECT *, min(n) OVER (PARTITION BY fold, subset_id) AS mn,"
+       " max(n) OVER (PARTITION BY fold, subset_id) AS mx FROM c),"
+       " m AS (SELECT * FROM (VALUES ('none'), ('undersample'), ('oversample'), ('smote')) v(method))"
+       " SELECT fold, subset_id, method, label, CAST(CASE method WHEN 'none' THEN n"
+       " WHEN 'undersample' THEN mn WHEN 'oversample' THEN mx ELSE greatest(n, mx // 2) END"
+       " AS BIGINT) AS n, CAST(CASE method WHEN 'oversample' THEN mx - n WHEN 'smote' THEN"
+       " greatest(mx // 2 - n, 0) ELSE 0 END AS BIGINT) AS n_added FROM t CROSS JOIN m")
+def grid_counts(spark, sf):
+    """Training-set sizes of every (fold, grade subset, method) cell, all
+    resampled in one plan keyed by (fold, subset)."""
+    f = _graded_folds(spark, sf)
+    train = f.withColumn("cell_fold", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)),
+                                                         lambda x: x != F.col("fold"))))
+    train = _fas(train.drop("fold").withColumnRenamed("cell_fold", "fold"))
+    parts = [R.resample(train, m, keys=["fold", "subset_id"]).withColumn("method", F.lit(m))
+             for m in _GRID_METHODS]
+    allr = parts[0]
+    for p in parts[1:]:
+        allr = allr.unionByName(p)
+    return allr.groupBy("fold", "subset_id", "method", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("draw").isNotNull()).alias("n_added"))
+
+
+@query("random_forest_grid")
+def random_forest_grid(spark, sf):
+    """L1+V3+V5+V6: random forest (10 trees, seed 42) for every fold x grade subset with
+    SMOTE; ten metrics per cell (rows-only check: forests depend on the layout)."""
+    return run_experiment(_doc_graded(spark, sf), methods=("smote",))
+
+
+@query("smote_plus_grid")
+def smote_plus_grid(spark, sf):
+    """V4+C1+R5+F5+F6: SMOTE+ with per-class k-means (k=2), cutoff 0, every fold x subset."""
+    return run_experiment(_doc_graded(spark, sf), methods=("smotePlus",), cluster_ks=(2,))
+
+
+@query("smote_plus")
+def smote_plus_q(spark, sf):
+    """C1+R5+R8: per-class k-means (k=5, seed 1), then SMOTE+ synthetic rows."""
+    g = _doc_graded(spark, sf)
+    cl = class_clusters(g, 5)
+    sel = select_by_clusters(cl, [0, 1, 2, 3], 0.0).drop("k_eff")
+    syn = R.smote_plus_rows(sel, cl.select("label", "cluster", "index", "features"), 5)
+    return feature_columns(syn, 4, keep=("label", "draw"))
+
+
+# ----------------------------------------------------------------- sources and sinks
+
+from stratum.sources import files as FS  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+
+@query("csv_round_trip",
+       f"WITH ds AS ({_B}) SELECT idx AS \"index\", label, {O.round_cols(4)} FROM ds")
+def csv_round_trip(spark, sf):
+    """S1+P1+P3: write the raw indexed table as header CSV, read it back with an explicit
+    schema, pick the label by name and rebuild the feature array."""
+    from stratum.operators.prepare import to_indexed
+    raw = feature_columns(D.ds_doc(spark, sf), 4, digits=None, keep=("index", "label"))
+    path = FS.scratch_path(spark, "csv-round-trip")
+    raw.write.mode("overwrite").option("header", True).csv(path)
+    schema = T.StructType([T.StructField("index", T.LongType()),
+                           T.StructField("label", T.IntegerType())]
+                          + [T.StructField(f"f{i}", T.DoubleType()) for i in range(4)])
+    back = FS.read_table(spark, path, schema)
+    idx = to_indexed(back, "label", [f"f{i}" for i in range(4)], index_col="index")
+    return feature_columns(idx, 4, keep=("index", "label"))
+
+
+@query("minority_round_trip",
+       O.doc_graded_prefix(5) + f' SELECT idx AS "index", label, minority_type,'
+       f' {O.round_cols(4)} FROM g')
+def minority_round_trip(spark, sf):
+    """S2+S3+S6+P4: compute the minority table in ``write`` mode (saved as CSV with
+    ``"[a,b,c]"`` feature text), then load it again in ``read`` mode and parse."""
+    path = FS.scratch_path(spark, "minority")
+    FS.load_or_compute(spark, "write", path, lambda: _doc_graded(spark, sf))
+    back = FS.load_or_compute(spark, "read", path, None)
+    return feature_columns(back, 4, keep=("index", "label", "minority_type"))
