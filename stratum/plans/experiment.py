@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
@@ -21,8 +22,8 @@ from stratum.operators.clusters import class_clusters
 from stratum.operators.folds import assign_folds
 from stratum.operators.metrics import METRIC_NAMES, evaluate
 from stratum.operators.model import random_forest_predict
-from stratum.operators.resample import resample_types, smote_plus
-from stratum.operators.subsets import select_by_clusters, subset_list
+from stratum.operators.resample import resample, smote_plus
+from stratum.operators.subsets import filter_all_subsets, select_by_clusters, subset_list
 
 RESULT_SCHEMA = T.StructType(
     [T.StructField("fold", T.IntegerType()), T.StructField("index", T.IntegerType()),
@@ -36,12 +37,15 @@ def _types_text(types: Sequence[int]) -> str:
     return "[" + " ".join(str(t) for t in types) + "]"
 
 
-def _score(train: DataFrame, test: DataFrame, num_trees: int, seed: int) -> dict | None:
-    if train.isEmpty():
-        return None
-    pred = random_forest_predict(train, test, num_trees=num_trees, seed=seed)
-    row = evaluate(pred).first()
-    return row.asDict() if row is not None else None
+def _fit_predict(train: DataFrame, test: DataFrame, cell: int, num_trees: int, seed: int
+                 ) -> DataFrame:
+    """Fit one forest on a persisted training slice; lazy predictions tagged with ``cell``."""
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        pred = random_forest_predict(train, test, num_trees=num_trees, seed=seed)
+    finally:
+        train.unpersist()
+    return pred.select(F.lit(cell).alias("cell"), "label", "prediction")
 
 
 def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "undersample",
@@ -62,6 +66,8 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
     """
     spark = minority.sparkSession
     subsets = [list(s) for s in (subsets or subset_list())]
+    all_subsets = subset_list()
+    subset_ids = [all_subsets.index(sorted(t)) for t in subsets]
     with_folds = assign_folds(minority, num_splits).persist(StorageLevel.MEMORY_AND_DISK)
     out: list[Row] = []
     try:
@@ -70,37 +76,53 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
                 .persist(StorageLevel.MEMORY_AND_DISK)
             test = with_folds.where(F.col("fold") == f).drop("fold") \
                 .persist(StorageLevel.MEMORY_AND_DISK)
-            cells = []  # (method, types, clusters, cutoff, train DataFrame)
+            classes = {r[0] for r in train.select("label").distinct().collect()}
+            cells = []  # (method, types, clusters, cutoff, train slice or None when empty)
+            cached = []
             for method in methods:
                 if method == "smotePlus":
                     for k in cluster_ks:
                         clustered = class_clusters(train, k, seed=cluster_seed) \
                             .persist(StorageLevel.MEMORY_AND_DISK)
+                        cached.append(clustered)
+                        pool = clustered.select("label", "cluster", "index", "features")
                         for types in subsets:
                             for cutoff in cutoffs:
-                                sel = select_by_clusters(clustered, types, cutoff)
-                                pool = clustered.select("label", "cluster", "index", "features")
-                                tr = smote_plus(sel.drop("k_eff"), pool, max(k, 1), seed)
-                                cells.append((method, types, k, float(cutoff), tr, sel))
+                                sel = select_by_clusters(clustered, types, cutoff).drop("k_eff")
+                                # every class of the fold must keep a row
+                                kept = {r[0] for r in sel.select("label").distinct().collect()}
+                                tr = smote_plus(sel, pool, max(k, 1), seed) \
+                                    if kept >= classes and kept else None
+                                cells.append((method, types, k, float(cutoff), tr))
                 else:
-                    for types in subsets:
-                        cells.append((method, types, None, None,
-                                      resample_types(train, types, method, seed), None))
+                    # every requested subset of this fold resampled in one keyed plan
+                    keyed = resample(filter_all_subsets(train)
+                                     .where(F.col("subset_id").isin(subset_ids)),
+                                     method, seed, keys=["subset_id"]) \
+                        .persist(StorageLevel.MEMORY_AND_DISK)
+                    cached.append(keyed)
+                    sizes = {r[0]: r[1] for r in keyed.groupBy("subset_id").count().collect()}
+                    for types, sid in zip(subsets, subset_ids):
+                        tr = keyed.where(F.col("subset_id") == sid).drop("subset_id") \
+                            if sizes.get(sid, 0) > 0 else None
+                        cells.append((method, types, None, None, tr))
 
-            def run(cell):
-                method, types, k, cutoff, tr, sel = cell
-                if sel is not None:
-                    # every class of the fold must keep a row after the filters
-                    n_sel = sel.select("label").distinct().count()
-                    n_all = train.select("label").distinct().count()
-                    if n_sel < n_all:
-                        return None
-                return _score(tr, test, num_trees, seed)
+            def run(i_cell):
+                i, cell = i_cell
+                tr = cell[4]
+                return None if tr is None else _fit_predict(tr, test, i, num_trees, seed)
 
             with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool_ex:
-                scores = list(pool_ex.map(run, cells))
-            for i, (cell, sc) in enumerate(zip(cells, scores)):
-                method, types, k, cutoff, _, _ = cell
+                preds = list(pool_ex.map(run, enumerate(cells)))
+            live = [p for p in preds if p is not None]
+            scores = {}
+            if live:
+                allp = reduce(lambda a, b: a.unionByName(b), live)
+                # one evaluation plan for every cell of the fold: one row per cell comes back
+                scores = {r["cell"]: r.asDict() for r in evaluate(allp, ["cell"]).collect()}
+            for i, cell in enumerate(cells):
+                method, types, k, cutoff, _ = cell
+                sc = scores.get(i)
                 base = dict(fold=int(f), index=i, sampling=method,
                             minority_types=_types_text(types), clusters=k, cutoff=cutoff)
                 if sc is None:
@@ -109,6 +131,8 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
                 else:
                     out.append(Row(**base, **{m: sc[m] for m in METRIC_NAMES},
                                    n_classes_scored=sc["n_classes_scored"], status="ok"))
+            for c in cached:
+                c.unpersist()
             train.unpersist()
             test.unpersist()
     finally:
