@@ -1,0 +1 @@
+"""No streaming operators: the workload is batch-only (no streams, state or watermarks)."""
