@@ -103,7 +103,8 @@ def _block_topk(k: int, exclude_self: bool):
 
 def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_self: bool,
                        block_rows: int = DEFAULT_BLOCK_ROWS, min_split: int = 1,
-                       max_cells: int | None = None) -> DataFrame:
+                       max_cells: int | None = None,
+                       fixed_splits: tuple[int, int] | None = None) -> DataFrame:
     """Top-k neighbours of each query row among the data rows of the cells it probes.
 
     ``query``: ``index, label, features, probes array<int>``;
@@ -111,8 +112,24 @@ def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_sel
     Returns ``index, label, n_index, n_label, d2, rn`` (rn 1..k, by d2 then n_index).
 
     ``max_cells`` is the proven bound on distinct cells (it sizes the broadcast of the split
-    table); when None the split table is left to AQE.
+    table); when None the split table is left to AQE. ``fixed_splits = (data splits, query
+    splits)`` skips the split table (one cell whose sizes the caller counted).
     """
+    keys = ["cell", "dsub", "qsub"]
+    if fixed_splits is not None:
+        sd, sq = fixed_splits
+        d = (data.select("index", "label", "features", "cell")
+             .withColumn("dsub", F.pmod(F.xxhash64("index"), F.lit(sd)).cast("int"))
+             .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.lit(sq - 1)))))
+        q = (query.select(F.col("index").alias("q_index"), F.col("label").alias("q_label"),
+                          F.col("features").alias("q_features"),
+                          F.explode("probes").alias("cell"))
+             .withColumn("qsub", F.pmod(F.xxhash64("q_index", F.lit(7)), F.lit(sq)).cast("int"))
+             .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.lit(sd - 1)))))
+        partial = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(
+            _block_topk(k, exclude_self), NEIGHBOUR_SCHEMA)
+        w = Window.partitionBy("index").orderBy("d2", "n_index")
+        return partial.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     dcnt = data.groupBy("cell").agg(F.count(F.lit(1)).alias("_dn"))
     qcnt = query.select(F.explode("probes").alias("cell")).groupBy("cell") \
         .agg(F.count(F.lit(1)).alias("_qn"))
@@ -136,7 +153,6 @@ def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_sel
          .withColumn("qsub", F.pmod(F.xxhash64("q_index", F.lit(7)), F.col("_sq")).cast("int"))
          .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.col("_sd") - 1)))
          .drop("_sd", "_sq"))
-    keys = ["cell", "dsub", "qsub"]
     partial = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(
         _block_topk(k, exclude_self), NEIGHBOUR_SCHEMA)
     w = Window.partitionBy("index").orderBy("d2", "n_index")
@@ -156,11 +172,19 @@ def knn(data: DataFrame, k: int, query: DataFrame | None = None, *,
     Returns the long neighbour table ``index, label, n_index, n_label, d2, rn``.
     """
     self_join = query is None
-    q = (data if self_join else query).select("index", "label", "features",
-                                              F.array(F.lit(0)).alias("probes"))
+    qdf = data if self_join else query
+    q = qdf.select("index", "label", "features", F.array(F.lit(0)).alias("probes"))
     d = data.select("index", "label", "features", F.lit(0).alias("cell"))
+    # one cell: its split factors come from two counts (scalars), so no split-table join
+    m = _parallel_split(data)
+    nd = data.count()
+    nq = nd if self_join else qdf.count()
+
+    def nsplit(n):
+        return max(1, min(max(math.ceil(n / block_rows), m), n))
+
     return blocked_neighbours(q, d, k, exclude_self=self_join, block_rows=block_rows,
-                              min_split=_parallel_split(data), max_cells=1)
+                              fixed_splits=(nsplit(nd), nsplit(nq)))
 
 
 def nearest_same_class(data: DataFrame, k: int = 1, *,
@@ -287,9 +311,8 @@ def knn_cells(data: DataFrame, k: int, n_cells: int, nprobe: int, query: DataFra
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of exact neighbour pairs found by an approximate search (one row)."""
-    hit = exact.select("index", "n_index").join(approx.select("index", "n_index"),
-                                                ["index", "n_index"], "left_semi")
-    hits = hit.groupBy().agg(F.count(F.lit(1)).alias("hits")).withColumn("_o", F.lit(1))
-    pairs = exact.groupBy().agg(F.count(F.lit(1)).alias("pairs")).withColumn("_o", F.lit(1))
-    return hits.join(pairs, "_o").select(
-        "hits", "pairs", F.try_divide(F.col("hits"), F.col("pairs")).alias("recall"))
+    found = approx.select("index", "n_index", F.lit(True).alias("_hit"))
+    j = exact.select("index", "n_index").join(found, ["index", "n_index"], "left")
+    return j.agg(F.count_if(F.col("_hit").isNotNull()).alias("hits"),
+                 F.count(F.lit(1)).alias("pairs")) \
+        .withColumn("recall", F.try_divide(F.col("hits"), F.col("pairs")))

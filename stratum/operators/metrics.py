@@ -44,16 +44,12 @@ def class_rates(conf: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     cols = conf.groupBy(*k, F.col("prediction").alias("label")).agg(F.sum("n").alias("col_n"))
     tp = conf.where(F.col("label") == F.col("prediction")) \
         .groupBy(*k, "label").agg(F.sum("n").alias("tp"))
-    tot = conf.groupBy(*k).agg(F.sum("n").alias("total"))
+    from pyspark.sql import Window
     j = rows.join(cols, [*k, "label"], "full").join(tp, [*k, "label"], "left")
-    # the total is joined on the keys; without keys it is a one-row table, attached by a
-    # constant key so no cross join is planned
-    if k:
-        j = j.join(tot, k, "inner")
-    else:
-        j = j.withColumn("_one", F.lit(1)).join(tot.withColumn("_one", F.lit(1)), "_one") \
-            .drop("_one")
     j = j.fillna(0, subset=["row_n", "col_n", "tp"])
+    # total per key as a window over the small per-class table (no one-row join)
+    wk = Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))
+    j = j.withColumn("total", F.sum("row_n").over(wk))
     return j.select(*k, "label",
                     F.col("tp").cast("long").alias("tp"),
                     (F.col("row_n") - F.col("tp")).cast("long").alias("fn"),
