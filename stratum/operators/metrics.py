@@ -40,13 +40,18 @@ def confusion_wide(conf: DataFrame, labels: Sequence[int]) -> DataFrame:
 def class_rates(conf: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``keys..., label, tp, fn, fp, tn, has_test`` per class."""
     k = list(keys)
-    rows = conf.groupBy(*k, "label").agg(F.sum("n").alias("row_n"))
-    cols = conf.groupBy(*k, F.col("prediction").alias("label")).agg(F.sum("n").alias("col_n"))
-    tp = conf.where(F.col("label") == F.col("prediction")) \
-        .groupBy(*k, "label").agg(F.sum("n").alias("tp"))
     from pyspark.sql import Window
-    j = rows.join(cols, [*k, "label"], "full").join(tp, [*k, "label"], "left")
-    j = j.fillna(0, subset=["row_n", "col_n", "tp"])
+    # one pass over the confusion table: every cell adds to its actual class's row sum (and
+    # tp on the diagonal) and to its predicted class's column sum
+    side = F.explode(F.array(
+        F.struct(F.col("label").alias("c"), F.col("n").alias("r"), F.lit(0).cast("long").alias("k"),
+                 F.when(F.col("label") == F.col("prediction"), F.col("n"))
+                 .otherwise(F.lit(0)).cast("long").alias("t")),
+        F.struct(F.col("prediction").alias("c"), F.lit(0).cast("long").alias("r"),
+                 F.col("n").alias("k"), F.lit(0).cast("long").alias("t"))))
+    x = conf.select(*k, side.alias("_s")).select(*k, "_s.*")
+    j = x.groupBy(*k, F.col("c").alias("label")).agg(
+        F.sum("r").alias("row_n"), F.sum("k").alias("col_n"), F.sum("t").alias("tp"))
     # total per key as a window over the small per-class table (no one-row join)
     wk = Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))
     j = j.withColumn("total", F.sum("row_n").over(wk))

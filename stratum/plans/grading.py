@@ -17,6 +17,12 @@ def scaled_points(points: DataFrame, persist: bool = True) -> DataFrame:
     return min_max_scale(points, ranges=feature_ranges(points))
 
 
-def graded(points: DataFrame, k: int = 5, neighbours: DataFrame | None = None) -> DataFrame:
-    """Scaled + graded minority table ``index, label, minority_type, features``."""
-    return minority_types(scaled_points(points), k, neighbours)
+def graded(points: DataFrame, k: int = 5, neighbours: DataFrame | None = None,
+           persist: bool = True) -> DataFrame:
+    """Scaled + graded minority table ``index, label, minority_type, features``.
+
+    Persisted (memory and disk) by default: folds, grids and resampling read it many times
+    and each read would otherwise repeat the neighbour search. Call ``unpersist()`` when done.
+    """
+    g = minority_types(scaled_points(points), k, neighbours)
+    return g.persist(StorageLevel.MEMORY_AND_DISK) if persist else g
