@@ -54,6 +54,21 @@ def euclidean(a: Column | str, b: Column | str) -> Column:
 
 # ----------------------------------------------------------------- block kernel
 
+def _kernel_partitions(df: DataFrame, groups: int | None = None) -> int:
+    """Partitions for a CPU-heavy cogroup stage: enough for every core, never more than the
+    number of block groups when that is known. Fixed by an explicit repartition so AQE does
+    not coalesce a small-but-expensive stage into one task."""
+    sess = df.sparkSession
+    n = max(sess.sparkContext.defaultParallelism,
+            int(sess.conf.get("spark.sql.shuffle.partitions", "8")))
+    return max(1, min(n, groups)) if groups else n
+
+
+def _cogroup(q: DataFrame, d: DataFrame, keys, fn, schema, parts: int) -> DataFrame:
+    q = q.repartition(parts, *keys)
+    d = d.repartition(parts, *keys)
+    return q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(fn, schema)
+
 def _block_topk(k: int, exclude_self: bool):
     """Pandas cogroup function: partial top-k of one query block against one data block."""
 
@@ -126,8 +141,8 @@ def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_sel
                           F.explode("probes").alias("cell"))
              .withColumn("qsub", F.pmod(F.xxhash64("q_index", F.lit(7)), F.lit(sq)).cast("int"))
              .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.lit(sd - 1)))))
-        partial = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(
-            _block_topk(k, exclude_self), NEIGHBOUR_SCHEMA)
+        partial = _cogroup(q, d, keys, _block_topk(k, exclude_self), NEIGHBOUR_SCHEMA,
+                           _kernel_partitions(data, sd * sq))
         w = Window.partitionBy("index").orderBy("d2", "n_index")
         return partial.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     dcnt = data.groupBy("cell").agg(F.count(F.lit(1)).alias("_dn"))
@@ -153,8 +168,8 @@ def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_sel
          .withColumn("qsub", F.pmod(F.xxhash64("q_index", F.lit(7)), F.col("_sq")).cast("int"))
          .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.col("_sd") - 1)))
          .drop("_sd", "_sq"))
-    partial = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(
-        _block_topk(k, exclude_self), NEIGHBOUR_SCHEMA)
+    partial = _cogroup(q, d, keys, _block_topk(k, exclude_self), NEIGHBOUR_SCHEMA,
+                       _kernel_partitions(data))
     w = Window.partitionBy("index").orderBy("d2", "n_index")
     return partial.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
@@ -165,11 +180,14 @@ def _parallel_split(df: DataFrame) -> int:
 
 
 def knn(data: DataFrame, k: int, query: DataFrame | None = None, *,
-        block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+        block_rows: int = DEFAULT_BLOCK_ROWS, n_rows: int | None = None,
+        n_query_rows: int | None = None) -> DataFrame:
     """K3: exact k nearest neighbours (squared Euclidean, ties by id).
 
     Without ``query`` every data row is a query and is excluded from its own neighbours.
     Returns the long neighbour table ``index, label, n_index, n_label, d2, rn``.
+    ``n_rows`` / ``n_query_rows``: row counts when the caller already has them (they only
+    size the blocks); otherwise they are counted.
     """
     self_join = query is None
     qdf = data if self_join else query
@@ -177,8 +195,8 @@ def knn(data: DataFrame, k: int, query: DataFrame | None = None, *,
     d = data.select("index", "label", "features", F.lit(0).alias("cell"))
     # one cell: its split factors come from two counts (scalars), so no split-table join
     m = _parallel_split(data)
-    nd = data.count()
-    nq = nd if self_join else qdf.count()
+    nd = n_rows if n_rows is not None else data.count()
+    nq = nd if self_join else (n_query_rows if n_query_rows is not None else qdf.count())
 
     def nsplit(n):
         return max(1, min(max(math.ceil(n / block_rows), m), n))
@@ -247,7 +265,7 @@ def average_distance(data: DataFrame, group_col: str = "label") -> DataFrame:
                  F.col("qsub").alias("qsub"), F.col("index").alias("q_index"),
                  F.col("features").alias("q_features")))
     keys = ["cell", "dsub", "qsub"]
-    part = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(run, schema)
+    part = _cogroup(q, d, keys, run, schema, _kernel_partitions(data))
     sums = part.groupBy("index").agg(F.sum("s").alias("s"))
     sizes = base.select("index", "label", "cell").join(cnt, "cell")
     return sizes.join(sums, "index").select(

@@ -66,18 +66,23 @@ def to_vector(df: DataFrame, col: str = "features", out: str | None = None) -> D
     return df.withColumn(out or col, array_to_vector(F.col(col)))
 
 
-def feature_ranges(df: DataFrame, col: str = "features") -> tuple[list[float], list[float]]:
+def feature_ranges(df: DataFrame, col: str = "features", with_count: bool = False):
     """Per-position min and max of an array column in one pass.
 
     ``posexplode`` feeds a hash aggregate keyed by position; the partial aggregate runs
     map-side, so only (#partitions x #features) rows are shuffled. The result has one row
     per feature position, bounded by the feature width, and is the only thing collected.
+    With ``with_count`` the row count (values at position 0) is returned as well.
     """
     rows = (df.select(F.posexplode(col).alias("p", "v"))
-            .groupBy("p").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
+            .groupBy("p").agg(F.min("v").alias("mn"), F.max("v").alias("mx"),
+                              F.count(F.lit(1)).alias("n"))
             .collect())
     rows = sorted(rows, key=lambda r: r["p"])
-    return [r["mn"] for r in rows], [r["mx"] for r in rows]
+    out = ([r["mn"] for r in rows], [r["mx"] for r in rows])
+    if with_count:
+        return out + ((rows[0]["n"] if rows else 0),)
+    return out
 
 
 def min_max_scale(df: DataFrame, col: str = "features",

@@ -24,6 +24,7 @@ from stratum.operators.metrics import METRIC_NAMES, evaluate
 from stratum.operators.model import random_forest_predict
 from stratum.operators.resample import resample, smote_plus
 from stratum.operators.subsets import filter_all_subsets, select_by_clusters, subset_list
+from stratum.session import reliable_checkpoint
 
 RESULT_SCHEMA = T.StructType(
     [T.StructField("fold", T.IntegerType()), T.StructField("index", T.IntegerType()),
@@ -68,7 +69,8 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
     subsets = [list(s) for s in (subsets or subset_list())]
     all_subsets = subset_list()
     subset_ids = [all_subsets.index(sorted(t)) for t in subsets]
-    with_folds = assign_folds(minority, num_splits).persist(StorageLevel.MEMORY_AND_DISK)
+    # lineage cut once: every fold, cell and model fit starts from this written table
+    with_folds = reliable_checkpoint(assign_folds(minority, num_splits))
     out: list[Row] = []
     try:
         for f in (folds if folds is not None else range(num_splits)):
@@ -82,9 +84,8 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
             for method in methods:
                 if method == "smotePlus":
                     for k in cluster_ks:
-                        clustered = class_clusters(train, k, seed=cluster_seed) \
-                            .persist(StorageLevel.MEMORY_AND_DISK)
-                        cached.append(clustered)
+                        clustered = reliable_checkpoint(
+                            class_clusters(train, k, seed=cluster_seed))
                         pool = clustered.select("label", "cluster", "index", "features")
                         for types in subsets:
                             for cutoff in cutoffs:
@@ -136,7 +137,7 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
             train.unpersist()
             test.unpersist()
     finally:
-        with_folds.unpersist()
+        pass
     # one row per experiment cell: tiny, built from the collected metrics rows
     return spark.createDataFrame([tuple(r[c] for c in RESULT_SCHEMA.fieldNames()) for r in out],
                                  RESULT_SCHEMA)

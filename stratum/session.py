@@ -58,7 +58,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    Survives executor loss (unlike cache or localCheckpoint).
+    Survives executor loss (unlike cache or localCheckpoint), and later plans built on it
+    start from a plain scan instead of re-analysing the whole upstream lineage. The input
+    is persisted while the checkpoint is written so it is computed only once.
     """
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
