@@ -141,3 +141,53 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
     # one row per experiment cell: tiny, built from the collected metrics rows
     return spark.createDataFrame([tuple(r[c] for c in RESULT_SCHEMA.fieldNames()) for r in out],
                                  RESULT_SCHEMA)
+
+
+def vote_grid_metrics(minority: DataFrame, methods: Sequence[str] = ("none", "undersample",
+                                                                     "oversample", "smote"),
+                      k: int = 5, num_splits: int = 5, seed: int = 42) -> DataFrame:
+    """V3+V5+V6 with the kNN-vote stand-in model (L2): the ten metrics of every
+    (fold, grade subset, method) cell in one plan.
+
+    Training rows are expanded per fold they train (all folds but their own) and per grade
+    subset that keeps their grade, resampled with the grid keys, then every test row is
+    matched only against the training rows of its cells by the blocked neighbour kernel
+    (the cell id is the kernel's cell). Returns ``fold, index, sampling, minority_types,
+    subset_id`` + metrics + ``n_classes_scored``; ``index`` numbers the cells of a fold in
+    method-then-subset order (V6).
+    """
+    from stratum.functions.exprs import subset_text
+    from stratum.operators.model import knn_vote_predict
+    from stratum.operators.subsets import subsets_table
+    spark = minority.sparkSession
+    f = assign_folds(minority, num_splits)
+    folds_arr = F.sequence(F.lit(0), F.lit(num_splits - 1))
+    train = f.withColumn("_tf", F.explode(F.filter(folds_arr, lambda x: x != F.col("fold")))) \
+        .drop("fold").withColumnRenamed("_tf", "fold")
+    train = filter_all_subsets(train)
+    parts = [resample(train, m, seed, keys=["fold", "subset_id"]).withColumn("method_id", F.lit(i))
+             for i, m in enumerate(methods)]
+    rs = reduce(lambda a, b: a.unionByName(b), parts)
+    cell = F.col("fold") * 1000 + F.col("subset_id") * 10 + F.col("method_id")
+    rs = rs.withColumn("cell", cell.cast("int"))
+    n_m = len(methods)
+    # every test row takes part in each (subset, method) cell of its own fold
+    cells_of_fold = F.transform(F.sequence(F.lit(0), F.lit(15 * n_m - 1)),
+                                lambda c: (F.col("fold") * 1000 + F.floor(c / n_m) * 10
+                                           + F.pmod(c, F.lit(n_m))).cast("int"))
+    test = f.withColumn("cell", F.explode(cells_of_fold))
+    pred = knn_vote_predict(rs, test, k, cell_col="cell")
+    met = evaluate(pred, ["cell"])
+    names = F.array(*[F.lit(m) for m in methods])
+    sub = subsets_table(spark).select("subset_id", "subset")
+    out = met.select(
+        (F.floor(F.col("cell") / 1000)).cast("int").alias("fold"),
+        (F.pmod(F.floor(F.col("cell") / 10), F.lit(100))).cast("int").alias("subset_id"),
+        F.pmod(F.col("cell"), F.lit(10)).cast("int").alias("method_id"),
+        *METRIC_NAMES, "n_classes_scored")
+    out = out.join(F.broadcast(sub), "subset_id")  # 15 rows
+    return out.select(
+        "fold", (F.col("method_id") * 15 + F.col("subset_id")).cast("int").alias("index"),
+        F.element_at(names, F.col("method_id") + 1).alias("sampling"),
+        F.col("subset").alias("minority_types"), "subset_id",
+        *[F.round(m, 6).alias(m) for m in METRIC_NAMES], "n_classes_scored")

@@ -577,3 +577,79 @@ def minority_round_trip(spark, sf):
     FS.load_or_compute(spark, "write", path, lambda: _doc_graded(spark, sf))
     back = FS.load_or_compute(spark, "read", path, None)
     return feature_columns(back, 4, keep=("index", "label", "minority_type"))
+
+
+# ----------------------------------------------------------------- grid metrics (V3, V5, V6)
+
+from stratum.plans.experiment import vote_grid_metrics  # noqa: E402
+
+
+def _vote_grid_sql() -> str:
+    f = O.fcols(4)
+    nf = O.fcols(4, "num.")
+    avgs = ", ".join(f"avg(num.f{i}) AS f{i}" for i in range(4))
+    hv = (f"CAST(('0x' || substr(md5('{O.SEED}' || ':' || CAST(idx AS VARCHAR)), 1, 8))"
+          " AS BIGINT)")
+    methods = "('none', 0), ('undersample', 1), ('oversample', 2), ('smote', 3)"
+    return (O.doc_graded_prefix(5) + ", " + O.fold_sql("g") +
+            ", fl AS (SELECT CAST(i AS INTEGER) AS f FROM range(5) t(i)),"
+            f" ss AS (SELECT CAST(i AS INTEGER) AS subset_id, {_SUBSET_TEXT} AS subset"
+            " FROM range(15) t(i)),"
+            f" tr AS (SELECT fl.f AS fold, ss.subset_id, fo.idx, fo.label, {O.fcols(4, 'fo.')}"
+            " FROM fl CROSS JOIN ss JOIN fo ON fo.fold <> fl.f"
+            " AND ((ss.subset_id >> fo.minority_type) & 1) = 0),"
+            " c AS (SELECT fold, subset_id, label, count(*) AS n FROM tr"
+            " GROUP BY fold, subset_id, label),"
+            " t AS (SELECT *, min(n) OVER (PARTITION BY fold, subset_id) AS mn,"
+            " max(n) OVER (PARTITION BY fold, subset_id) AS mx FROM c),"
+            f" num AS (SELECT *, row_number() OVER (PARTITION BY fold, subset_id, label ORDER BY idx)"
+            f" - 1 AS pos, row_number() OVER (PARTITION BY fold, subset_id, label ORDER BY {hv}, idx)"
+            " AS urn FROM tr),"
+            f" r_none AS (SELECT 0 AS mid, fold, subset_id, idx, label, {f} FROM tr),"
+            f" r_under AS (SELECT 1 AS mid, num.fold, num.subset_id, num.idx, num.label, {nf}"
+            " FROM num JOIN t ON num.fold = t.fold AND num.subset_id = t.subset_id"
+            " AND num.label = t.label WHERE num.urn <= t.mn),"
+            " odr AS (SELECT fold, subset_id, label, n, unnest(generate_series(1, mx - n)) AS s"
+            " FROM t WHERE mx - n > 0 AND n > 0),"
+            f" r_over AS (SELECT 2 AS mid, fold, subset_id, idx, label, {f} FROM tr UNION ALL"
+            f" SELECT 2, odr.fold, odr.subset_id, num.idx, num.label, {nf} FROM odr JOIN num"
+            " ON num.fold = odr.fold AND num.subset_id = odr.subset_id AND num.label = odr.label"
+            f" AND num.pos = {O.draw_sql('odr.n', 'odr.label', 'odr.s')}),"
+            " sdr AS (SELECT fold, subset_id, label, n, unnest(generate_series(1, mx // 2 - n)) AS s"
+            " FROM t WHERE mx // 2 - n > 0),"
+            " sdj AS (SELECT DISTINCT fold, subset_id, label, s,"
+            f" {O.draw_sql('n', 'label', 's', 'j')} AS pos FROM (SELECT *,"
+            " unnest(generate_series(1, 5)) AS j FROM sdr)),"
+            f" syn AS (SELECT sdj.fold, sdj.subset_id, sdj.label, sdj.s, {avgs} FROM sdj JOIN num"
+            " ON num.fold = sdj.fold AND num.subset_id = sdj.subset_id AND num.label = sdj.label"
+            " AND num.pos = sdj.pos GROUP BY sdj.fold, sdj.subset_id, sdj.label, sdj.s),"
+            f" r_smote AS (SELECT 3 AS mid, fold, subset_id, idx, label, {f} FROM tr UNION ALL"
+            " SELECT 3, fold, subset_id, -(CAST(label AS BIGINT) * 1000000000000 + s), label,"
+            f" {f} FROM syn),"
+            " rsm AS (SELECT * FROM r_none UNION ALL SELECT * FROM r_under UNION ALL"
+            " SELECT * FROM r_over UNION ALL SELECT * FROM r_smote),"
+            " pr AS (SELECT r.mid, r.fold, r.subset_id, q.idx, q.label, r.idx AS n_idx,"
+            " r.label AS n_label, row_number() OVER (PARTITION BY r.mid, r.fold, r.subset_id, q.idx"
+            f" ORDER BY {O.d2_sql(4, 'q', 'r')}, r.idx) AS rn FROM fo q JOIN rsm r"
+            " ON r.fold = q.fold QUALIFY rn <= 5),"
+            " votes AS (SELECT mid, fold, subset_id, idx, label, n_label, count(*) AS v FROM pr"
+            " GROUP BY mid, fold, subset_id, idx, label, n_label),"
+            " pred AS (SELECT mid, fold, subset_id, idx, label, n_label AS prediction,"
+            " row_number() OVER (PARTITION BY mid, fold, subset_id, idx ORDER BY v DESC, n_label)"
+            " AS r FROM votes QUALIFY r = 1),"
+            " conf AS (SELECT mid, fold, subset_id, label, prediction, count(*) AS n FROM pred"
+            " GROUP BY mid, fold, subset_id, label, prediction), "
+            + O.rates_sql("conf", "mid, fold, subset_id") + ", "
+            + O.metrics_sql("rates", "mid, fold, subset_id") +
+            f", mn AS (SELECT * FROM (VALUES {methods}) v(name, id))"
+            " SELECT met.fold, CAST(met.mid * 15 + met.subset_id AS INTEGER) AS \"index\","
+            " mn.name AS sampling, ss.subset AS minority_types, met.subset_id,"
+            f" {O.round_metrics('met.')}, met.n_classes_scored FROM met"
+            " JOIN mn ON mn.id = met.mid JOIN ss ON ss.subset_id = met.subset_id")
+
+
+@query("subset_grid_metrics", _vote_grid_sql())
+def subset_grid_metrics(spark, sf):
+    """V3+V5+V6+R6+R7+L2: ten metrics for every fold x grade subset x method
+    (none, undersample, oversample, smote) with the kNN-vote stand-in, one plan."""
+    return vote_grid_metrics(_doc_graded(spark, sf))
