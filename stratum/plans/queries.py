@@ -653,3 +653,53 @@ def subset_grid_metrics(spark, sf):
     """V3+V5+V6+R6+R7+L2: ten metrics for every fold x grade subset x method
     (none, undersample, oversample, smote) with the kNN-vote stand-in, one plan."""
     return vote_grid_metrics(_doc_graded(spark, sf))
+
+
+# ----------------------------------------------------------------- M2, M4, S4
+
+from stratum.functions.exprs import grade_name_expr  # noqa: E402
+from stratum.operators.prepare import to_indexed  # noqa: E402
+
+
+@query("type_report_names",
+       O.doc_graded_prefix(5) + " SELECT label, minority_type, CASE minority_type WHEN 0 THEN"
+       " 'safe' WHEN 1 THEN 'borderline' WHEN 2 THEN 'rare' WHEN 3 THEN 'outlier' END AS grade,"
+       " count(*) AS n FROM g GROUP BY label, minority_type")
+def type_report_names(spark, sf):
+    """M2+M8: rows per (class, grade) with the grade's name."""
+    r = G.type_report(_doc_graded(spark, sf))
+    return r.select("label", "minority_type", grade_name_expr("minority_type").alias("grade"), "n")
+
+
+_RAW_SQL = (
+    "WITH seg AS (SELECT c_mktsegment AS v, count(*) AS cnt FROM customer GROUP BY c_mktsegment),"
+    " segi AS (SELECT v, CAST(row_number() OVER (ORDER BY cnt DESC, v) - 1 AS INTEGER) AS label"
+    " FROM seg),"
+    " ds AS (SELECT CAST(c.c_custkey AS BIGINT) AS idx, segi.label,"
+    " CAST(c.c_acctbal AS DOUBLE) AS f0, CAST(c.c_nationkey AS DOUBLE) AS f1"
+    " FROM customer c JOIN segi ON c.c_mktsegment = segi.v), "
+    + O.scaled_sql("ds", 2) + ", " + O.knn_sql("sc", 2, 5) + ", " + O.graded_sql("sc", "nn", 5)
+    + ' SELECT idx AS "index", label, minority_type FROM g')
+
+
+@query("minority_types_raw", _RAW_SQL)
+def minority_types_raw(spark, sf):
+    """M4+P7+P3: exact typing of a raw table - customers keyed by ``c_custkey``, label the
+    frequency-ranked market segment, features account balance and nation key."""
+    cust = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal",
+                                               "c_nationkey")
+    labelled = string_index(cust, ["c_mktsegment"])
+    idx = to_indexed(labelled, "c_mktsegment_idx", ["c_acctbal", "c_nationkey"],
+                     index_col="c_custkey")
+    return graded(idx, 5).select("index", "label", "minority_type")
+
+
+@query("results_round_trip", _vote_grid_sql())
+def results_round_trip(spark, sf):
+    """S4+V5: the experiment result table written per fold (header CSV, one folder per fold)
+    and read back with its schema."""
+    res = vote_grid_metrics(_doc_graded(spark, sf))
+    path = FS.scratch_path(spark, "results")
+    FS.write_results(res, path)
+    back = spark.read.option("header", True).schema(res.schema).csv(path)
+    return back.select(*res.columns)
