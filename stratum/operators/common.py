@@ -76,3 +76,28 @@ def dense_positions(df: DataFrame, order_col: str, partition_cols: Sequence[str]
     if size_col:
         out = out.withColumn(size_col, F.col("_tot").cast("long"))
     return out.drop("_bkt", "_rn", "_off", "_tot", "_cnt")
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
+    """0-based position of every row in the total order ``order`` (rows must be distinct in
+    it), computed without a single-task window.
+
+    Rows are range-partitioned and sorted by ``order``; ``monotonically_increasing_id`` then
+    encodes (partition, position in partition). The table is checkpointed so partition ids
+    stay fixed, per-partition counts (one row per partition, a proven bound) are
+    prefix-summed and broadcast back.
+    """
+    from stratum.session import reliable_checkpoint
+    parts = default_buckets(df)
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order) \
+        .withColumn("_mid", F.monotonically_increasing_id())
+    ranged = reliable_checkpoint(ranged)
+    mask = (1 << 33) - 1
+    ranged = ranged.withColumn("_pid", F.shiftright(F.col("_mid"), 33)) \
+        .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(mask)))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    out = ranged.join(F.broadcast(offsets), "_pid")
+    return out.withColumn(rank_col, (F.col("_off") + F.col("_loc")).cast("long")) \
+        .drop("_mid", "_pid", "_loc", "_off")

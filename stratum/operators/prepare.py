@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.operators.common import dense_positions
+from stratum.operators.common import dense_positions, global_rank
 
 
 def _checked(c: Column, what: str) -> Column:
@@ -110,9 +110,8 @@ def string_index(df: DataFrame, cols: Sequence[str], suffix: str = "_idx",
     """Replace string columns by their frequency-ranked index (StringIndexer order:
     most frequent first, ties alphabetical), named ``<col>_idx``.
 
-    The dictionary is built from the distinct values of each column on executors; the
-    category domain is ordered in one window (it is bounded by the number of distinct
-    categories, not by the row count).
+    The dictionary is built from the distinct values of each column on executors and
+    ranked with :func:`global_rank` (no single-task sort of the category domain).
     """
     out = df
     for c in cols:
@@ -128,15 +127,15 @@ def dictionary(df: DataFrame, col: str) -> DataFrame:
     """``(label int, value string)`` table, one row per distinct value, StringIndexer order."""
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("_n")) \
         .where(F.col("value").isNotNull())
-    w = Window.orderBy(F.desc("_n"), F.asc("value"))
-    return counts.select((F.row_number().over(w) - 1).cast("int").alias("label"), "value")
+    ranked = global_rank(counts, [F.desc("_n"), F.asc("value")], "_r")
+    return ranked.select(F.col("_r").cast("int").alias("label"), "value")
 
 
 def alphabetical_dictionary(df: DataFrame, col: str) -> DataFrame:
     """Dense rank of the distinct values of ``col`` in ascending order, 0-based."""
     vals = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    w = Window.orderBy("value")
-    return vals.select((F.dense_rank().over(w) - 1).cast("int").alias("label"), "value")
+    ranked = global_rank(vals, [F.asc("value")], "_r")
+    return ranked.select(F.col("_r").cast("int").alias("label"), "value")
 
 
 def label_names(df: DataFrame, dictionary_df: DataFrame, label_col: str = "label",

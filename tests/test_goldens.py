@@ -117,3 +117,16 @@ def test_metrics_golden(spark):
                 Precu=0.84, FbM=0.702904, Fbu=0.84, AvFb=0.702139, CBA=0.691919)
     for k, v in want.items():
         assert got[k] == pytest.approx(v, abs=1e-6), k
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_dictionary_rank_matches_sort(spark, parts):
+    from stratum.operators.prepare import dictionary
+    vals = [f"v{i % 37:02d}" for i in range(500)] + [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(v,) for v in vals], "c string").repartition(parts)
+    got = {r["value"]: r["label"] for r in dictionary(df, "c").collect()}
+    counts = {}
+    for v in vals:
+        counts[v] = counts.get(v, 0) + 1
+    want = {v: i for i, v in enumerate(sorted(counts, key=lambda v: (-counts[v], v)))}
+    assert got == want
