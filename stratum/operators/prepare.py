@@ -19,9 +19,12 @@ def with_row_index(df: DataFrame, index_col: str = "index") -> DataFrame:
     """Dense 0-based row index in scan order (the zipWithIndex of the reference).
 
     ``monotonically_increasing_id`` follows scan order but has gaps; ranking it with
-    :func:`dense_positions` closes them without sorting everything in one task.
+    :func:`dense_positions` closes them without sorting everything in one task. The ids are
+    written with a reliable checkpoint first, so a recomputed task (lost executor) cannot
+    renumber rows.
     """
-    tmp = df.withColumn("_mid", F.monotonically_increasing_id())
+    from stratum.session import reliable_checkpoint
+    tmp = reliable_checkpoint(df.withColumn("_mid", F.monotonically_increasing_id()))
     return dense_positions(tmp, "_mid", pos_col=index_col).drop("_mid")
 
 
