@@ -55,17 +55,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
+def reliable_checkpoint(df: DataFrame, cache: bool = True) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
     Survives executor loss (unlike cache or localCheckpoint), and later plans built on it
     start from a plain scan instead of re-analysing the whole upstream lineage. The input
-    is persisted while the checkpoint is written so it is computed only once.
+    is persisted while the checkpoint is written so it is computed only once. With
+    ``cache`` the checkpointed result is also kept in memory for repeated readers; a lost
+    cached block is rebuilt from the checkpoint files, not from the old lineage.
     """
     from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return df.checkpoint(eager=True)
+        cp = df.checkpoint(eager=True)
     finally:
         df.unpersist()
+    return cp.persist(StorageLevel.MEMORY_AND_DISK) if cache else cp
