@@ -225,7 +225,8 @@ def nearest_same_class_distance(data: DataFrame) -> DataFrame:
     return data.select("index", "label").join(nn, "index", "left")
 
 
-def average_distance(data: DataFrame, group_col: str = "label") -> DataFrame:
+def average_distance(data: DataFrame, group_col: str = "label", *,
+                     block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """K6: for each row, sum of Euclidean distances to every row of its group (itself
     included, contributing 0) divided by (group size - 1).
 
@@ -248,7 +249,6 @@ def average_distance(data: DataFrame, group_col: str = "label") -> DataFrame:
         return pd.DataFrame({"index": q["q_index"].to_numpy(np.int64),
                              "s": np.sqrt(dist).sum(axis=1)})
 
-    block_rows = DEFAULT_BLOCK_ROWS
     base = data.select("index", "label", "features", F.col(group_col).alias("cell"))
     cnt = base.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     splits = cnt.select("cell", "_n",

@@ -130,3 +130,27 @@ def test_dictionary_rank_matches_sort(spark, parts):
         counts[v] = counts.get(v, 0) + 1
     want = {v: i for i, v in enumerate(sorted(counts, key=lambda v: (-counts[v], v)))}
     assert got == want
+
+
+def test_hot_class_split_matches_brute_force(spark):
+    import math
+    # class 0 holds 40 of 46 rows; block_rows=4 splits it into 10 x 10 sub-block pairs
+    rows = [(i, 0 if i < 40 else 1 + i % 2, [float((i * 7) % 23), float((i * 5) % 11)])
+            for i in range(46)]
+    df = pts(spark, rows)
+
+    def dist(a, b):
+        return math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)))
+
+    got = {r["index"]: r["distance"] for r in
+           K.nearest_same_class_distance(df).collect()}
+    nb = K.nearest_same_class(df, 1, block_rows=4).collect()
+    got_small = {r["index"]: math.sqrt(r["d2"]) for r in nb}
+    avg = {r["index"]: r["avg_distance"] for r in
+           K.average_distance(df, block_rows=4).collect()}
+    for i, lab, f in rows:
+        same = [(j, g) for j, lj, g in rows if lj == lab and j != i]
+        want = min(dist(f, g) for _, g in same)
+        assert got[i] == pytest.approx(want) and got_small[i] == pytest.approx(want)
+        want_avg = sum(dist(f, g) for _, g in same) / len(same)
+        assert avg[i] == pytest.approx(want_avg)
