@@ -130,17 +130,31 @@ def dictionary(df: DataFrame, col: str) -> DataFrame:
     """``(label int, value string)`` table, one row per distinct value, StringIndexer order."""
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("_n")) \
         .where(F.col("value").isNotNull())
-    ranked = global_rank(counts, [F.desc("_n"), F.asc("value")], "_r")
+    ranked = _rank(counts, [F.desc("_n"), F.asc("value")])
     return ranked.select(F.col("_r").cast("int").alias("label"), "value")
 
 
 def alphabetical_dictionary(df: DataFrame, col: str) -> DataFrame:
     """Dense rank of the distinct values of ``col`` in ascending order, 0-based."""
     vals = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    ranked = global_rank(vals, [F.asc("value")], "_r")
+    ranked = _rank(vals, [F.asc("value")])
     return ranked.select(F.col("_r").cast("int").alias("label"), "value")
 
 
+# A category domain up to this many values is ranked in one window task.
+SMALL_DOMAIN = 100_000
+
+
+def _rank(values: DataFrame, order) -> DataFrame:
+    """``_r`` = 0-based position in ``order``. The domain is counted first (cheap): a domain
+    proven to be at most ``SMALL_DOMAIN`` values is ranked in one window; a larger one with
+    the distributed, checkpointed :func:`global_rank`."""
+    n = values.count()
+    if n <= SMALL_DOMAIN:
+        return values.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1)
+    return global_rank(values, order, "_r")
+
+
 def label_names(df: DataFrame, dictionary_df: DataFrame, label_col: str = "label",
                 name_col: str = "name") -> DataFrame:
     """Attach the original name of each label via the dictionary (distinct pairs

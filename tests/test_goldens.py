@@ -119,9 +119,12 @@ def test_metrics_golden(spark):
         assert got[k] == pytest.approx(v, abs=1e-6), k
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_dictionary_rank_matches_sort(spark, parts):
+@pytest.mark.parametrize("parts,small", [(1, True), (5, True), (1, False), (5, False)])
+def test_dictionary_rank_matches_sort(spark, parts, small, monkeypatch):
+    from stratum.operators import prepare
     from stratum.operators.prepare import dictionary
+    if not small:
+        monkeypatch.setattr(prepare, "SMALL_DOMAIN", 10)  # force the distributed rank
     vals = [f"v{i % 37:02d}" for i in range(500)] + [f"w{i}" for i in range(60)]
     df = spark.createDataFrame([(v,) for v in vals], "c string").repartition(parts)
     got = {r["value"]: r["label"] for r in dictionary(df, "c").collect()}
