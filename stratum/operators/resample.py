@@ -29,6 +29,23 @@ from stratum.operators.subsets import filter_types
 
 METHODS = ("none", "undersample", "oversample", "smote")
 DRAW_CHUNK = 100_000
+# Draws per (class, position) join key before the class's rows are replicated (salted).
+SALT_TARGET = 10_000
+MAX_SALT = 4096
+
+
+def _salt_factor(n: Column, draws: Column) -> Column:
+    """Replication factor of a class so each (class, position, salt) key receives about
+    ``SALT_TARGET`` draws at most: a tiny class drawn from very often is a hot key."""
+    r = F.ceil(draws.cast("double") / (n.cast("double") * F.lit(SALT_TARGET)))
+    return F.greatest(F.lit(1), F.least(r, F.lit(MAX_SALT))).cast("int")
+
+
+def _salted(numbered: DataFrame, factors: DataFrame, keys) -> DataFrame:
+    """``numbered`` rows of the classes in ``factors`` (keys + ``_r``), each replicated
+    ``_r`` times with ``_salt`` 0.._r-1; ``factors`` has one row per class and key."""
+    return numbered.join(factors, list(keys)) \
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_r") - 1))).drop("_r")
 
 
 def _original(df: DataFrame, keys=()) -> DataFrame:
@@ -78,9 +95,13 @@ def oversample(df: DataFrame, seed: int = 42, keys=()) -> DataFrame:
     c = counts_with_targets(df, k)
     need = c.where((F.col("n") > 0) & (F.col("n") < F.col("max_n"))) \
         .select(*k, "label", "n", (F.col("max_n") - F.col("n")).alias("m"))
-    draws = draw_table(need).withColumn("pos", draw_position(F.col("n"), seed, "label", "s"))
-    numbered = dense_positions(df, "index", [*k, "label"])
-    copies = draws.select(*k, "label", "pos", "s").join(numbered, [*k, "label", "pos"])
+    need = need.withColumn("_r", _salt_factor(F.col("n"), F.col("m")))
+    draws = draw_table(need).withColumn("pos", draw_position(F.col("n"), seed, "label", "s")) \
+        .withColumn("_salt", F.pmod(F.col("s"), F.col("_r")).cast("int"))
+    numbered = _salted(dense_positions(df, "index", [*k, "label"]),
+                       need.select(*k, "label", "_r"), [*k, "label"])
+    copies = draws.select(*k, "label", "pos", "s", "_salt") \
+        .join(numbered, [*k, "label", "pos", "_salt"])
     mt = F.col("minority_type") if "minority_type" in df.columns else F.lit(-1)
     added = copies.select(*k, F.col("index").cast("long"), F.col("label").cast("int"),
                           mt.cast("int").alias("minority_type"), "features",
@@ -99,14 +120,17 @@ def smote_rows(df: DataFrame, seed: int = 42, draws_per_row: int = 5, keys=()) -
     target = F.floor(F.col("max_n") / 2)
     need = c.where(F.col("n") < target).select(*k, "label", "n",
                                                (target - F.col("n")).alias("m"))
+    need = need.withColumn("_r", _salt_factor(F.col("n"), F.col("m") * draws_per_row))
     draws = draw_table(need)
-    dj = draws.select(*k, "label", "n", "s",
+    dj = draws.select(*k, "label", "n", "s", "_r",
                       F.explode(F.sequence(F.lit(1), F.lit(draws_per_row))).alias("j"))
     dj = dj.select(*k, "label", "s",
-                   draw_position(F.col("n"), seed, "label", "s", "j").alias("pos"))
-    numbered = dense_positions(df.select(*k, "index", "label", "features"), "index",
-                               [*k, "label"])
-    hit = dj.join(numbered, [*k, "label", "pos"])
+                   draw_position(F.col("n"), seed, "label", "s", "j").alias("pos"),
+                   F.pmod(F.col("s"), F.col("_r")).cast("int").alias("_salt"))
+    numbered = _salted(dense_positions(df.select(*k, "index", "label", "features"), "index",
+                                       [*k, "label"]),
+                       need.select(*k, "label", "_r"), [*k, "label"])
+    hit = dj.join(numbered, [*k, "label", "pos", "_salt"])
     grp = hit.groupBy(*k, "label", "s").agg(
         F.array_distinct(F.array_sort(F.collect_list(F.struct("pos", "features")))).alias("_h"))
     mean = mean_of_arrays(F.transform("_h", lambda x: x["features"]))
@@ -145,13 +169,20 @@ def smote_plus_rows(selected: DataFrame, pool: DataFrame, draws_per_row: int,
     draws = draw_table(need.join(ncl, "label"))
     picks = draws.withColumn("crank", draw_position(F.col("ncl"), seed, "label", "s")) \
         .join(ranks.drop("ncl"), ["label", "crank"])
+    # salt per (class, cluster): expected draws into a cluster ~ m * draws / ncl
+    fac = ranks.join(need, "label").select(
+        "label", "cluster",
+        _salt_factor(F.col("size"), F.col("m") * draws_per_row / F.col("ncl")).alias("_r"))
     dj = picks.select("label", "cluster", "size", "s",
                       F.explode(F.sequence(F.lit(1), F.lit(draws_per_row))).alias("j"))
-    dj = dj.select("label", "cluster", "s", "j",
-                   draw_position(F.col("size"), seed, "label", "s", "j").alias("pos"))
-    numbered = dense_positions(pool.select("label", "cluster", "index", "features"), "index",
-                               ["label", "cluster"])
-    hit = dj.join(numbered, ["label", "cluster", "pos"])
+    dj = dj.join(fac, ["label", "cluster"]).select(
+        "label", "cluster", "s", "j",
+        draw_position(F.col("size"), seed, "label", "s", "j").alias("pos"),
+        F.pmod(F.col("s"), F.col("_r")).cast("int").alias("_salt"))
+    numbered = _salted(dense_positions(pool.select("label", "cluster", "index", "features"),
+                                       "index", ["label", "cluster"]),
+                       fac, ["label", "cluster"])
+    hit = dj.join(numbered, ["label", "cluster", "pos", "_salt"])
     grp = hit.groupBy("label", "s").agg(
         F.array_sort(F.collect_list(F.struct("j", "features"))).alias("_h"))
     mean = mean_of_arrays(F.transform("_h", lambda x: x["features"]))

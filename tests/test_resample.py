@@ -66,3 +66,21 @@ def test_mean_of_draws(spark):
     # draws hit rows 2 and 5 (twice / three times): SMOTE+ weighs 2/5 and 3/5
     df = spark.createDataFrame([([[1.0], [1.0], [6.0], [6.0], [6.0]],)], "a array<array<double>>")
     assert df.select(mean_of_arrays(F.col("a"))).first()[0] == [4.0]
+
+
+def test_salting_does_not_change_draws(spark, monkeypatch):
+    df = data(spark)
+
+    def snap():
+        ov = sorted(tuple(r) for r in R.oversample(df).select(
+            "label", F.coalesce("index", F.lit(-1)), F.coalesce("draw", F.lit(-1))).collect())
+        sm = sorted(tuple(r) for r in R.smote_rows(df).select("label", "draw", "features")
+                    .collect())
+        pool = df.withColumn("cluster", F.pmod("index", F.lit(3)))
+        sp = sorted(tuple(r) for r in R.smote_plus_rows(df, pool, 3).select(
+            "label", "draw", "features").collect())
+        return ov, sm, sp
+
+    base = snap()
+    monkeypatch.setattr(R, "SALT_TARGET", 1)  # every class replicated: many salts per key
+    assert snap() == base
