@@ -32,8 +32,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.driver.memory", "16g")
         .config("spark.python.worker.reuse", "true")
         .config("spark.ui.showConsoleProgress", "false")
-        # delete reliable-checkpoint files once their DataFrame is garbage collected
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
