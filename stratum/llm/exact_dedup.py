@@ -7,8 +7,10 @@ whose documents have all ended, leaves the recursion; only open groups carry the
 remaining bytes into the next round. Equality is decided by the bytes alone, no digest.
 
 Group sizes are hash aggregates over (group, digit) with map-side combining, so a group
-that holds a third of all rows reaches the shuffle as one row per task. The join that
-hands sizes back is a plain equi-join that adaptive execution can split by skew.
+that holds a third of all rows reaches the shuffle as one row per task. The sizes of groups
+of two or more are written out and joined back as a table of their own: Spark broadcasts it
+where its files are below the limit, else both sides are dealt out for the join alone and
+adaptive execution splits a hot group among tasks.
 """
 
 from __future__ import annotations
@@ -57,6 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   .agg(F.count(F.lit(1)).alias("n"),
                        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
                   .where("n > 1"))
+        shared = stage(shared, f"{root}/shared-{level}")
         joined = split.join(shared, ["grp", "digit", "ended"], "left")
         is_open = F.col("n").isNotNull() & ~F.col("ended")
         out = joined.select(
