@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 #: Characters between words, as the inside of a regular-expression class.
 SPACE_CLASS = r"\x20\x09-\x0D"
-#: The same characters for translate() and bytes methods.
-SPACE_CHARS = "\t\n\x0b\x0c\r "
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import SPACE_CHARS, WORD_PATTERN, read_table, text_of
+from stratum.llm.common import SPACE_CLASS, WORD_PATTERN, read_table, text_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -55,8 +55,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
             "n_stutter")
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def _barrier(df: DataFrame, **columns: Column) -> DataFrame:
@@ -64,17 +64,21 @@ def _barrier(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the measurements of the whole text (null text: no words)."""
-    text = F.col("text")
-    df = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_row: bool = False) -> DataFrame:
+    """``doc_id`` and the measurements of the whole text (null text: no words).
+
+    With ``whole_row`` also ``doc``, the input row as a struct.
+    """
+    text, carried = F.col("text"), ["doc"] if whole_row else []
+    df = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"),
+                     *[F.struct("*").alias(c) for c in carried])
     df = _barrier(
         df,
         words=F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)),
-        lines=F.filter(F.split(text, "\n", -1), lambda x: F.length(_without(x, SPACE_CHARS)) > 0),
-        word_chars=F.length(_without(text, SPACE_CHARS)).cast("long"),
-        n_symbols=(F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"),
-        n_upper=F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")).cast("long"),
+        lines=F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE_CLASS}]")),
+        word_chars=F.length(F.regexp_replace(text, f"[{SPACE_CLASS}]+", "")).cast("long"),
+        n_symbols=_count(text, f"[{SYMBOLS}]"),
+        n_upper=_count(text, r"\p{Lu}"),
     ).drop("text")
     df = _barrier(
         df,
@@ -83,10 +87,11 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         n_lines=F.size("lines").cast("long"),
         n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
     ).drop("words", "lines")
+    eight = ", ".join(f"get(hashes, i + {k})" for k in range(-1, WINDOW - 1))
     df = _barrier(
         df,
         windows=F.expr(f"if(n_words < {WINDOW}, array(), transform(sequence(1, cast(n_words as int) - {WINDOW - 1}), "
-                       f"i -> xxhash64(slice(hashes, i, {WINDOW}))))"),
+                       f"i -> xxhash64({eight})))"),
         n_stutter=F.expr("cast(size(filter(hashes, (h, i) -> i > 0 and h = get(hashes, i - 1))) as bigint)"),
     ).drop("hashes")
     df = _barrier(df, ordered=F.expr(
@@ -99,10 +104,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     covered = F.expr(f"aggregate(places, 0L, (a, x) -> a + {WINDOW}) - "
                      f"aggregate(transform(places, (x, i) -> greatest(0, {WINDOW} - (get(places, i + 1) - x))), 0L, "
                      "(a, x) -> a + coalesce(x, 0))")
-    return df.withColumn("n_repeat_words", covered).select("doc_id", *MEASURES)
+    return df.withColumn("n_repeat_words", covered).select("doc_id", *MEASURES, *carried)
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_row: bool = False) -> DataFrame:
     """``doc_id``, the measurements, and ``failed``: bit i is set where rule i fails.
 
     Defined cases: null and empty texts have no words and fail ``too_few_words``; a null id
@@ -110,7 +115,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     further columns are ignored whatever their names.
     """
     failed = " | ".join(f"if({cond}, {1 << i}L, 0L)" for i, (_, cond) in enumerate(RULES))
-    return measured(docs, id_col, text_col).withColumn("failed", F.expr(failed))
+    return measured(docs, id_col, text_col, whole_row).withColumn("failed", F.expr(failed))
 
 
 def apply_policy(df: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -139,6 +144,11 @@ def ablations(df: DataFrame) -> DataFrame:
         count(hit.bitwiseAND(F.bitwise_not(F.col("bit"))) == 0).alias("n_kept_without")))
 
 
+def keep_documents(docs: DataFrame, version: str = CURRENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with their own columns."""
+    return apply_policy(ledger(docs, id_col, text_col, whole_row=True), version).where("kept").select("doc.*")
+
+
 def op5_quality_ledger(spark, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(read_table(spark, sf_dir, "documents")))
 
