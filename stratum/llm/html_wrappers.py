@@ -286,7 +286,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                 [pa.array(list(found), pa.string()), pa.array([n for n, _ in found.values()], pa.int64()),
                  pa.array([json.dumps(w) for _, w in found.values()], pa.string())], names=["host", "n_pages", "wrapper"])
 
-    def together(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def together(key, pdf):
         pdf = pdf.sort_values(["n_pages", "wrapper"])
         n, out = _aligned([(int(n), json.loads(w)) for n, w in zip(pdf["n_pages"], pdf["wrapper"], strict=True)])
         return pd.DataFrame({"host": [key[0]], "n_pages": [n], "wrapper": [json.dumps(out)]})
