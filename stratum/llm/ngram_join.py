@@ -9,10 +9,12 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
    filter asks for), so a class with fewer such shingles on lists of two or more classes is
    linked with nothing. Only the classes that pass get their whole sets out of the texts;
    a Bloom filter of fixed size, sent to the scan, keeps the others' sets from being made.
+   By whole sets, at least ``least_overlap`` shingles must then be shared.
 3. Inverted lists of the prefixes of those classes. A class leaves aside its ``need - 1``
    longest lists; a partner must still stand on one of its others, the short lists.
 4. Star links: each class is compared with one list head, that of most of its short lists.
-   This alone joins most of a group of near copies, in work linear in the postings.
+   A list's head is the class with the fewest shingles of its own, so near copies meet at
+   their original. This joins most of a group of near copies, in work linear in the postings.
 5. Search: what is left to find are links between different components. A class asks every
    larger component that stands on its short lists. A component's members are indexed in
    blocks of at most ``BLOCK`` classes, and in a block the query merges its short inverted
@@ -40,8 +42,13 @@ from stratum.llm.components import components
 from stratum.llm.shingles import WORDS, set_key, shingle_sets
 
 PERCENT = 80
+#: Beyond the plain prefix filter, prefixes have 1 + n / share shingles: in the support
+#: filter over all documents, and in the inverted lists of those that passed.
+PREFIX_SHARE, LIST_SHARE = 20, 5
 #: Classes of a component that are indexed together.
 BLOCK = 256
+#: Heads a class is compared with before its search.
+HEADS = 4
 #: Bits of the Bloom filter, which is 8 MB whatever the corpus holds.
 BLOOM_BITS = 1 << 26
 #: DivideSkip's weight of the longest list when it chooses the number of long lists.
@@ -113,16 +120,19 @@ class Block:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, words: int, row: Column) -> DataFrame:
-    """``row, doc_id, n, key`` of every document; key is null for a text without words."""
-    ddl = f"row long, doc_id {docs.schema[id_col].dataType.simpleString()}, n long, key binary"
+    """``row, doc_id, n, key, code`` of every document; the last two null for a text without words."""
+    ddl = f"row long, doc_id {docs.schema[id_col].dataType.simpleString()}, n long, key binary, code long"
 
     def run(batches):
         for batch in batches:
-            sets = list(shingle_sets((v.as_py() for v in batch.column(2)), words))
+            sizes, keys = [], []
+            for s in shingle_sets((v.as_py() for v in batch.column(2)), words):
+                sizes.append(len(s))
+                keys.append(set_key(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())],
-                names=["row", "doc_id", "n", "key"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array([_code(k) if k else None for k in keys], pa.int64())],
+                names=["row", "doc_id", "n", "key", "code"])
 
     return docs.select(row.cast("long").alias("row"), docs[id_col].alias("doc_id"),
                        text_of(docs, text_col).cast("binary").alias("body")).mapInArrow(run, ddl)
@@ -150,7 +160,7 @@ def _sets_of(docs: DataFrame, text_col: str, words: int, wanted=None, prefix: bo
                 codes.append(_code(key))
                 keys.append(key)
                 sizes.append(n)
-                arrays.append(s[:n - least_overlap(n, percent) + 1 + n // 20] if prefix else s)
+                arrays.append(s[:n - least_overlap(n, percent) + _ell(n, PREFIX_SHARE)] if prefix else s)
             offsets = np.cumsum([0] + [len(a) for a in arrays]).astype(np.int32)
             values = np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -183,65 +193,117 @@ def _bloom(codes: DataFrame):
 # ---------------------------------------------------------------- the join
 
 
-def _candidates(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
-    """Step 2: whole sets of the classes that may have a partner: ``cid, key, n, hashes``."""
-    first = _sets_of(docs, text_col, words, prefix=True, percent=percent).select(
-        "code", "n", F.explode("hashes").alias("h"))
-    # a table of its own: a join with an aggregate on the same key cannot be split by skew
-    shared = stage(first.groupBy("h").agg(F.min("code").alias("lo"), F.max("code").alias("hi"))
-                   .where("lo <> hi").select("h"))
-    # a set that several batches hold counts several times: the filter is then only weaker
-    passed = stage(first.join(shared, "h").groupBy("code").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
-                   .where(F.col("c") >= 1 + F.floor(least_overlap(F.col("n"), percent) / 20)).select("code"))
+def _ell(n, share: int):
+    """What a prefix has beyond the plain prefix filter's: 1 + n / share."""
+    return (F.floor(n / share) if isinstance(n, Column) else n // share) + 1
+
+
+def _least_shared(n: Column, percent: int, share: int) -> Column:
+    """Prefix shingles that a set of n shares with any partner's prefix at least.
+
+    The shared shingles that come first stand in both prefixes: of a set's own at least its
+    ell; of a smaller partner's, which has percent of n at least, as its overlap exceeds its
+    own least one by what it is smaller, n / share (rounded down; percent / 100 >= 1 / share)."""
+    return F.greatest(_ell(least_overlap(n, percent), share), F.floor(n / share))
+
+
+def _unshared(posts: DataFrame, owner: str) -> DataFrame:
+    """``owner, alone``: how many of an owner's postings stand on a list of its own.
+
+    A list is one aggregate of its smallest and largest owner, so nothing is joined back."""
+    return (posts.groupBy("h").agg(F.min(owner).alias(owner), F.max(owner).alias("hi")).where(f"{owner} = hi")
+            .groupBy(owner).agg(F.count(F.lit(1)).alias("alone")))
+
+
+def _candidates(docs: DataFrame, rows: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
+    """Step 2: whole sets of the classes that may have a partner: ``cid, n, key, hashes``.
+
+    ``alone`` counts the shingles that no other of them has. An overlap is at most the others,
+    and must be percent / (100 + percent) of both sizes: so ``most`` is the largest partner's size."""
+    first = _sets_of(docs, text_col, words, prefix=True, percent=percent)
+    alone = _unshared(first.select("code", F.explode("hashes").alias("h")), "code")
+    n = F.col("n")
+    classes = rows.where("code is not null").groupBy("code").agg(F.max("n").alias("n"))
+    length = n - least_overlap(n, percent) + _ell(n, PREFIX_SHARE)
+    passed = stage(classes.join(alone, "code", "left").where(
+        length - F.coalesce("alone", F.lit(0)) >= _least_shared(n, percent, PREFIX_SHARE)).select("code"))
     sets = _sets_of(docs, text_col, words, wanted=_bloom(passed), percent=percent)
     once = sets.join(passed, "code", "left_semi").groupBy("code", "key").agg(
         F.first("n").alias("n"), F.first("hashes").alias("hashes"))
-    return stage(once.select(F.monotonically_increasing_id().alias("cid"), "key", "n", "hashes"))
+    once = stage(once.select(F.monotonically_increasing_id().alias("cid"), "key", "n", "hashes"))
+    # now by whole sets: a partner has the least overlap of them
+    lonely = stage(_unshared(once.select("cid", F.explode("hashes").alias("h")), "cid"))
+    alone = F.coalesce("alone", F.lit(0))
+    return (once.join(lonely, "cid", "left").where(n - alone >= least_overlap(n, percent))
+            .select("cid", "key", "n", "hashes", alone.alias("alone"),
+                    (F.floor((n - alone) * (100 + percent) / percent) - n).alias("most")))
 
 
 def _lists(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Step 3: the inverted lists ``h, cid, n`` and each class's short ones, both without lists of one class."""
-    need = 1 + F.floor(least_overlap(F.col("n"), percent) / 5)
-    length = F.col("n") - least_overlap(F.col("n"), percent) + 1 + F.floor(F.col("n") / 5)
-    posts = sets.select("cid", "n", F.explode(F.slice("hashes", 1, length.cast("int"))).alias("h"))
+    """Step 3: the inverted lists ``h, cid, n, most, alone`` and each class's short ones, both without lists of one class."""
+    n = F.col("n")
+    need = _least_shared(n, percent, LIST_SHARE)
+    length = n - least_overlap(n, percent) + _ell(n, LIST_SHARE)
+    posts = sets.select("cid", "n", "most", "alone", F.explode(F.slice("hashes", 1, length.cast("int"))).alias("h"))
     df = stage(posts.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     posts = posts.join(df, "h")
     own = Window.partitionBy("cid")  # of one document's prefix
     posts = stage(posts.withColumn("on", F.count(F.lit(1)).over(own))
                   .withColumn("place", F.row_number().over(own.orderBy(F.desc("df"), "h")))
                   .where(F.col("on") >= need).withColumn("short", F.col("place") >= need)
-                  .select("h", "cid", "n", "short"))
-    return posts.drop("short"), posts.where("short").drop("short")
+                  .select("h", "cid", "n", "most", "alone", "short"))
+    return posts.drop("short"), posts.where("short").drop("short", "alone")
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
+def _fits(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
+    """Whether sizes allow a link between sets of sizes ``lo`` to ``hi`` with a partner of at most ``most``."""
+    return ((a["hi"] * 100 >= b["lo"] * percent) & (b["hi"] * 100 >= a["lo"] * percent)
+            & (a["lo"] <= b["most"]) & (b["lo"] <= a["most"]))
+
+
+def _one(n: str, most: str) -> dict[str, Column]:
+    return {"lo": F.col(n), "hi": F.col(n), "most": F.col(most)}
 
 
 def _star_links(lists: DataFrame, short: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Step 4: links ``u, v`` between a class and the head of most of its short lists."""
-    heads = stage(lists.groupBy("h").agg(F.min(F.struct("cid", "n")).alias("head")))
-    votes = (short.join(heads, "h").where((F.col("head.cid") != F.col("cid")) & _fits(F.col("n"), F.col("head.n"), percent))
-             .groupBy("cid", F.col("head.cid").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("cid").agg(F.max(F.struct("c", F.negative("v").alias("nv"))).alias("best"))
-             .select(F.col("cid").alias("u"), F.negative("best.nv").alias("v")))
+    """Step 4: links ``u, v`` between a class and the head of most of its short lists, or failing
+    that one of the next heads."""
+    # the class with the fewest shingles of its own: in a group of near copies the original
+    central = F.struct((F.col("alone") / F.col("n")).alias("share"), "cid", "n", "most")
+    heads = stage(lists.groupBy("h").agg(F.min(central).alias("head")))
+    votes = (short.join(heads, "h")
+             .where((F.col("head.cid") != F.col("cid")) & _fits(_one("n", "most"), _one("head.n", "head.most"), percent))
+             .groupBy(F.col("cid").alias("u"), F.col("head.cid").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    by_votes = Window.partitionBy("u").orderBy(F.desc("c"), "v")  # of one document's lists
+    votes = stage(votes.withColumn("place", F.row_number().over(by_votes)).where(F.col("place") <= HEADS)
+                  .select("u", "v", "place"))
+    first = stage(_linked(votes.where("place = 1"), sets, percent))
+    rest = votes.where("place > 1").join(first.select("u"), "u", "left_anti")
+    return first.unionAll(_linked(rest, sets, percent))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``u, v`` that link."""
     a = sets.select(F.col("cid").alias("u"), F.col("hashes").alias("a"))
     b = sets.select(F.col("cid").alias("v"), F.col("hashes").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return (votes.join(a, "u").join(b, "v")
+    return (pairs.join(a, "u").join(b, "v")
             .where(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("u", "v"))
 
 
-def _search_links(lists: DataFrame, short: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Step 5: links ``u, v`` found by the classes' searches in other, larger components."""
+def _search_links(lists: DataFrame, short: DataFrame, sets: DataFrame, comp: DataFrame, percent: int,
+                  least: int = 1) -> DataFrame:
+    """Step 5: links ``u, v`` found by the classes' searches in other, larger components.
+
+    Only components of ``least`` or more classes are asked."""
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     named = stage(comp.join(sizes, "component").select(F.col("node").alias("cid"), "component", "size"))
-    on = stage(lists.join(named, "cid").groupBy("h", "component").agg(
-        F.max("size").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+    on = stage(lists.join(named.where(F.col("size") >= least), "cid").groupBy("h", "component").agg(
+        F.max("size").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("their_most")))
+    theirs = {"lo": F.col("lo"), "hi": F.col("hi"), "most": F.col("their_most")}
     asks = (short.join(named.withColumnsRenamed({"component": "own", "size": "own_size"}), "cid").join(on, "h")
             .where((F.struct("own_size", "own") < F.struct("size", "component"))
-                   # some member's size may fit
-                   & (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("lo") * percent))
+                   & _fits(_one("n", "most"), theirs, percent))  # some member may fit
             .select("cid", "component", "size").distinct())
     asks = stage(asks)
     asked = asks.select("component").distinct()
@@ -286,15 +348,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = stage(_signatures(docs, id_col, text_col, words, row))
     head = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = rows.where("key is not null").groupBy("key").agg(F.min(head).alias("head"))
-    sets = _candidates(docs, text_col, words, percent)
+    sets = stage(_candidates(docs, rows, text_col, words, percent))
     lists, short = _lists(sets, percent)
     nodes = short.select("cid").distinct()
     links = stage(_star_links(lists, short, sets, percent))
     comp = components(links)
-    comp = stage(comp.unionAll(nodes.join(comp, nodes["cid"] == comp["node"], "left_anti")
-                               .select(F.col("cid").alias("node"), F.col("cid").alias("component"))))
-    more = stage(_search_links(lists, short, sets, comp, percent))
-    comp = components(links.unionAll(more))
+    for least in (2, 1):  # most classes that are still alone join a larger component first
+        alone = nodes.join(comp, nodes["cid"] == comp["node"], "left_anti")
+        every = comp.unionAll(alone.select(F.col("cid").alias("node"), F.col("cid").alias("component")))
+        more = stage(_search_links(lists, short, sets, stage(every), percent, least))
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            comp = components(links)
     of_class = sets.select("key", "cid").join(comp, F.col("cid") == F.col("node")).select("key", "component")
     named = stage(classes.join(of_class, "key", "left"))
     heads = named.where("component is not null").groupBy("component").agg(F.min("head").alias("best"))
