@@ -1,6 +1,7 @@
 """Reusable Column expressions.
 
-Everything here is a built-in Spark expression, so it stays inside whole-stage codegen.
+Everything here is a built-in Spark expression evaluated on the JVM. The higher-order ones
+(``transform``, ``zip_with``, ``aggregate``) are interpreted, not part of generated code.
 """
 
 from __future__ import annotations
@@ -39,17 +40,25 @@ def grade_name_expr(grade: Column | str) -> Column:
     return out
 
 
+# Hex digits of an md5 that make a draw: 60 bits, the most that a signed long holds whole.
+DRAW_DIGITS = 15
+
+
+def hash_number(key: Column) -> Column:
+    """The first 60 bits of the md5 of ``key`` as a long."""
+    return F.conv(F.substring(F.md5(key), 1, DRAW_DIGITS), 16, 10).cast("bigint")
+
+
 def draw_position(n: Column, seed: int, *parts: Column | str) -> Column:
     """Deterministic pseudo-random position in [0, n) from a hash of the key parts.
 
-    md5 of ``seed:part1:part2:...``; the first 8 hex digits as an unsigned 32-bit
-    integer, modulo n. No RNG state, so the draw does not depend on partitioning or
-    task order, and it is reproducible in any SQL engine with md5.
+    md5 of ``seed:part1:part2:...``; the first 15 hex digits as a 60-bit integer, modulo n
+    (the bias is below n / 2^60). No RNG state, so the draw does not depend on partitioning
+    or task order, and it is reproducible in any SQL engine with md5.
     """
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
     key = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols])
-    h = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(h, n.cast("bigint"))
+    return F.pmod(hash_number(key), n.cast("bigint"))
 
 
 def squared_distance(a: Column | str, b: Column | str) -> Column:

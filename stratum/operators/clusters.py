@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def class_clusters(minority: DataFrame, k: int, seed: int = 1, max_iter: int = 20
-                   ) -> DataFrame:
+def class_clusters(minority: DataFrame, k: int, seed: int = 1, max_iter: int = 20,
+                   parallel_fits: int = 4) -> DataFrame:
     """K-means inside every class; adds ``cluster int`` and ``k_eff`` (the k actually
     used: ``min(k, class size)``; k < 2 leaves the class as one cluster 0).
 
@@ -20,19 +21,20 @@ def class_clusters(minority: DataFrame, k: int, seed: int = 1, max_iter: int = 2
              minority.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    parts = []
-    for label in sorted(sizes):
+
+    def fitted(label: int) -> DataFrame:
         rows = minority.where(F.col("label") == label)
         k_eff = min(k, sizes[label])
         if k_eff < 2:
-            parts.append(rows.withColumn("cluster", F.lit(0)).withColumn("k_eff", F.lit(1)))
-            continue
+            return rows.withColumn("cluster", F.lit(0)).withColumn("k_eff", F.lit(1))
         vec = rows.withColumn("_v", array_to_vector("features"))
         model = KMeans(k=k_eff, seed=seed, maxIter=max_iter, featuresCol="_v",
                        predictionCol="cluster").fit(vec)
-        parts.append(model.transform(vec).drop("_v")
-                     .withColumn("cluster", F.col("cluster").cast("int"))
-                     .withColumn("k_eff", F.lit(k_eff)))
+        return (model.transform(vec).drop("_v").withColumn("cluster", F.col("cluster").cast("int"))
+                .withColumn("k_eff", F.lit(k_eff)))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as workers:
+        parts = list(workers.map(fitted, sorted(sizes)))
     if not parts:
         return minority.withColumn("cluster", F.lit(0)).withColumn("k_eff", F.lit(0))
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -28,54 +28,50 @@ def default_buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def _bucket_expr(order_col: str, bounds: Sequence[float]) -> Column:
-    """Bucket id of ``order_col`` against sorted split points (JVM-side binary search)."""
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    # number of split points <= value: filter+size is codegen'd and bounded by len(bounds)
-    v = F.col(order_col).cast("double")
-    return F.size(F.filter(arr, lambda b: b <= v)).cast("int")
+#: Levels of ``dense_positions``: a leaf spans 2^16 values of the order column, a branch 2^40.
+LEAF_BITS, BRANCH_BITS = 16, 40
 
 
 def dense_positions(df: DataFrame, order_col: str, partition_cols: Sequence[str] = (),
                     pos_col: str = "pos", size_col: str | None = None,
-                    buckets: int | None = None, tiebreak: str | None = None) -> DataFrame:
+                    tiebreak: str | None = None) -> DataFrame:
     """Add ``pos`` = 0-based rank of ``(order_col, tiebreak)`` within ``partition_cols``.
 
-    ``order_col`` must be numeric; with ``tiebreak`` the pair must be unique within a
-    group, without it ``order_col`` must be. Equal ``order_col`` values always share a
-    bucket, so ties are ranked inside one window. Done in two steps
-    so no single task sorts a whole group (a class may hold a third of the rows):
-    quantile buckets of ``order_col`` split every group; per-(group, bucket) counts are
-    prefix-summed on a small table; each row adds its bucket's offset to its row number
-    inside the bucket. Optional ``size_col`` carries the group's total row count.
+    ``order_col`` must hold integers; with ``tiebreak`` the pair must be unique within a
+    group, without it ``order_col`` must be. The group columns and the order must not be
+    NULL. Optional ``size_col`` carries the group's total row count.
+
+    The order's values are cut into leaves and branches of a fixed span, by bit shifts. Rows
+    are counted by leaf, counts are summed up before each leaf of a branch and before each
+    branch, and a row's position is what stands before its leaf plus its row number in the
+    leaf. A leaf holds at most 2^16 different values and a branch 2^24 leaves, so no task
+    sorts a group (a class may hold a third of the rows). No job runs while the plan is built.
     """
-    buckets = buckets or default_buckets(df)
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(order_col, probs, 0.001))) if probs else []
     parts = list(partition_cols)
-    b = df.withColumn("_bkt", _bucket_expr(order_col, bounds))
-    counts = b.groupBy(*parts, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
-    wp = Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
-    offsets = counts.select(
-        *parts, "_bkt",
-        (F.sum("_cnt").over(wp.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"),
-        F.sum("_cnt").over(wp).alias("_tot"),
-    ).fillna(0, subset=["_off"])
-    # offsets has at most (#groups x buckets) rows
-    order = [order_col] + ([tiebreak] if tiebreak else [])
-    rn = F.row_number().over(Window.partitionBy(*parts, "_bkt").orderBy(*order))
-    numbered = b.withColumn("_rn", rn)
-    # Without groups the offsets table has len(bounds)+1 rows: a proven bound, so it is
-    # broadcast. With groups its size grows with the group count; AQE decides at runtime.
-    side = F.broadcast(offsets) if not parts else offsets
-    out = numbered.join(side, on=[*parts, "_bkt"])
-    out = out.withColumn(pos_col, (F.col("_off") + F.col("_rn") - 1).cast("long"))
+    order = F.col(order_col).cast("long")
+    b = df.withColumns({"_leaf": F.shiftright(order, LEAF_BITS),
+                        "_branch": F.shiftright(order, BRANCH_BITS)})
+    leaves = b.groupBy(*parts, "_branch", "_leaf").agg(F.count(F.lit(1)).alias("_n"))
+    before = (Window.unboundedPreceding, -1)
+    in_branch = Window.partitionBy(*parts, "_branch")
+    in_group = Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
+    branches = leaves.groupBy(*parts, "_branch").agg(F.sum("_n").alias("_n"))
+    branches = branches.select(
+        *parts, "_branch", F.sum("_n").over(in_group).alias("_tot"),
+        F.coalesce(F.sum("_n").over(in_group.orderBy("_branch").rowsBetween(*before)), F.lit(0))
+        .alias("_off_branch"))
+    leaves = leaves.select(
+        *parts, "_branch", "_leaf",
+        F.coalesce(F.sum("_n").over(in_branch.orderBy("_leaf").rowsBetween(*before)), F.lit(0))
+        .alias("_off_leaf")).join(branches, [*parts, "_branch"]).drop("_branch")
+    rank = [order_col] + ([tiebreak] if tiebreak else [])
+    rn = F.row_number().over(Window.partitionBy(*parts, "_leaf").orderBy(*rank))
+    out = b.drop("_branch").withColumn("_rn", rn).join(leaves, [*parts, "_leaf"])
+    out = out.withColumn(
+        pos_col, (F.col("_off_branch") + F.col("_off_leaf") + F.col("_rn") - 1).cast("long"))
     if size_col:
         out = out.withColumn(size_col, F.col("_tot").cast("long"))
-    return out.drop("_bkt", "_rn", "_off", "_tot", "_cnt")
+    return out.drop("_leaf", "_rn", "_off_branch", "_off_leaf", "_tot")
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:

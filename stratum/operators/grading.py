@@ -82,6 +82,38 @@ def one_vs_rest_report(ovr: DataFrame) -> DataFrame:
           for code, name in enumerate(GRADE_NAMES)])
 
 
+def one_vs_rest_totals(points: DataFrame, neighbours: DataFrame, k: int) -> DataFrame:
+    """M7 from the neighbours alone: the same table as ``one_vs_rest_report(one_vs_rest(..))``
+    without a row per row and class.
+
+    To a row, a class other than its own that none of its neighbours has is plain: negative,
+    with all neighbours as hits. Only the other classes, at most k + 1, are expanded; the plain
+    rows of a class are what is left of all rows with the same number of neighbours.
+    """
+    nl = neighbours.groupBy("index").agg(F.collect_list("n_label").alias("nl"))  # k labels
+    rows = points.select("index", "label").join(nl, "index", "left").select(
+        "label", F.coalesce("nl", F.array().cast("array<int>")).alias("nl"))
+    rows = rows.withColumn("tn", F.size("nl"))
+    cls = F.explode(F.array_distinct(F.concat(F.array("label"), "nl")))
+    own = F.col("class") == F.col("label")
+    same = F.size(F.filter("nl", lambda v: v == F.col("class")))
+    told = (rows.withColumn("class", cls)
+            .select("class", own.cast("int").alias("is_positive"), "tn",
+                    grade_expr(F.when(own, same).otherwise(F.col("tn") - same), k).alias("minority_type"))
+            .groupBy("class", "is_positive", "tn", "minority_type").agg(F.count(F.lit(1)).alias("n")))
+    by_tn = rows.groupBy("tn").agg(F.count(F.lit(1)).alias("n_all"))  # at most k + 1 rows
+    expanded = told.groupBy("class", "tn").agg(F.sum("n").alias("n_told"))
+    plain = (told.select("class").distinct()
+             .withColumn("tn", F.explode(F.sequence(F.lit(0), F.lit(k)))).join(by_tn, "tn")
+             .join(expanded, ["class", "tn"], "left")
+             .select("class", F.lit(0).alias("is_positive"), "tn", grade_expr(F.col("tn"), k).alias("minority_type"),
+                     (F.col("n_all") - F.coalesce("n_told", F.lit(0))).alias("n")).where("n > 0"))
+    return told.unionByName(plain).groupBy("class", "is_positive").agg(
+        F.sum("n").alias("n"),
+        *[F.sum(F.when(F.col("minority_type") == code, F.col("n")).otherwise(0)).alias(name)
+          for code, name in enumerate(GRADE_NAMES)])
+
+
 def class_list(df: DataFrame, label_col: str = "label") -> list[int]:
     """Distinct class labels (a short list: one entry per class)."""
     return sorted(r[0] for r in df.select(label_col).distinct().collect())

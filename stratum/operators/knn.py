@@ -14,7 +14,8 @@ All neighbour searches run through one blocked kernel:
 * a ``row_number`` window keyed by the query id keeps the final k (Catalyst inserts a
   partial ``WindowGroupLimit`` before the shuffle).
 
-Ties in distance are broken by neighbour id, so results do not depend on the layout.
+Ties in distance are broken by neighbour id, so results do not depend on the layout. NULL,
+NaN and infinite features fail the job: a distance from them has no meaning.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratum.functions.exprs import squared_distance
+from stratum.operators.common import BROADCAST_MAX_ROWS
 
 NEIGHBOUR_SCHEMA = T.StructType([
     T.StructField("index", T.LongType()),
@@ -36,6 +38,9 @@ NEIGHBOUR_SCHEMA = T.StructType([
     T.StructField("n_label", T.IntegerType()),
     T.StructField("d2", T.DoubleType()),
 ])
+# The kernel's rows: the cell searched, and the draw number of a synthetic neighbour (0: original).
+KERNEL_SCHEMA = T.StructType([T.StructField("cell", T.IntegerType()), *NEIGHBOUR_SCHEMA.fields,
+                              T.StructField("n_draw", T.LongType())])
 
 DEFAULT_BLOCK_ROWS = 2048
 
@@ -69,36 +74,46 @@ def _cogroup(q: DataFrame, d: DataFrame, keys, fn, schema, parts: int) -> DataFr
     d = d.repartition(parts, *keys)
     return q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(fn, schema)
 
+def _matrix(features: pd.Series) -> np.ndarray:
+    """The feature arrays as one float matrix; values that are not finite are refused."""
+    x = np.stack(features.to_numpy()).astype(np.float64, copy=False)
+    if not np.isfinite(x).all():
+        raise ValueError("a feature is NULL, NaN or infinite")
+    return x
+
+
 def _block_topk(k: int, exclude_self: bool):
     """Pandas cogroup function: partial top-k of one query block against one data block."""
 
-    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+    def run(key, q, d):
         if q.empty or d.empty:
             return pd.DataFrame({f.name: pd.Series(dtype="float64" if f.name == "d2" else
-                                                   ("int32" if "label" in f.name else "int64"))
-                                 for f in NEIGHBOUR_SCHEMA.fields})
-        qx = np.stack(q["q_features"].to_numpy()).astype(np.float64, copy=False)
-        dx = np.stack(d["features"].to_numpy()).astype(np.float64, copy=False)
+                                                   "int32" if isinstance(f.dataType, T.IntegerType)
+                                                   else "int64") for f in KERNEL_SCHEMA.fields})
+        qx, dx = _matrix(q["q_features"]), _matrix(d["features"])
         qi = q["q_index"].to_numpy(np.int64)
         di = d["index"].to_numpy(np.int64)
+        dd = d["draw"].to_numpy(np.int64)
         dist = np.zeros((qx.shape[0], dx.shape[0]), dtype=np.float64)
         # accumulate feature by feature, left to right, so every engine that sums
         # (a1-b1)^2 + (a2-b2)^2 + ... in order gets the same bits
         for j in range(qx.shape[1]):
             diff = qx[:, j, None] - dx[None, :, j]
             dist += diff * diff
+        own = (qi[:, None] == di[None, :]) & (dd == 0) if exclude_self else None
         if exclude_self:
-            dist[qi[:, None] == di[None, :]] = np.inf
+            dist[own] = np.inf
         kk = min(k, dx.shape[0])
         if kk < dx.shape[0]:
             thr = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
             mask = dist <= thr[:, None]
         else:
             mask = np.ones(dist.shape, dtype=bool)
-        mask &= np.isfinite(dist)
+        if exclude_self:
+            mask &= ~own
         r, c = np.nonzero(mask)
         dv = dist[r, c]
-        order = np.lexsort((di[c], dv, r))
+        order = np.lexsort((dd[c], di[c], dd[c] > 0, dv, r))
         r, c, dv = r[order], c[order], dv[order]
         if len(r):
             starts = np.r_[True, r[1:] != r[:-1]]
@@ -106,45 +121,62 @@ def _block_topk(k: int, exclude_self: bool):
             keep = (np.arange(len(r)) - first) < k
             r, c, dv = r[keep], c[keep], dv[keep]
         return pd.DataFrame({
+            "cell": np.full(len(r), key[0], dtype=np.int32),
             "index": qi[r],
             "label": q["q_label"].to_numpy(np.int32)[r],
             "n_index": di[c],
             "n_label": d["label"].to_numpy(np.int32)[c],
             "d2": dv,
+            "n_draw": dd[c],
         })
 
     return run
 
 
+def _top_k(partial: DataFrame, k: int, keys=("index",)) -> DataFrame:
+    """The final k of each query (and cell) from the blocks' partial lists; originals come
+    before synthetic rows at the same distance, then the smaller id, then the earlier draw."""
+    w = Window.partitionBy(*keys).orderBy("d2", F.col("n_draw") > 0, "n_index", "n_draw")
+    return partial.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+
+
 def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_self: bool,
                        block_rows: int = DEFAULT_BLOCK_ROWS, min_split: int = 1,
                        max_cells: int | None = None,
-                       fixed_splits: tuple[int, int] | None = None) -> DataFrame:
+                       fixed_splits: tuple[int, int] | None = None,
+                       per_cell: bool = False) -> DataFrame:
     """Top-k neighbours of each query row among the data rows of the cells it probes.
 
     ``query``: ``index, label, features, probes array<int>``;
     ``data``: ``index, label, features, cell int``.
-    Returns ``index, label, n_index, n_label, d2, rn`` (rn 1..k, by d2 then n_index).
+    Returns ``index, label, n_index, n_label, d2, rn`` (rn 1..k, by d2 then n_index). With
+    ``per_cell`` a query gets its k neighbours in each cell it probes, and ``cell`` is a
+    column. Synthetic data rows carry ``draw`` > 0 (their ``index`` is only a tie-break).
 
     ``max_cells`` is the proven bound on distinct cells (it sizes the broadcast of the split
     table); when None the split table is left to AQE. ``fixed_splits = (data splits, query
     splits)`` skips the split table (one cell whose sizes the caller counted).
     """
     keys = ["cell", "dsub", "qsub"]
+    if "draw" not in data.columns:
+        data = data.withColumn("draw", F.lit(0).cast("long"))
+
+    def answer(partial: DataFrame) -> DataFrame:
+        top = _top_k(partial, k, ("cell", "index") if per_cell else ("index",))
+        return top.drop("n_draw") if per_cell else top.drop("cell", "n_draw")
+
     if fixed_splits is not None:
         sd, sq = fixed_splits
-        d = (data.select("index", "label", "features", "cell")
-             .withColumn("dsub", F.pmod(F.xxhash64("index"), F.lit(sd)).cast("int"))
+        d = (data.select("index", "label", "features", "cell", "draw")
+             .withColumn("dsub", F.pmod(F.xxhash64("index", "draw"), F.lit(sd)).cast("int"))
              .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.lit(sq - 1)))))
         q = (query.select(F.col("index").alias("q_index"), F.col("label").alias("q_label"),
                           F.col("features").alias("q_features"),
                           F.explode("probes").alias("cell"))
              .withColumn("qsub", F.pmod(F.xxhash64("q_index", F.lit(7)), F.lit(sq)).cast("int"))
              .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.lit(sd - 1)))))
-        partial = _cogroup(q, d, keys, _block_topk(k, exclude_self), NEIGHBOUR_SCHEMA,
-                           _kernel_partitions(data, sd * sq))
-        w = Window.partitionBy("index").orderBy("d2", "n_index")
-        return partial.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+        return answer(_cogroup(q, d, keys, _block_topk(k, exclude_self), KERNEL_SCHEMA,
+                               _kernel_partitions(data, sd * sq)))
     dcnt = data.groupBy("cell").agg(F.count(F.lit(1)).alias("_dn"))
     qcnt = query.select(F.explode("probes").alias("cell")).groupBy("cell") \
         .agg(F.count(F.lit(1)).alias("_qn"))
@@ -154,12 +186,12 @@ def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_sel
 
     splits = dcnt.join(qcnt, "cell").select("cell", nsplit(F.col("_dn")).alias("_sd"),
                                             nsplit(F.col("_qn")).alias("_sq"))
-    if max_cells is not None and max_cells <= 100_000:
+    if max_cells is not None and max_cells <= BROADCAST_MAX_ROWS:
         splits = F.broadcast(splits)
 
-    d = (data.select("index", "label", "features", "cell")
+    d = (data.select("index", "label", "features", "cell", "draw")
          .join(splits, "cell")
-         .withColumn("dsub", F.pmod(F.xxhash64("index"), F.col("_sd")).cast("int"))
+         .withColumn("dsub", F.pmod(F.xxhash64("index", "draw"), F.col("_sd")).cast("int"))
          .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.col("_sq") - 1)))
          .drop("_sd", "_sq"))
     q = (query.select(F.col("index").alias("q_index"), F.col("label").alias("q_label"),
@@ -168,10 +200,8 @@ def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_sel
          .withColumn("qsub", F.pmod(F.xxhash64("q_index", F.lit(7)), F.col("_sq")).cast("int"))
          .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.col("_sd") - 1)))
          .drop("_sd", "_sq"))
-    partial = _cogroup(q, d, keys, _block_topk(k, exclude_self), NEIGHBOUR_SCHEMA,
-                       _kernel_partitions(data))
-    w = Window.partitionBy("index").orderBy("d2", "n_index")
-    return partial.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    return answer(_cogroup(q, d, keys, _block_topk(k, exclude_self), KERNEL_SCHEMA,
+                           _kernel_partitions(data)))
 
 
 def _parallel_split(df: DataFrame) -> int:
@@ -240,8 +270,7 @@ def average_distance(data: DataFrame, group_col: str = "label", *,
         if q.empty or d.empty:
             return pd.DataFrame({"index": pd.Series(dtype="int64"),
                                  "s": pd.Series(dtype="float64")})
-        qx = np.stack(q["q_features"].to_numpy())
-        dx = np.stack(d["features"].to_numpy())
+        qx, dx = _matrix(q["q_features"]), _matrix(d["features"])
         dist = np.zeros((qx.shape[0], dx.shape[0]))
         for j in range(qx.shape[1]):
             diff = qx[:, j, None] - dx[None, :, j]
@@ -293,38 +322,126 @@ def fit_cells(data: DataFrame, n_cells: int, seed: int = 42, max_iter: int = 20)
     return np.array(model.clusterCenters(), dtype=np.float64)
 
 
-def nearest_cells(centres: np.ndarray, nprobe: int):
-    """Pandas UDF: ids of the ``nprobe`` nearest centres of each row (ties by id)."""
-    nprobe = min(nprobe, centres.shape[0])
+def _centre_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    dist = np.zeros((x.shape[0], centres.shape[0]))
+    for j in range(x.shape[1]):
+        diff = x[:, j, None] - centres[None, :, j]
+        dist += diff * diff
+    return dist
+
+
+# Distances to centres held at once by a probing task, in numbers.
+PROBE_CHUNK = 1 << 22
+
+
+def nearest_cells(centres, nprobe: int):
+    """Pandas UDF: ids of the ``nprobe`` nearest centres of each row (ties by id).
+
+    ``centres`` is a broadcast of the ``n_cells x d`` array; rows are taken in chunks, so a
+    task holds a bounded distance block whatever the batch and the number of cells."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def probe(feats: pd.Series) -> pd.Series:
-        x = np.stack(feats.to_numpy())
-        dist = np.zeros((x.shape[0], centres.shape[0]))
-        for j in range(x.shape[1]):
-            diff = x[:, j, None] - centres[None, :, j]
-            dist += diff * diff
-        order = np.argsort(dist, axis=1, kind="stable")[:, :nprobe]
-        return pd.Series(list(order.astype(np.int32)))
+        c = centres.value
+        out, step = [], max(1, PROBE_CHUNK // len(c))
+        for i in range(0, len(feats), step):
+            dist = _centre_distances(_matrix(feats.iloc[i:i + step]), c)
+            out += list(np.argsort(dist, axis=1, kind="stable")[:, :nprobe].astype(np.int32))
+        return pd.Series(out)
 
     return probe
 
 
+def _cell_parts(data: DataFrame, centres):
+    """Data rows with their own (nearest) cell, ready for ``blocked_neighbours``."""
+    return data.select("index", "label", "features", nearest_cells(centres, 1)("features")[0].alias("cell"))
+
+
 def knn_cells(data: DataFrame, k: int, n_cells: int, nprobe: int, query: DataFrame | None = None,
               *, seed: int = 42, block_rows: int = DEFAULT_BLOCK_ROWS,
               centres: np.ndarray | None = None) -> DataFrame:
     """K4: approximate kNN. Data rows live in their nearest k-means cell; each query row
     searches only its ``nprobe`` nearest cells. ``nprobe = n_cells`` is exact. Hot cells are
-    split into bounded sub-blocks like any other cell. Same output as :func:`knn`."""
+    split into bounded sub-blocks like any other cell. Same output as :func:`knn`.
+
+    Every query gets k neighbours (or all there are): those with fewer search again with four
+    times the cells, until none is short. The rounds are eager; each looks only at the short
+    queries, and its result is checkpointed."""
+    from stratum.session import reliable_checkpoint
     centres = centres if centres is not None else fit_cells(data, n_cells, seed)
-    probe = nearest_cells(centres, nprobe)
-    self_join = query is None
-    q = (data if self_join else query).select("index", "label", "features",
-                                              probe("features").alias("probes"))
-    d = data.select("index", "label", "features",
-                    nearest_cells(centres, 1)("features")[0].alias("cell"))
-    return blocked_neighbours(q, d, k, exclude_self=self_join, block_rows=block_rows,
-                              max_cells=centres.shape[0])
+    n_cells = centres.shape[0]
+    shared = data.sparkSession.sparkContext.broadcast(centres)
+    queries = (data if query is None else query).select("index", "label", "features")
+    d = _cell_parts(data, shared)
+
+    def search(rows: DataFrame, probes: int) -> DataFrame:
+        q = rows.select("index", "label", "features", nearest_cells(shared, probes)("features").alias("probes"))
+        return blocked_neighbours(q, d, k, exclude_self=query is None, block_rows=block_rows, max_cells=n_cells)
+
+    nprobe = min(nprobe, n_cells)
+    found = search(queries, nprobe)
+    while nprobe < n_cells:
+        found = reliable_checkpoint(found, cache=False)
+        full = found.where(F.col("rn") == k).select("index")
+        short = queries.join(full, "index", "left_anti")
+        if short.isEmpty():
+            break
+        nprobe = min(4 * nprobe, n_cells)
+        found = found.join(full, "index", "left_semi").unionByName(search(short, nprobe))
+    return found
+
+
+# Rows of a cell that the pruned exact search aims at.
+CELL_ROWS = 4096
+
+
+def knn_pruned(data: DataFrame, k: int, n_cells: int, *, block_rows: int = DEFAULT_BLOCK_ROWS,
+               seed: int = 42, centres: np.ndarray | None = None) -> DataFrame:
+    """K3, exact, without looking at all pairs: the same table as :func:`knn`.
+
+    Rows live in k-means cells with a radius. A first pass searches near cells until every row
+    has k neighbours; the k-th distance bounds what can be nearer. A second pass searches only
+    those cells whose ball comes within that bound, by an equi-join on the cell. Cells that
+    barely separate the rows are all searched, so the worst case is the all-pairs search.
+    """
+    from stratum.session import reliable_checkpoint
+    centres = centres if centres is not None else fit_cells(data, n_cells, seed)
+    spark, n_cells = data.sparkSession, centres.shape[0]
+    near = knn_cells(data, k, n_cells, 1, block_rows=block_rows, centres=centres)
+    if n_cells == 1:
+        return near
+    shared = spark.sparkContext.broadcast(centres)
+
+    @F.pandas_udf(T.DoubleType())
+    def own_distance(feats: pd.Series, cell: pd.Series) -> pd.Series:
+        diff = _matrix(feats) - shared.value[cell.to_numpy()]
+        return pd.Series(np.sqrt((diff * diff).sum(axis=1)))
+
+    d = _cell_parts(data, shared)
+    # one row per cell, at most n_cells: the cells' radii
+    radii = np.zeros(n_cells)
+    for r in d.select("cell", own_distance("features", "cell").alias("r")).groupBy("cell") \
+            .agg(F.max("r").alias("r")).collect():
+        radii[r["cell"]] = r["r"]
+    reach = spark.sparkContext.broadcast(radii)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def probes(feats: pd.Series, bound: pd.Series) -> pd.Series:
+        c, out, step = shared.value, [], max(1, PROBE_CHUNK // n_cells)
+        limit = bound.to_numpy(dtype=np.float64)
+        for i in range(0, len(feats), step):
+            dist = np.sqrt(_centre_distances(_matrix(feats.iloc[i:i + step]), c))
+            # a little wider than the bound, for rounding
+            hit = dist - reach.value[None, :] <= limit[i:i + step, None] * (1 + 1e-9) + 1e-9
+            out += [np.flatnonzero(h).astype(np.int32) for h in hit]
+        return pd.Series(out)
+
+    bound = reliable_checkpoint(near.groupBy("index").agg(
+        F.when(F.max("rn") == k, F.sqrt(F.max("d2"))).otherwise(F.lit(float("inf"))).alias("bound")), cache=False)
+    q = data.select("index", "label", "features").join(bound, "index", "left").select(
+        "index", "label", "features",
+        probes("features", F.coalesce("bound", F.lit(float("inf")))).alias("probes"))
+    return blocked_neighbours(q, d, k, exclude_self=True, block_rows=block_rows, max_cells=n_cells)
 
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:

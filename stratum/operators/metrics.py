@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The ten metric names, in the order of the result table.
 METRIC_NAMES = ("AvAvg", "MAvG", "RecM", "PrecM", "Recu", "Precu", "FbM", "Fbu", "AvFb", "CBA")
 
 

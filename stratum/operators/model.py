@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.operators.knn import blocked_neighbours, _parallel_split
+from stratum.operators.knn import blocked_neighbours
 
 
 def random_forest_predict(train: DataFrame, test: DataFrame, num_trees: int = 10,
@@ -26,13 +24,6 @@ def random_forest_predict(train: DataFrame, test: DataFrame, num_trees: int = 10
     return out.withColumn("prediction", F.col("prediction").cast("int"))
 
 
-def synthetic_ids(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Give synthetic rows (NULL index) a unique negative id -(label*10^12 + draw) so they
-    can take part in neighbour search."""
-    sid = -(F.col("label").cast("long") * F.lit(10 ** 12) + F.col("draw"))
-    return df.withColumn("index", F.coalesce(F.col("index"), sid))
-
-
 def knn_vote_predict(train: DataFrame, test: DataFrame, k: int = 5,
                      cell_col: str | None = None) -> DataFrame:
     """L2 (a stand-in, not part of the workload): predict each test row as the majority
@@ -40,29 +31,20 @@ def knn_vote_predict(train: DataFrame, test: DataFrame, k: int = 5,
     resample -> predict -> metrics path can be checked in SQL.
 
     With ``cell_col``, train and test rows carry a grid-cell id (int) and every test row is
-    only compared with train rows of the same cell - one plan for a whole grid.
-    Returns ``cell, index, label, prediction``.
+    only compared with train rows of the same cell - one plan for a whole grid. At equal
+    distance an original row comes before a synthetic one, then the smaller id, or for
+    synthetic rows the smaller label and draw. Returns ``cell, index, label, prediction``.
     """
     cell = F.col(cell_col) if cell_col else F.lit(0)
-    d = synthetic_ids(train).select("index", "label", "features", cell.alias("cell"))
+    made = F.col("is_synthetic") if "is_synthetic" in train.columns else F.lit(False)
+    draw = F.col("draw") if "draw" in train.columns else F.lit(0)
+    d = train.select(F.when(made, F.col("label").cast("long")).otherwise(F.col("index")).alias("index"),
+                     "label", "features", cell.alias("cell"),
+                     F.when(made, draw).otherwise(F.lit(0)).cast("long").alias("draw"))
     q = test.select("index", "label", "features", F.array(cell).alias("probes"))
-    # neighbours of a test row are found per cell: the cell is part of the query key
-    qk = q.withColumn("_qcell", F.col("probes")[0])
-    nb = _cell_neighbours(qk, d, k)
-    votes = nb.groupBy("_qcell", "index", "label", "n_label").agg(F.count(F.lit(1)).alias("v"))
-    w = Window.partitionBy("_qcell", "index").orderBy(F.desc("v"), F.asc("n_label"))
+    # the cell is a key of the search, so one test row may take part in many cells
+    nb = blocked_neighbours(q, d, k, exclude_self=False, min_split=1, per_cell=True)
+    votes = nb.groupBy("cell", "index", "label", "n_label").agg(F.count(F.lit(1)).alias("v"))
+    w = Window.partitionBy("cell", "index").orderBy(F.desc("v"), F.asc("n_label"))
     pred = votes.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    return pred.select(F.col("_qcell").alias("cell"), "index", "label",
-                       F.col("n_label").alias("prediction"))
-
-
-def _cell_neighbours(q: DataFrame, d: DataFrame, k: int) -> DataFrame:
-    """Top-k per (cell, query row) when the same query row appears in several cells.
-
-    The query id is made unique per cell by pairing it with the cell, then split back."""
-    q2 = q.select((F.col("_qcell").cast("long") * F.lit(1 << 40) + F.col("index")).alias("index"),
-                  "label", "features", "probes")
-    nb = blocked_neighbours(q2, d, k, exclude_self=False, min_split=1)
-    return nb.select(F.floor(F.col("index") / F.lit(1 << 40)).cast("int").alias("_qcell"),
-                     F.pmod(F.col("index"), F.lit(1 << 40)).alias("index"),
-                     "label", "n_index", "n_label", "d2", "rn")
+    return pred.select("cell", "index", "label", F.col("n_label").alias("prediction"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.operators.common import dense_positions, global_rank
@@ -114,11 +114,13 @@ def string_index(df: DataFrame, cols: Sequence[str], suffix: str = "_idx",
     most frequent first, ties alphabetical), named ``<col>_idx``.
 
     The dictionary is built from the distinct values of each column on executors and
-    ranked with :func:`global_rank` (no single-task sort of the category domain).
+    ranked with :func:`global_rank` (no single-task sort of the category domain). A NULL
+    category fails the job.
     """
     out = df
     for c in cols:
         d = dictionary(df, c)
+        out = out.withColumn(c, _checked(F.col(c), f"category {c}"))
         out = out.join(d.select(F.col("value").alias(c), F.col("label").alias(c + suffix)),
                        on=c, how="left")
         if drop:
@@ -141,17 +143,8 @@ def alphabetical_dictionary(df: DataFrame, col: str) -> DataFrame:
     return ranked.select(F.col("_r").cast("int").alias("label"), "value")
 
 
-# A category domain up to this many values is ranked in one window task.
-SMALL_DOMAIN = 100_000
-
-
 def _rank(values: DataFrame, order) -> DataFrame:
-    """``_r`` = 0-based position in ``order``. The domain is counted first (cheap): a domain
-    proven to be at most ``SMALL_DOMAIN`` values is ranked in one window; a larger one with
-    the distributed, checkpointed :func:`global_rank`."""
-    n = values.count()
-    if n <= SMALL_DOMAIN:
-        return values.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1)
+    """``_r`` = 0-based position in ``order``, by the distributed :func:`global_rank`."""
     return global_rank(values, order, "_r")
 
 

@@ -22,30 +22,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.functions.exprs import draw_position
+from stratum.functions.exprs import draw_position, hash_number
 from stratum.operators.aggregates import counts_with_targets, mean_of_arrays
-from stratum.operators.common import default_buckets, dense_positions
+from stratum.operators.common import default_buckets, dense_positions, join_small
 from stratum.operators.subsets import filter_types
 
 METHODS = ("none", "undersample", "oversample", "smote")
 DRAW_CHUNK = 100_000
 # Draws per (class, position) join key before the class's rows are replicated (salted).
 SALT_TARGET = 10_000
-MAX_SALT = 4096
 
 
 def _salt_factor(n: Column, draws: Column) -> Column:
     """Replication factor of a class so each (class, position, salt) key receives about
     ``SALT_TARGET`` draws at most: a tiny class drawn from very often is a hot key."""
     r = F.ceil(draws.cast("double") / (n.cast("double") * F.lit(SALT_TARGET)))
-    return F.greatest(F.lit(1), F.least(r, F.lit(MAX_SALT))).cast("int")
+    return F.greatest(F.lit(1), r).cast("int")
 
 
-def _salted(numbered: DataFrame, factors: DataFrame, keys) -> DataFrame:
-    """``numbered`` rows of the classes in ``factors`` (keys + ``_r``), each replicated
-    ``_r`` times with ``_salt`` 0.._r-1; ``factors`` has one row per class and key."""
-    return numbered.join(factors, list(keys)) \
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_r") - 1))).drop("_r")
+def _in_need(df: DataFrame, need: DataFrame, keys) -> DataFrame:
+    """The rows of the classes that get new rows, with their salt factor ``_r``.
+
+    ``need`` has one row per class and key. Joined first, it keeps the classes that get
+    nothing (the largest among them) out of the position and draw shuffles; the small side
+    goes through the checked broadcast, so the large classes are not shuffled for it."""
+    return join_small(df, need.select(*keys, "_r"), list(keys))
+
+
+def _salted(numbered: DataFrame, keys) -> DataFrame:
+    """``numbered`` rows, each replicated ``_r`` times with ``_salt`` 0.._r-1."""
+    return numbered.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_r") - 1))).drop("_r")
 
 
 def _original(df: DataFrame, keys=()) -> DataFrame:
@@ -77,12 +83,15 @@ def undersample(df: DataFrame, seed: int = 42, keys=()) -> DataFrame:
     """Every class cut to exactly the smallest class size, keeping the rows with the
     smallest ``md5(seed:index)`` (ties by index). Exact size, seeded."""
     k = list(keys)
-    c = counts_with_targets(df, k).select(*k, "label", "min_n")
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("index").cast("string"))),
-                           1, 8), 16, 10).cast("bigint")
-    ranked = dense_positions(df.withColumn("_h", h), "_h", [*k, "label"], pos_col="_pos",
-                             tiebreak="index")
-    kept = ranked.join(c, [*k, "label"]).where(F.col("_pos") < F.col("min_n"))
+    c = counts_with_targets(df, k).select(*k, "label", "n", "min_n")
+    h = hash_number(F.concat_ws(":", F.lit(str(seed)), F.col("index").cast("string")))
+    # a class of n rows keeps about min_n below this hash; the margin of ten standard
+    # deviations makes fewer than min_n impossible in practice, and the row number is exact
+    share = (F.col("min_n") + 10 * F.sqrt(F.col("min_n").cast("double")) + 100) / F.col("n")
+    near = join_small(df.withColumn("_h", h), c, [*k, "label"]).where(
+        F.col("_h") < F.least(share, F.lit(1.0)) * F.lit(float(1 << 60)))
+    kept = dense_positions(near.drop("n"), "_h", [*k, "label"], pos_col="_pos", tiebreak="index")
+    kept = kept.where(F.col("_pos") < F.col("min_n"))
     return _original(kept.drop("_h", "_pos", "min_n"), k)
 
 
@@ -98,8 +107,8 @@ def oversample(df: DataFrame, seed: int = 42, keys=()) -> DataFrame:
     need = need.withColumn("_r", _salt_factor(F.col("n"), F.col("m")))
     draws = draw_table(need).withColumn("pos", draw_position(F.col("n"), seed, "label", "s")) \
         .withColumn("_salt", F.pmod(F.col("s"), F.col("_r")).cast("int"))
-    numbered = _salted(dense_positions(df, "index", [*k, "label"]),
-                       need.select(*k, "label", "_r"), [*k, "label"])
+    numbered = _salted(dense_positions(_in_need(df, need, [*k, "label"]), "index", [*k, "label"]),
+                       [*k, "label"])
     copies = draws.select(*k, "label", "pos", "s", "_salt") \
         .join(numbered, [*k, "label", "pos", "_salt"])
     mt = F.col("minority_type") if "minority_type" in df.columns else F.lit(-1)
@@ -127,9 +136,9 @@ def smote_rows(df: DataFrame, seed: int = 42, draws_per_row: int = 5, keys=()) -
     dj = dj.select(*k, "label", "s",
                    draw_position(F.col("n"), seed, "label", "s", "j").alias("pos"),
                    F.pmod(F.col("s"), F.col("_r")).cast("int").alias("_salt"))
-    numbered = _salted(dense_positions(df.select(*k, "index", "label", "features"), "index",
-                                       [*k, "label"]),
-                       need.select(*k, "label", "_r"), [*k, "label"])
+    numbered = _salted(dense_positions(
+        _in_need(df.select(*k, "index", "label", "features"), need, [*k, "label"]), "index",
+        [*k, "label"]), [*k, "label"])
     hit = dj.join(numbered, [*k, "label", "pos", "_salt"])
     grp = hit.groupBy(*k, "label", "s").agg(
         F.array_distinct(F.array_sort(F.collect_list(F.struct("pos", "features")))).alias("_h"))
@@ -179,9 +188,9 @@ def smote_plus_rows(selected: DataFrame, pool: DataFrame, draws_per_row: int,
         "label", "cluster", "s", "j",
         draw_position(F.col("size"), seed, "label", "s", "j").alias("pos"),
         F.pmod(F.col("s"), F.col("_r")).cast("int").alias("_salt"))
-    numbered = _salted(dense_positions(pool.select("label", "cluster", "index", "features"),
-                                       "index", ["label", "cluster"]),
-                       fac, ["label", "cluster"])
+    numbered = _salted(dense_positions(
+        _in_need(pool.select("label", "cluster", "index", "features"), fac, ["label", "cluster"]),
+        "index", ["label", "cluster"]), ["label", "cluster"])
     hit = dj.join(numbered, ["label", "cluster", "pos", "_salt"])
     grp = hit.groupBy("label", "s").agg(
         F.array_sort(F.collect_list(F.struct("j", "features"))).alias("_h"))

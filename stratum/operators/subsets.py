@@ -11,7 +11,7 @@ from stratum.functions.exprs import subset_text
 
 
 def subset_list() -> list[list[int]]:
-    """the 15 non-empty subsets of grades {0,1,2,3}. Subset i keeps grade t when bit t
+    """the 15 non-empty subsets of grades {0,1,2,3} (a fixed order). Subset i keeps grade t when bit t
     of i is clear, so i=0 is [0 1 2 3] and i=14 is [0]."""
     return [[t for t in range(4) if not (i >> t) & 1] for i in range(15)]
 

@@ -9,15 +9,16 @@ cluster is not left idle by small fits.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratum.operators.aggregates import cluster_histogram
 from stratum.operators.clusters import class_clusters
 from stratum.operators.folds import assign_folds
 from stratum.operators.metrics import METRIC_NAMES, evaluate
@@ -29,7 +30,8 @@ from stratum.session import reliable_checkpoint
 RESULT_SCHEMA = T.StructType(
     [T.StructField("fold", T.IntegerType()), T.StructField("index", T.IntegerType()),
      T.StructField("sampling", T.StringType()), T.StructField("minority_types", T.StringType()),
-     T.StructField("clusters", T.IntegerType()), T.StructField("cutoff", T.DoubleType())]
+     T.StructField("clusters", T.IntegerType()), T.StructField("cutoff", T.DoubleType()),
+     T.StructField("n_train", T.LongType()), T.StructField("n_test", T.LongType())]
     + [T.StructField(m, T.DoubleType()) for m in METRIC_NAMES]
     + [T.StructField("n_classes_scored", T.LongType()), T.StructField("status", T.StringType())])
 
@@ -38,10 +40,15 @@ def _types_text(types: Sequence[int]) -> str:
     return "[" + " ".join(str(t) for t in types) + "]"
 
 
-def _fit_predict(train: DataFrame, test: DataFrame, cell: int, num_trees: int, seed: int
-                 ) -> DataFrame:
+# Training rows per partition of a model fit: a fit runs a dozen small jobs over its
+# training rows, whose tasks should not outnumber the work.
+FIT_ROWS = 50_000
+
+
+def _fit_predict(train: DataFrame, test: DataFrame, cell: int, n_train: int, num_trees: int,
+                 seed: int) -> DataFrame:
     """Fit one forest on a persisted training slice; lazy predictions tagged with ``cell``."""
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.coalesce(-(-n_train // FIT_ROWS)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         pred = random_forest_predict(train, test, num_trees=num_trees, seed=seed)
     finally:
@@ -49,105 +56,121 @@ def _fit_predict(train: DataFrame, test: DataFrame, cell: int, num_trees: int, s
     return pred.select(F.lit(cell).alias("cell"), "label", "prediction")
 
 
+def _smote_plus_sizes(clustered: DataFrame, subsets, cutoffs) -> dict:
+    """Training rows of every (subset, cutoff) cell of one clustering, None where a class
+    keeps no row (F5, F6). Worked out from the clusters' grade counts, at most classes x
+    clusters x 4 rows, in one job."""
+    counts: dict = {}
+    for r in cluster_histogram(clustered).collect():
+        counts.setdefault((r["label"], r["cluster"]), {})[r["minority_type"]] = r["n"]
+    classes = {label for label, _ in counts}
+    out = {}
+    for types in subsets:
+        for cutoff in cutoffs:
+            kept: dict = {}
+            for (label, _), by_type in counts.items():
+                chosen = sum(by_type.get(t, 0) for t in types)
+                if chosen >= sum(by_type.values()) * cutoff and chosen:
+                    kept[label] = kept.get(label, 0) + chosen
+            half = max(kept.values(), default=0) // 2
+            full = sum(max(n, half) for n in kept.values())
+            out[tuple(types), cutoff] = full if kept and set(kept) == classes else None
+    return out
+
+
 def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "undersample",
                                                                   "oversample", "smote"),
                    subsets: Sequence[Sequence[int]] | None = None, num_splits: int = 5,
                    folds: Sequence[int] | None = None,
                    cluster_ks: Sequence[int] = (2, 5, 10, 25, 50),
                    cutoffs: Sequence[float] = (0.0,), num_trees: int = 10, seed: int = 42,
-                   cluster_seed: int = 1, parallel_fits: int = 4) -> DataFrame:
+                   cluster_seed: int = 1, parallel_fits: int = 4, pool: str = "class",
+                   regrade: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None
+                   ) -> DataFrame:
     """Result table, one row per (fold, cell), columns of ``RESULT_SCHEMA``.
 
     ``minority``: graded table ``index, label, minority_type, features`` (scaled). Folds are
     contiguous by index rank (V1); train = the other folds of the minority table, test =
     this fold (V2). ``smotePlus`` expands over ``cluster_ks`` x subsets x ``cutoffs`` (V4);
-    the other methods over subsets (V3). A cell whose training set is empty yields a row
-    with ``status = 'empty_class'`` and no metrics. ``index`` restarts per fold and also
-    advances over empty cells (V6).
+    the other methods over subsets (V3). A cell whose training set is empty, or for
+    ``smotePlus`` lacks a class, yields a row with ``status = 'empty_class'`` and no metrics.
+    ``index`` restarts per fold and also advances over empty cells (V6).
+
+    ``pool`` names the rows SMOTE+ draws from: the whole ``class`` or only the ``selected``
+    grades. ``regrade(train, test)``, where given, scales and grades each fold's rows anew
+    from its training rows alone and returns both.
     """
+    if pool not in ("class", "selected"):
+        raise ValueError("pool is 'class' or 'selected'")
     spark = minority.sparkSession
     subsets = [list(s) for s in (subsets or subset_list())]
     all_subsets = subset_list()
     subset_ids = [all_subsets.index(sorted(t)) for t in subsets]
     # lineage cut once: every fold, cell and model fit starts from this written table
     with_folds = reliable_checkpoint(assign_folds(minority, num_splits))
-    out: list[Row] = []
-    try:
-        for f in (folds if folds is not None else range(num_splits)):
-            train = with_folds.where(F.col("fold") != f).drop("fold") \
-                .persist(StorageLevel.MEMORY_AND_DISK)
-            test = with_folds.where(F.col("fold") == f).drop("fold") \
-                .persist(StorageLevel.MEMORY_AND_DISK)
-            classes = {r[0] for r in train.select("label").distinct().collect()}
-            cells = []  # (method, types, clusters, cutoff, train slice or None when empty)
-            cached = []
-            for method in methods:
-                if method == "smotePlus":
-                    for k in cluster_ks:
-                        clustered = reliable_checkpoint(
-                            class_clusters(train, k, seed=cluster_seed))
-                        pool = clustered.select("label", "cluster", "index", "features")
-                        for types in subsets:
-                            for cutoff in cutoffs:
-                                sel = select_by_clusters(clustered, types, cutoff).drop("k_eff")
-                                # every class of the fold must keep a row
-                                kept = {r[0] for r in sel.select("label").distinct().collect()}
-                                tr = smote_plus(sel, pool, max(k, 1), seed) \
-                                    if kept >= classes and kept else None
-                                cells.append((method, types, k, float(cutoff), tr))
-                else:
-                    # every requested subset of this fold resampled in one keyed plan
-                    keyed = resample(filter_all_subsets(train)
-                                     .where(F.col("subset_id").isin(subset_ids)),
-                                     method, seed, keys=["subset_id"]) \
-                        .persist(StorageLevel.MEMORY_AND_DISK)
-                    cached.append(keyed)
-                    sizes = {r[0]: r[1] for r in keyed.groupBy("subset_id").count().collect()}
-                    for types, sid in zip(subsets, subset_ids):
-                        tr = keyed.where(F.col("subset_id") == sid).drop("subset_id") \
-                            if sizes.get(sid, 0) > 0 else None
-                        cells.append((method, types, None, None, tr))
-
-            def run(i_cell):
-                i, cell = i_cell
-                tr = cell[4]
-                return None if tr is None else _fit_predict(tr, test, i, num_trees, seed)
-
-            with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool_ex:
-                preds = list(pool_ex.map(run, enumerate(cells)))
-            live = [p for p in preds if p is not None]
-            scores = {}
-            if live:
-                allp = reduce(lambda a, b: a.unionByName(b), live)
-                # one evaluation plan for every cell of the fold: one row per cell comes back
-                scores = {r["cell"]: r.asDict() for r in evaluate(allp, ["cell"]).collect()}
-            for i, cell in enumerate(cells):
-                method, types, k, cutoff, _ = cell
-                sc = scores.get(i)
-                base = dict(fold=int(f), index=i, sampling=method,
-                            minority_types=_types_text(types), clusters=k, cutoff=cutoff)
-                if sc is None:
-                    out.append(Row(**base, **{m: None for m in METRIC_NAMES},
-                                   n_classes_scored=None, status="empty_class"))
-                else:
-                    out.append(Row(**base, **{m: sc[m] for m in METRIC_NAMES},
-                                   n_classes_scored=sc["n_classes_scored"], status="ok"))
-            for c in cached:
-                c.unpersist()
-            train.unpersist()
-            test.unpersist()
-    finally:
-        pass
+    out: list[tuple] = []
+    for f in (folds if folds is not None else range(max(num_splits, 1))):
+        train, test = (with_folds.where(cond).drop("fold") for cond in (F.col("fold") != f, F.col("fold") == f))
+        if regrade is not None:
+            train, test = regrade(train, test)
+        train, test = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in (train, test))
+        n_test = test.count()
+        cells = []  # (method, types, clusters, cutoff, train slice, its rows or None when empty)
+        cached = [train, test]
+        for method in methods:
+            if method == "smotePlus":
+                for k in cluster_ks:
+                    clustered = reliable_checkpoint(class_clusters(train, k, seed=cluster_seed,
+                                                                   parallel_fits=parallel_fits))
+                    cached.append(clustered)
+                    sizes = _smote_plus_sizes(clustered, subsets, cutoffs)
+                    for types in subsets:
+                        for cutoff in cutoffs:
+                            sel = select_by_clusters(clustered, types, cutoff).drop("k_eff")
+                            drawn = clustered if pool == "class" else sel
+                            tr = smote_plus(sel, drawn.select("label", "cluster", "index", "features"),
+                                            max(k, 1), seed)
+                            cells.append((method, types, k, float(cutoff), tr, sizes[tuple(types), cutoff]))
+            else:
+                # every requested subset of this fold resampled in one keyed plan
+                keyed = resample(filter_all_subsets(train)
+                                 .where(F.col("subset_id").isin(subset_ids)),
+                                 method, seed, keys=["subset_id"]) \
+                    .persist(StorageLevel.MEMORY_AND_DISK)
+                cached.append(keyed)
+                sizes = {r[0]: r[1] for r in keyed.groupBy("subset_id").count().collect()}
+                cells += [(method, types, None, None, keyed.where(F.col("subset_id") == sid).drop("subset_id"),
+                           sizes.get(sid)) for types, sid in zip(subsets, subset_ids, strict=True)]
+
+        def run(i_cell, test=test):
+            i, cell = i_cell
+            return None if not cell[5] else _fit_predict(cell[4], test, i, cell[5], num_trees, seed)
+
+        with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as workers:
+            preds = list(workers.map(run, enumerate(cells)))
+        live = [p for p in preds if p is not None]
+        scores = {}
+        if live and n_test:
+            allp = reduce(lambda a, b: a.unionByName(b), live)
+            # one evaluation plan for every cell of the fold: one row per cell comes back
+            scores = {r["cell"]: r for r in evaluate(allp, ["cell"]).collect()}
+        for i, (method, types, k, cutoff, _, n_train) in enumerate(cells):
+            sc = scores.get(i)
+            out.append((int(f), i, method, _types_text(types), k, cutoff, n_train, n_test,
+                        *[sc[m] if sc else None for m in METRIC_NAMES],
+                        sc["n_classes_scored"] if sc else None, "ok" if sc else "empty_class"))
+        for c in cached:
+            c.unpersist()
+    with_folds.unpersist()
     # one row per experiment cell: tiny, built from the collected metrics rows
-    return spark.createDataFrame([tuple(r[c] for c in RESULT_SCHEMA.fieldNames()) for r in out],
-                                 RESULT_SCHEMA)
+    return spark.createDataFrame(out, RESULT_SCHEMA)
 
 
 def vote_grid_metrics(minority: DataFrame, methods: Sequence[str] = ("none", "undersample",
                                                                      "oversample", "smote"),
                       k: int = 5, num_splits: int = 5, seed: int = 42) -> DataFrame:
     """V3+V5+V6 with the kNN-vote stand-in model (L2): the ten metrics of every
-    (fold, grade subset, method) cell in one plan.
+    (fold, grade subset, method) cell in one plan; an empty cell has ``status`` empty_class.
 
     Training rows are expanded per fold they train (all folds but their own) and per grade
     subset that keeps their grade, resampled with the grid keys, then every test row is
@@ -168,26 +191,27 @@ def vote_grid_metrics(minority: DataFrame, methods: Sequence[str] = ("none", "un
     parts = [resample(train, m, seed, keys=["fold", "subset_id"]).withColumn("method_id", F.lit(i))
              for i, m in enumerate(methods)]
     rs = reduce(lambda a, b: a.unionByName(b), parts)
-    cell = F.col("fold") * 1000 + F.col("subset_id") * 10 + F.col("method_id")
+    # the cells of a fold are numbered method by method, as the result table is (V6)
+    per_fold = 15 * len(methods)
+    cell = F.col("fold") * per_fold + F.col("method_id") * 15 + F.col("subset_id")
     rs = rs.withColumn("cell", cell.cast("int"))
-    n_m = len(methods)
     # every test row takes part in each (subset, method) cell of its own fold
-    cells_of_fold = F.transform(F.sequence(F.lit(0), F.lit(15 * n_m - 1)),
-                                lambda c: (F.col("fold") * 1000 + F.floor(c / n_m) * 10
-                                           + F.pmod(c, F.lit(n_m))).cast("int"))
-    test = f.withColumn("cell", F.explode(cells_of_fold))
+    test = f.withColumn("cell", F.explode(F.sequence(F.col("fold") * per_fold,
+                                                     (F.col("fold") + 1) * per_fold - 1)))
     pred = knn_vote_predict(rs, test, k, cell_col="cell")
     met = evaluate(pred, ["cell"])
     names = F.array(*[F.lit(m) for m in methods])
+    # the whole grid: num_splits x methods x 15 rows; a cell without training or test rows
+    # keeps its number and says so
+    grid = (spark.range(num_splits * per_fold).select(F.col("id").cast("int").alias("cell"))
+            .withColumn("fold", F.floor(F.col("cell") / per_fold).cast("int"))
+            .withColumn("index", (F.col("cell") % per_fold).cast("int"))
+            .withColumn("subset_id", (F.col("index") % 15).cast("int")))
     sub = subsets_table(spark).select("subset_id", "subset")
-    out = met.select(
-        (F.floor(F.col("cell") / 1000)).cast("int").alias("fold"),
-        (F.pmod(F.floor(F.col("cell") / 10), F.lit(100))).cast("int").alias("subset_id"),
-        F.pmod(F.col("cell"), F.lit(10)).cast("int").alias("method_id"),
-        *METRIC_NAMES, "n_classes_scored")
-    out = out.join(F.broadcast(sub), "subset_id")  # 15 rows
+    # both sides have a row per cell at most
+    out = grid.join(F.broadcast(sub), "subset_id").join(F.broadcast(met), "cell", "left")
     return out.select(
-        "fold", (F.col("method_id") * 15 + F.col("subset_id")).cast("int").alias("index"),
-        F.element_at(names, F.col("method_id") + 1).alias("sampling"),
+        "fold", "index", F.element_at(names, F.floor(F.col("index") / 15).cast("int") + 1).alias("sampling"),
         F.col("subset").alias("minority_types"), "subset_id",
-        *[F.round(m, 6).alias(m) for m in METRIC_NAMES], "n_classes_scored")
+        *[F.round(m, 6).alias(m) for m in METRIC_NAMES], "n_classes_scored",
+        F.when(F.col("n_classes_scored").isNull(), "empty_class").otherwise("ok").alias("status"))

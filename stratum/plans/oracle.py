@@ -83,7 +83,7 @@ def doc_graded_prefix(k: int = 5, ds: str = "DS_DOC") -> str:
 def draw_sql(n: str, *parts: str, seed: int = SEED) -> str:
     """md5 draw position, same bits as ``draw_position`` in Spark."""
     key = " || ':' || ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
-    return f"(CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) % {n})"
+    return f"(CAST(('0x' || substr(md5({key}), 1, 15)) AS BIGINT) % {n})"
 
 
 def round_cols(d: int, digits: int = 6, prefix: str = "") -> str:

@@ -36,8 +36,9 @@ def _doc_scaled(spark, sf):
     return scaled_points(D.ds_doc(spark, sf))
 
 
-def _doc_graded(spark, sf, k=5):
-    return graded(D.ds_doc(spark, sf), k)
+def _doc_graded(spark, sf, k=5, persist=True):
+    """The graded table; a report that reads it once asks for no checkpoint."""
+    return graded(D.ds_doc(spark, sf), k, persist=persist)
 
 
 # ----------------------------------------------------------------- grading (flagship)
@@ -48,21 +49,21 @@ def _doc_graded(spark, sf, k=5):
 def minority_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents -> scale -> exact 5-NN -> grade ->
     rows per (class, grade)."""
-    return G.type_report(_doc_graded(spark, sf))
+    return G.type_report(_doc_graded(spark, sf, persist=False))
 
 
 @query("minority_types",
        O.doc_graded_prefix(5) + ' SELECT idx AS "index", label, minority_type FROM g')
 def minority_types_q(spark, sf):
     """M3/M4/M5: the grade of every row, k=5."""
-    return _doc_graded(spark, sf).select("index", "label", "minority_type")
+    return _doc_graded(spark, sf, persist=False).select("index", "label", "minority_type")
 
 
 @query("minority_types_k10",
        O.doc_graded_prefix(10) + ' SELECT idx AS "index", label, minority_type FROM g')
 def minority_types_k10(spark, sf):
     """M1 for general k: grades at k=10."""
-    return _doc_graded(spark, sf, 10).select("index", "label", "minority_type")
+    return _doc_graded(spark, sf, 10, persist=False).select("index", "label", "minority_type")
 
 
 _B, _ = O.ds_sql("DS_DOC")
@@ -150,9 +151,7 @@ def neighbour_match_vector(spark, sf):
 def one_vs_rest_report(spark, sf):
     """M6+M7: per class, positive/negative totals and grade counts in the one-vs-rest view."""
     pts = _doc_scaled(spark, sf)
-    nb = K.knn(pts, 5)
-    ovr = G.one_vs_rest(pts, nb, G.class_list(pts), 5)
-    return G.one_vs_rest_report(ovr)
+    return G.one_vs_rest_totals(pts, K.knn(pts, 5), 5)
 
 
 _SUBSET_TEXT = ("'[' || concat_ws(' ', CASE WHEN (i & 1) = 0 THEN '0' END,"
@@ -183,7 +182,8 @@ def filter_by_subset_counts(spark, sf):
     g = filter_all_subsets(_doc_graded(spark, sf))
     cnt = g.groupBy("subset_id").agg(F.count(F.lit(1)).alias("n"))
     names = subsets_table(spark).select("subset_id", "subset")
-    return F.broadcast(names).join(cnt, "subset_id", "left").fillna(0, subset=["n"])
+    # both sides have a row per subset at most, that is 15
+    return names.join(F.broadcast(cnt), "subset_id", "left").fillna(0, subset=["n"])
 
 
 # ----------------------------------------------------------------- counts, targets, dictionaries
@@ -251,7 +251,7 @@ def oversample_q(spark, sf):
 
 
 _UN = (f"WITH ds AS ({_L}), h AS (SELECT idx, label, CAST(('0x' || substr(md5('{O.SEED}' || ':'"
-       " || CAST(idx AS VARCHAR)), 1, 8)) AS BIGINT) AS hv FROM ds),"
+       " || CAST(idx AS VARCHAR)), 1, 15)) AS BIGINT) AS hv FROM ds),"
        " r AS (SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY hv, idx) AS rn"
        " FROM h), mn AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM ds GROUP BY label))"
        ' SELECT idx AS "index", label FROM r, mn WHERE rn <= mn.m')
@@ -469,6 +469,17 @@ def knn_cells_full(spark, sf):
                      F.round("d2", 6).alias("d2"))
 
 
+@query("knn_exact_pruned",
+       f"WITH ds AS ({_E}), {O.knn_sql('ds', 64, 5)}"
+       " SELECT idx AS \"index\", n_idx AS n_index, CAST(rn AS INTEGER) AS rn,"
+       " round(d2, 6) AS d2 FROM nn")
+def knn_exact_pruned(spark, sf):
+    """K3 by cells with radii (16 k-means cells): equal to the all-pairs search."""
+    nb = K.knn_pruned(D.ds_emb(spark, sf), 5, n_cells=16)
+    return nb.select("index", "n_index", F.col("rn").cast("int").alias("rn"),
+                     F.round("d2", 6).alias("d2"))
+
+
 @query("knn_cells")
 def knn_cells_q(spark, sf):
     """K4: 16 k-means cells, 8 probed per query (approximate; rows-only check, recall is
@@ -480,7 +491,10 @@ def knn_cells_q(spark, sf):
 
 # ----------------------------------------------------------------- grid, models, clusters
 
+from functools import reduce  # noqa: E402
+
 from stratum.operators.clusters import class_clusters  # noqa: E402
+from stratum.operators.metrics import METRIC_NAMES  # noqa: E402
 from stratum.operators.subsets import filter_all_subsets as _fas  # noqa: E402
 from stratum.plans.experiment import run_experiment  # noqa: E402
 
@@ -517,21 +531,66 @@ def grid_counts(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("draw").isNotNull()).alias("n_added"))
 
 
-@query("random_forest_grid")
+_GRID_ROWS = ("fold", "index", "sampling", "minority_types", "clusters", "cutoff", "n_train", "n_test",
+              "status")
+
+
+def _grid_report(res: DataFrame) -> DataFrame:
+    """What does not depend on a model's fit: the cells, their sizes and status, and whether
+    every metric of a scored cell lies in [0, 1]."""
+    fine = [F.col(m).between(0.0, 1.0) for m in METRIC_NAMES]
+    ok = F.when(F.col("status") == "ok", reduce(lambda a, b: a & b, fine))
+    return res.select(*_GRID_ROWS, F.coalesce(ok, F.lit(True)).alias("metrics_in_range"))
+
+
+def _model_grid_sql(cells: str, n_train: str, empty: str) -> str:
+    """Cells of the 5-fold grid with their training and test rows. ``cells`` lists (position,
+    method, clusters, cutoff); a cell's rows are 15 positions long per entry."""
+    return (O.doc_graded_prefix(5) + ", " + O.fold_sql("g") +
+            ", fl AS (SELECT CAST(i AS INTEGER) AS f FROM range(5) t(i)),"
+            f" ss AS (SELECT CAST(i AS INTEGER) AS subset_id, {_SUBSET_TEXT} AS subset FROM range(15) t(i)),"
+            " cl AS (SELECT DISTINCT fl.f AS fold, fo.label FROM fl JOIN fo ON fo.fold <> fl.f),"
+            " c AS (SELECT fl.f AS fold, ss.subset_id, fo.label, count(*) AS n FROM fl CROSS JOIN ss JOIN fo"
+            " ON fo.fold <> fl.f AND ((ss.subset_id >> fo.minority_type) & 1) = 0 GROUP BY ALL),"
+            " t AS (SELECT *, min(n) OVER (PARTITION BY fold, subset_id) AS mn,"
+            " max(n) OVER (PARTITION BY fold, subset_id) AS mx FROM c),"
+            f" m(pos, method, clusters, cutoff) AS (VALUES {cells}),"
+            f" s AS (SELECT m.pos, t.fold, t.subset_id, CAST(sum({n_train}) AS BIGINT) AS n_train,"
+            " count(*) AS n_classes FROM t CROSS JOIN m GROUP BY ALL),"
+            " k AS (SELECT fold, count(*) AS n_classes FROM cl GROUP BY fold),"
+            " te AS (SELECT fl.f AS fold, count(fo.idx) AS n_test FROM fl LEFT JOIN fo ON fo.fold = fl.f GROUP BY fl.f),"
+            f" x AS (SELECT fl.f AS fold, m.*, ss.*, CASE WHEN {empty} THEN NULL ELSE s.n_train END AS n_train"
+            " FROM fl CROSS JOIN m CROSS JOIN ss JOIN k ON k.fold = fl.f"
+            " LEFT JOIN s ON s.fold = fl.f AND s.pos = m.pos AND s.subset_id = ss.subset_id)"
+            ' SELECT x.fold, CAST(pos * 15 + subset_id AS INTEGER) AS "index", method AS sampling,'
+            " subset AS minority_types, clusters, cutoff, n_train, te.n_test,"
+            " CASE WHEN n_train IS NULL THEN 'empty_class' ELSE 'ok' END AS status, true AS metrics_in_range"
+            " FROM x JOIN te ON te.fold = x.fold")
+
+
+_FOREST_CELLS = ", ".join(f"({i}, '{m}', CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE))"
+                          for i, m in enumerate(_GRID_METHODS))
+_CLUSTER_KS = (2, 5, 10, 25, 50)
+_PLUS_CELLS = ", ".join(f"({i}, 'smotePlus', {k}, CAST(0.0 AS DOUBLE))" for i, k in enumerate(_CLUSTER_KS))
+
+
+@query("random_forest_grid",
+       _model_grid_sql(_FOREST_CELLS, "CASE method WHEN 'none' THEN n WHEN 'undersample' THEN mn"
+                       " WHEN 'oversample' THEN mx ELSE greatest(n, mx // 2) END", "s.n_train IS NULL"))
 def random_forest_grid(spark, sf):
-    """L1+V3+V5+V6: random forest (10 trees, seed 42) for every grade subset x method in
-    the reference's single-split mode (20 % holdout); ten metrics per cell (rows-only check:
-    forests depend on the layout). ``run_experiment`` runs the 5-fold grid the same way."""
-    return run_experiment(_doc_graded(spark, sf), methods=("none", "smote"), num_splits=1,
-                          parallel_fits=8)
+    """L1+V3+V5+V6: random forest (10 trees, seed 42) for every fold x grade subset x method,
+    five folds; the cells, their sizes and status are checked, and that the metrics of every
+    forest lie in [0, 1] (their values depend on the layout)."""
+    return _grid_report(run_experiment(_doc_graded(spark, sf), methods=_GRID_METHODS, parallel_fits=8))
 
 
-@query("smote_plus_grid")
+@query("smote_plus_grid",
+       _model_grid_sql(_PLUS_CELLS, "greatest(n, mx // 2)", "s.n_train IS NULL OR s.n_classes < k.n_classes"))
 def smote_plus_grid(spark, sf):
-    """V4+C1+R5+F5+F6: SMOTE+ with per-class k-means (k=2), cutoff 0, every grade subset,
-    single-split (20 % holdout) mode."""
-    return run_experiment(_doc_graded(spark, sf), methods=("smotePlus",), cluster_ks=(2,),
-                          num_splits=1, parallel_fits=8)
+    """V4+C1+R5+F5+F6: SMOTE+ with per-class k-means for k in (2, 5, 10, 25, 50), cutoff 0,
+    every grade subset, five folds; checked like ``random_forest_grid``."""
+    return _grid_report(run_experiment(_doc_graded(spark, sf), methods=("smotePlus",),
+                                       cluster_ks=_CLUSTER_KS, parallel_fits=8))
 
 
 @query("smote_plus")
@@ -588,7 +647,7 @@ def _vote_grid_sql() -> str:
     f = O.fcols(4)
     nf = O.fcols(4, "num.")
     avgs = ", ".join(f"avg(num.f{i}) AS f{i}" for i in range(4))
-    hv = (f"CAST(('0x' || substr(md5('{O.SEED}' || ':' || CAST(idx AS VARCHAR)), 1, 8))"
+    hv = (f"CAST(('0x' || substr(md5('{O.SEED}' || ':' || CAST(idx AS VARCHAR)), 1, 15))"
           " AS BIGINT)")
     methods = "('none', 0), ('undersample', 1), ('oversample', 2), ('smote', 3)"
     return (O.doc_graded_prefix(5) + ", " + O.fold_sql("g") +
@@ -605,14 +664,14 @@ def _vote_grid_sql() -> str:
             f" num AS (SELECT *, row_number() OVER (PARTITION BY fold, subset_id, label ORDER BY idx)"
             f" - 1 AS pos, row_number() OVER (PARTITION BY fold, subset_id, label ORDER BY {hv}, idx)"
             " AS urn FROM tr),"
-            f" r_none AS (SELECT 0 AS mid, fold, subset_id, idx, label, {f} FROM tr),"
-            f" r_under AS (SELECT 1 AS mid, num.fold, num.subset_id, num.idx, num.label, {nf}"
+            f" r_none AS (SELECT 0 AS mid, fold, subset_id, idx, 0 AS sd, label, {f} FROM tr),"
+            f" r_under AS (SELECT 1 AS mid, num.fold, num.subset_id, num.idx, 0, num.label, {nf}"
             " FROM num JOIN t ON num.fold = t.fold AND num.subset_id = t.subset_id"
             " AND num.label = t.label WHERE num.urn <= t.mn),"
             " odr AS (SELECT fold, subset_id, label, n, unnest(generate_series(1, mx - n)) AS s"
             " FROM t WHERE mx - n > 0 AND n > 0),"
-            f" r_over AS (SELECT 2 AS mid, fold, subset_id, idx, label, {f} FROM tr UNION ALL"
-            f" SELECT 2, odr.fold, odr.subset_id, num.idx, num.label, {nf} FROM odr JOIN num"
+            f" r_over AS (SELECT 2 AS mid, fold, subset_id, idx, 0, label, {f} FROM tr UNION ALL"
+            f" SELECT 2, odr.fold, odr.subset_id, num.idx, 0, num.label, {nf} FROM odr JOIN num"
             " ON num.fold = odr.fold AND num.subset_id = odr.subset_id AND num.label = odr.label"
             f" AND num.pos = {O.draw_sql('odr.n', 'odr.label', 'odr.s')}),"
             " sdr AS (SELECT fold, subset_id, label, n, unnest(generate_series(1, mx // 2 - n)) AS s"
@@ -623,14 +682,13 @@ def _vote_grid_sql() -> str:
             f" syn AS (SELECT sdj.fold, sdj.subset_id, sdj.label, sdj.s, {avgs} FROM sdj JOIN num"
             " ON num.fold = sdj.fold AND num.subset_id = sdj.subset_id AND num.label = sdj.label"
             " AND num.pos = sdj.pos GROUP BY sdj.fold, sdj.subset_id, sdj.label, sdj.s),"
-            f" r_smote AS (SELECT 3 AS mid, fold, subset_id, idx, label, {f} FROM tr UNION ALL"
-            " SELECT 3, fold, subset_id, -(CAST(label AS BIGINT) * 1000000000000 + s), label,"
-            f" {f} FROM syn),"
+            f" r_smote AS (SELECT 3 AS mid, fold, subset_id, idx, 0, label, {f} FROM tr UNION ALL"
+            f" SELECT 3, fold, subset_id, CAST(label AS BIGINT), s, label, {f} FROM syn),"
             " rsm AS (SELECT * FROM r_none UNION ALL SELECT * FROM r_under UNION ALL"
             " SELECT * FROM r_over UNION ALL SELECT * FROM r_smote),"
             " pr AS (SELECT r.mid, r.fold, r.subset_id, q.idx, q.label, r.idx AS n_idx,"
             " r.label AS n_label, row_number() OVER (PARTITION BY r.mid, r.fold, r.subset_id, q.idx"
-            f" ORDER BY {O.d2_sql(4, 'q', 'r')}, r.idx) AS rn FROM fo q JOIN rsm r"
+            f" ORDER BY {O.d2_sql(4, 'q', 'r')}, r.sd > 0, r.idx, r.sd) AS rn FROM fo q JOIN rsm r"
             " ON r.fold = q.fold QUALIFY rn <= 5),"
             " votes AS (SELECT mid, fold, subset_id, idx, label, n_label, count(*) AS v FROM pr"
             " GROUP BY mid, fold, subset_id, idx, label, n_label),"
@@ -642,10 +700,12 @@ def _vote_grid_sql() -> str:
             + O.rates_sql("conf", "mid, fold, subset_id") + ", "
             + O.metrics_sql("rates", "mid, fold, subset_id") +
             f", mn AS (SELECT * FROM (VALUES {methods}) v(name, id))"
-            " SELECT met.fold, CAST(met.mid * 15 + met.subset_id AS INTEGER) AS \"index\","
-            " mn.name AS sampling, ss.subset AS minority_types, met.subset_id,"
-            f" {O.round_metrics('met.')}, met.n_classes_scored FROM met"
-            " JOIN mn ON mn.id = met.mid JOIN ss ON ss.subset_id = met.subset_id")
+            " SELECT fl.f AS fold, CAST(mn.id * 15 + ss.subset_id AS INTEGER) AS \"index\","
+            " mn.name AS sampling, ss.subset AS minority_types, ss.subset_id,"
+            f" {O.round_metrics('met.')}, met.n_classes_scored,"
+            " CASE WHEN met.fold IS NULL THEN 'empty_class' ELSE 'ok' END AS status"
+            " FROM fl CROSS JOIN mn CROSS JOIN ss LEFT JOIN met ON met.fold = fl.f"
+            " AND met.mid = mn.id AND met.subset_id = ss.subset_id")
 
 
 @query("subset_grid_metrics", _vote_grid_sql())
@@ -667,7 +727,7 @@ from stratum.operators.prepare import to_indexed  # noqa: E402
        " count(*) AS n FROM g GROUP BY label, minority_type")
 def type_report_names(spark, sf):
     """M2+M8: rows per (class, grade) with the grade's name."""
-    r = G.type_report(_doc_graded(spark, sf))
+    r = G.type_report(_doc_graded(spark, sf, persist=False))
     return r.select("label", "minority_type", grade_name_expr("minority_type").alias("grade"), "n")
 
 
@@ -691,7 +751,7 @@ def minority_types_raw(spark, sf):
     labelled = string_index(cust, ["c_mktsegment"])
     idx = to_indexed(labelled, "c_mktsegment_idx", ["c_acctbal", "c_nationkey"],
                      index_col="c_custkey")
-    return graded(idx, 5).select("index", "label", "minority_type")
+    return graded(idx, 5, persist=False).select("index", "label", "minority_type")
 
 
 @query("results_round_trip", _vote_grid_sql())
@@ -703,3 +763,59 @@ def results_round_trip(spark, sf):
     FS.write_results(res, path)
     back = spark.read.option("header", True).schema(res.schema).csv(path)
     return back.select(*res.columns)
+
+
+# ----------------------------------------------------------------- the whole job
+
+from stratum.plans.job import run_job  # noqa: E402
+
+
+@query("job_end_to_end", _vote_grid_sql())
+def job_end_to_end(spark, sf):
+    """The whole job (S1, P1-P6, K3, M3, V1-V6, S4): a delimited file -> scale -> neighbours ->
+    grades -> folds -> grid -> result files, one folder per fold, read back. The vote model
+    stands in for the forest, so that every value can be checked."""
+    raw = feature_columns(D.ds_doc(spark, sf), 4, digits=None, keep=("index", "label"))
+    source, out = FS.scratch_path(spark, "job-in"), FS.scratch_path(spark, "job-out")
+    raw.write.option("header", True).csv(source)
+    res = run_job(spark, source, out, schema=raw.schema, label_col="label", index_col="index", model="vote")
+    return res
+
+
+@query("row_index", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS \"index\" FROM orders")
+def row_index(spark, sf):
+    """Dense index of a table that stands in key order."""
+    from stratum.operators.prepare import with_row_index
+    o = table(spark, sf, "orders").select("o_orderkey")
+    return with_row_index(o.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey"))
+
+
+@query("knn_cells_recall",
+       "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_short, CAST(0 AS BIGINT) AS n_nearer,"
+       " true AS recall_reached FROM embeddings")
+def knn_cells_recall(spark, sf):
+    """K4 against K3: every row has 5 neighbours, none nearer than the exact one of its rank,
+    and 16 cells with 8 probed find more than half of the exact pairs (the vectors barely
+    cluster)."""
+    e = D.ds_emb(spark, sf)
+    exact, approx = K.knn(e, 5), K.knn_cells(e, 5, n_cells=16, nprobe=8)
+    hit = approx.select("index", "n_index", F.lit(1).alias("hit"))
+    best = exact.join(hit, ["index", "n_index"], "left").select("index", "rn", F.col("d2").alias("best"), "hit")
+    per_row = (best.join(approx.select("index", "rn", "d2"), ["index", "rn"], "left").groupBy("index")
+               .agg(F.count("d2").alias("n"), F.count_if(F.col("d2") < F.col("best")).alias("nearer"),
+                    F.count("hit").alias("hits"), F.count(F.lit(1)).alias("pairs")))
+    return per_row.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n") < 5).alias("n_short"),
+                       F.sum("nearer").alias("n_nearer"),
+                       (F.sum("hits") * 2 > F.sum("pairs")).alias("recall_reached"))
+
+
+@query("minority_counts_cells",
+       O.doc_graded_prefix(5) + " SELECT label, count(*) AS n FROM g GROUP BY label")
+def minority_counts_cells(spark, sf):
+    """K4 under M3: rows graded from the cell search (16 cells, 4 probed), counted by class;
+    every row must get k neighbours and a grade."""
+    pts = _doc_scaled(spark, sf)
+    nb = K.knn_cells(pts, 5, n_cells=16, nprobe=4)
+    g = G.minority_types(pts, 5, nb).where(F.col("minority_type").between(0, 3))
+    full = nb.groupBy("index").agg(F.max("rn").alias("m")).where("m = 5")
+    return class_counts(g.join(full, "index", "left_semi"))

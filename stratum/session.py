@@ -38,11 +38,24 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Let the session's Python workers import this library from where the driver has it.
+
+    Enough for a local session; on a cluster the library is installed on the executors or
+    shipped with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    When the session names none (local tests), a fresh folder under the system temp
-    directory is set; on a cluster the setting is expected to point at shared storage.
+    Where the session names none, a local session gets a fresh folder under the system temp
+    directory; a cluster session is refused, since its executors share no local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="stratum-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

@@ -20,23 +20,10 @@ def _text_features(text: str = "text", n_chars: str = "n_chars") -> list:
             newlines.cast("double")]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Re-spread a scan that has fewer splits than the cluster has cores.
-
-    CPU-heavy per-row work (regex over whole texts) otherwise runs in a handful of tasks
-    when an input is one big file. On a real multi-file input the scan already has at
-    least ``defaultParallelism`` splits and nothing is added.
-    """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
-
-
 def doc_features(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, features`` (+ extra columns) computed right after the scan, so only the
     narrow feature array (never the text) crosses a shuffle."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", *extra))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", *extra)
     return docs.select("doc_id", *extra, F.array(*_text_features()).alias("features"))
 
 
