@@ -3,16 +3,19 @@
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept;
 the check tool and ``run`` write each result as Parquet and read it back for the next. All
 but the last return the columns of ``docs`` unchanged, carried as one struct so that no
-column name can clash with an operator's own.
+column name can clash with an operator's own. A stage's intermediate tables are removed when
+the next one begins, so their disk does not add up.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm.bpe import encode_documents
-from stratum.llm.common import read_table, stage
+from stratum.llm.common import read_table, recording, remove_folders, stage
 from stratum.llm.exact_dedup import exact_dedup
 from stratum.llm.mixing import mix
 from stratum.llm.ngram_join import ngram_components
@@ -64,8 +67,25 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies),
-          ("mixing sources", source_mix), ("byte-level BPE", tokens)]
+#: Intermediate tables of the stage that ran last.
+_tables: list[str] = []
+
+
+def _tidy(function):
+    """A stage that first removes the tables of the stage before: that one's result is written by now."""
+
+    @functools.wraps(function)
+    def stage_function(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_folders(spark, _tables)
+        with recording(_tables):
+            return function(spark, docs, sf_dir)
+
+    return stage_function
+
+
+STAGES = [(name, _tidy(function)) for name, function in (
+    ("quality rules", quality_rules), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies),
+    ("mixing sources", source_mix), ("byte-level BPE", tokens))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -17,6 +18,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where ``recording`` collects the folders that are made meanwhile.
+_record: list[str] | None = None
+
+
+@contextlib.contextmanager
+def recording(folders: list[str]):
+    """Add the shared folders that are made inside the block to ``folders``."""
+    global _record
+    before, _record = _record, folders
+    try:
+        yield
+    finally:
+        _record = before
+
+
+def remove_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete intermediate tables that nothing reads any more, and empty the list."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    while folders:
+        path = path_of(folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which all executors share.
 
@@ -29,7 +53,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="stratum-llm-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    if _record is not None:
+        _record.append(folder)
+    return folder
 
 
 def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
