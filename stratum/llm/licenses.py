@@ -21,6 +21,32 @@ from stratum.llm.common import read_table, text_of
 
 #: Base phrases and their labels (fixed values of the query's contract).
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
+_FSF = "[[as published by the free software foundation]] [[either]]"
+_MIT_GRANT = ("permission is hereby granted free of charge to any person obtaining a copy of this software "
+              "[[and associated documentation files]] [[the software]] to deal in the software without restriction "
+              "including without limitation the rights to use copy modify merge publish distribute sublicense and or "
+              "sell copies of the software and to permit persons to whom the software is furnished to do so")
+_MIT_CONDITIONS = ("subject to the following conditions the above copyright notice and this permission notice "
+                   "[[including the next paragraph]] shall be included in all copies or substantial portions of the software")
+_MIT_DISCLAIMER = ("the software is provided as is without warranty of any kind express or implied including but not "
+                   "limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+                   "in no event shall {{12}} be liable for any claim damages or other liability whether in an action of "
+                   "contract tort or otherwise arising from out of or in connection with the software or the use or "
+                   "other dealings in the software")
+_BSD_GRANT = ("redistribution and use in source and binary forms with or without modification are permitted provided "
+              "that the following conditions are met [[1]] [[a]] redistributions of source code must retain the above "
+              "copyright notice this list of conditions and the following disclaimer [[2]] [[b]] redistributions in binary "
+              "form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
+              "the documentation and or other materials provided with the distribution")
+_BSD_NAMES = ("neither the name of {{12}} nor the names of {{6}} contributors may be used to endorse or promote products "
+              "derived from this software without specific prior written permission")
+_BSD_DISCLAIMER = ("this software is provided by {{12}} as is and any express or implied warranties including but not "
+                   "limited to the implied warranties of merchantability and fitness for a particular purpose are "
+                   "disclaimed in no event shall {{12}} be liable for any direct indirect incidental special exemplary "
+                   "or consequential damages including but not limited to procurement of substitute goods or services "
+                   "loss of use data or profits or business interruption however caused and on any theory of liability "
+                   "whether in contract strict liability or tort including negligence or otherwise arising in any way "
+                   "out of the use of this software even if advised of the possibility of such damage")
 #: Templates: label and marked-up wording.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0 [[the license]]"),
@@ -31,10 +57,32 @@ TEMPLATES = (
     ("cc-by-4.0", "licensed under [[a]] [[the]] [[creative commons]] cc by 4 0"),
     ("cc-by-sa-4.0", "licensed under [[a]] [[the]] [[creative commons]] cc by sa 4 0"),
     ("cc-by-nc-4.0", "licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software "
-            "[[and associated documentation files]] {{6}} to deal in the software without restriction"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
-            "provided that the following conditions are met"),
+    ("gpl-3.0", "gnu general public license as published by the free software foundation [[either]] version 3 of the license"),
+    ("gpl-2.0", "gnu general public license as published by the free software foundation [[either]] version 2 of the license"),
+    ("lgpl-3.0", f"gnu lesser general public license {_FSF} version 3"),
+    ("lgpl-2.1", f"gnu lesser general public license {_FSF} version 2 1"),
+    ("agpl-3.0", f"gnu affero general public license {_FSF} version 3"),
+    ("mpl-2.0", "mozilla public license [[v]] [[version]] 2 0"),
+    # a mere title does not state the licence: the text below it may be altered
+    ("mit", "under the [[terms of the]] mit license"),
+    ("isc", "under the [[terms of the]] isc license"),
+    *[(f"bsd-{n}-clause", f"under the [[terms of the]] {form} license") for n, word in ((2, "simplified"), (3, "new"), (4, "original"))
+      for form in (f"bsd {n} clause", f"{n} clause bsd", f"{word} bsd")],
+    ("mit", f"{_MIT_GRANT} {_MIT_CONDITIONS} {_MIT_DISCLAIMER}"),
+    ("mit-0", f"{_MIT_GRANT} {_MIT_DISCLAIMER}"),
+    ("json", f"{_MIT_GRANT} {_MIT_CONDITIONS} the software shall be used for good not evil {_MIT_DISCLAIMER}"),
+    ("isc", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted "
+            "provided that the above copyright notice and this permission notice appear in all copies the software is "
+            "provided as is and {{8}} disclaims all warranties with regard to this software including all implied "
+            "warranties of merchantability and fitness in no event shall {{8}} be liable for any special direct indirect "
+            "or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an "
+            "action of contract negligence or other tortious action arising out of or in connection with the use or "
+            "performance of this software"),
+    ("bsd-2-clause", f"{_BSD_GRANT} {_BSD_DISCLAIMER}"),
+    ("bsd-3-clause", f"{_BSD_GRANT} [[3]] [[c]] {_BSD_NAMES} {_BSD_DISCLAIMER}"),
+    ("bsd-4-clause", f"{_BSD_GRANT} [[3]] [[c]] all advertising materials mentioning features or use of this software must "
+                     "display the following acknowledgement this product includes software developed by {{16}} "
+                     f"[[4]] [[d]] {_BSD_NAMES} {_BSD_DISCLAIMER}"),
     ("copyright-notice", "copyright {{8}} all rights reserved"),
 )
 
