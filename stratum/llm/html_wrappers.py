@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import html
 import json
+import operator
 import re
 import zlib
 
@@ -111,7 +112,11 @@ def parse(page: str) -> list:
 
 # ---------------------------------------------------------------- wrapper inference
 # an element is [signature, flags, children]; a group [GROUP, flags, children];
-# a text slot [TEXT, flags, lowest hash, highest hash of its texts]
+# a text slot [TEXT, flags, lowest hash, highest hash of its texts, pages that have it at least]
+
+
+def text_hash(text: str) -> int:
+    return zlib.crc32(" ".join(html.unescape(text).split()).encode())
 
 
 def wrapper_of(tree: list) -> list:
@@ -120,18 +125,18 @@ def wrapper_of(tree: list) -> list:
     for node in tree:
         if isinstance(node, str):
             if node.strip():
-                h = zlib.crc32(" ".join(html.unescape(node).split()).encode())
-                out.append([TEXT, 0, h, h])
+                h = text_hash(node)
+                out.append([TEXT, 0, h, h, 1])
         else:
             out.append([node[0], 0, wrapper_of(node[1])])
     return fold(out)
 
 
-def _join(a: list, b: list) -> list:
-    """Two aligned nodes as one."""
+def _join(a: list, b: list, pages=operator.add) -> list:
+    """Two aligned nodes as one; ``pages`` is max where both may be of the same pages."""
     if a[0] == TEXT:
-        return [TEXT, a[1] | b[1], min(a[2], b[2]), max(a[3], b[3])]
-    return [a[0], a[1] | b[1], align(a[2], b[2])]
+        return [TEXT, a[1] | b[1], min(a[2], b[2]), max(a[3], b[3]), pages(a[4], b[4])]
+    return [a[0], a[1] | b[1], align(a[2], b[2], pages)]
 
 
 def _same(a: list, b: list) -> bool:
@@ -149,27 +154,27 @@ def fold(nodes: list) -> list:
             if size == 1:
                 if len(out) > 1 and node[0] != TEXT and _same(out[-2], node):
                     last = out.pop()
-                    out[-1] = _join(out[-1], last)
+                    out[-1] = _join(out[-1], last, max)
                     out[-1][1] |= REPEATED
                 continue
             tail = out[-size:]
             if len(tail) == size and len(out) > size and out[-size - 1][0] == GROUP and len(out[-size - 1][2]) == size \
                     and all(_same(x, y) for x, y in zip(out[-size - 1][2], tail, strict=True)):
                 del out[-size:]
-                out[-1] = [GROUP, out[-1][1], [_join(x, y) for x, y in zip(out[-1][2], tail, strict=True)]]
+                out[-1] = [GROUP, out[-1][1], [_join(x, y, max) for x, y in zip(out[-1][2], tail, strict=True)]]
             elif len(out) >= 2 * size and all(x[0] != GROUP and _same(x, y) for x, y in
                                               zip(out[-2 * size:-size], tail, strict=True)):
                 pairs = list(zip(out[-2 * size:-size], tail, strict=True))
                 del out[-2 * size:]
-                out.append([GROUP, REPEATED, [_join(x, y) for x, y in pairs]])
+                out.append([GROUP, REPEATED, [_join(x, y, max) for x, y in pairs]])
         nodes = out
     return nodes
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, pages=operator.add) -> list:
     """Two sibling lists as one: common nodes joined in order, the others optional."""
     if [x[0] for x in a] == [x[0] for x in b] and all(_same(x, y) for x, y in zip(a, b, strict=True)):
-        return [_join(x, y) for x, y in zip(a, b, strict=True)]
+        return [_join(x, y, pages) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -178,7 +183,7 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and _same(a[i], b[j]):
-            out.append(_join(a[i], b[j]))
+            out.append(_join(a[i], b[j], pages))
             i, j = i + 1, j + 1
         elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append([a[i][0], a[i][1] | OPTIONAL, *a[i][2:]])
@@ -210,10 +215,37 @@ def is_main(signature: str) -> bool:
     return bool(MAIN.match(tag)) or "main" in signature.split(".")[1:]
 
 
-def has_main(wrapper: list) -> bool:
-    """Whether the wrapper has a main element outside the regions that are left out."""
-    return any(x[0] != TEXT and (x[0] == GROUP and has_main(x[2]) or x[0] != GROUP and not left_out(x[0])
-                                 and (is_main(x[0]) or has_main(x[2]))) for x in wrapper)
+@functools.lru_cache(maxsize=4096)
+def is_region(signature: str) -> bool:
+    """Whether an element is left out by its tag, or by a class that is or begins with such a word.
+
+    "sidebar-left" is a sidebar, while "has-sidebar" may be what surrounds it and the article.
+    """
+    tag, *words = signature.split(".")
+    return tag in LEFT_OUT or tag not in ("body", "html", "main") and any(
+        LEFT_OUT_WORDS.match(part) for word in words for part in (word, re.split("[-_]", word)[0]))
+
+
+def find_main(nodes: list, opened: set[int], every: bool = False) -> tuple[bool, bool]:
+    """Whether a page has a main element outside the regions that are left out, and one that is no region itself.
+
+    Left-out elements around one of the latter are added to ``opened`` by ``id``: those that only
+    mention a region, and with ``every`` all but the tags that are always left out (a form
+    may be around the whole page).
+    """
+    found = proper = False
+    for node in nodes:
+        if isinstance(node, str):
+            continue
+        inner, own = find_main(node[1], opened, every), is_main(node[0])
+        solid = inner[1] or own and not is_region(node[0])
+        if left_out(node[0]):
+            tag = node[0].split(".")[0]
+            if not solid or is_region(node[0]) and not (every and (tag == "form" or tag not in LEFT_OUT)):
+                continue
+            opened.add(id(node))
+        found, proper = found or own or inner[0], proper or solid
+    return found, proper
 
 
 def varies(wrapper: list) -> bool:
@@ -221,13 +253,30 @@ def varies(wrapper: list) -> bool:
     return any(x[2] != x[3] if x[0] == TEXT else (x[0] == GROUP or not left_out(x[0])) and varies(x[2]) for x in wrapper)
 
 
+def is_template(slot: list, text: str) -> bool:
+    """Whether a text is its slot's only one, on enough pages."""
+    return slot[4] >= CONSTANT_PAGES and slot[2] == slot[3] == text_hash(text)
+
+
 def _flat(wrapper: list) -> list:
     return [y for x in wrapper for y in (_flat(x[2]) if x[0] == GROUP else [x])]
 
 
 def extract(tree: list, wrapper: list, n_pages: int) -> str:
-    """The main text of a page that the wrapper matches, a line for each block."""
-    inside_main = has_main(wrapper)
+    """The main text of a page that the wrapper matches, a line for each block.
+
+    A page with a main element gives the text of that, any other all that is no template text.
+    """
+    opened: set[int] = set()
+    main, _ = find_main(tree, opened)
+    out = _text(tree, wrapper, n_pages, main, opened)
+    if not out:  # the article may stand inside an element that is named like a region
+        main, proper = find_main(tree, opened, every=True)
+        out = _text(tree, wrapper, n_pages, main, opened) if proper else out
+    return out
+
+
+def _text(tree: list, wrapper: list, n_pages: int, inside_main: bool, opened: set[int]) -> str:
     drop_constant = not inside_main and n_pages >= CONSTANT_PAGES and varies(wrapper)
     blocks: list[list[str]] = [[]]
 
@@ -239,8 +288,8 @@ def extract(tree: list, wrapper: list, n_pages: int) -> str:
             places = [k for k in range(len(slots)) if slots[k][0] == name]
             place = next((k for k in places if k >= at), places[0] if places else None)
             if isinstance(node, str):
-                constant = place is not None and slots[place][2] == slots[place][3]
-                if main or not inside_main and not (drop_constant and constant and node.strip()):
+                if main or not inside_main and not (drop_constant and place is not None and node.strip()
+                                                    and is_template(slots[place], node)):
                     blocks[-1].append(node)
                 at = at if place is None else place
                 continue
@@ -249,7 +298,7 @@ def extract(tree: list, wrapper: list, n_pages: int) -> str:
                 blocks.append([])
             elif tag == "br":
                 blocks[-1].append(" ")
-            if not left_out(name):
+            if not left_out(name) or id(node) in opened:
                 walk(node[1], slots[place][2] if place is not None else [], main or is_main(name))
             if tag in BLOCKS:
                 blocks.append([])
