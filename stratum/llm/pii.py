@@ -28,11 +28,21 @@ FIRST_DAY, YEARS, DAYS = "1900-01-01", 200, 365
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
-PHONE = r"(?<!\d)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
 US_PHONE = r"(?<!\d)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)"
-CARD = r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)"
+#: What begins a value of its own after a blank or hyphen; no number runs into it.
+OWN = (r"\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)|\d{4}-\d{2}-\d{2}(?![\d-])|\d{13,19}(?!\d)"
+       r"|[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+NANP_PHONE = r"(?<!\d)\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+#: At most 15 digits; a longer run is cut where a group ends.
+PHONE = (rf"(?<!\d)\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:(?![ -](?:{OWN}))[ .-]?\d{{2,4}}){{1,4}}(?!\d)"
+         + r"(?<!\+\d" + r"[ .()-]{0,3}\d" * 15 + r"[\d .()-]{0,32})")
+#: A run of digits, in which ``cut_run`` looks for card numbers.
+RUN = rf"(?<![\d+])\d(?:(?![ -](?:{OWN}|(?:\(\d{{3}}\) ?|\d{{3}}[.-])\d{{3}}[.-]\d{{4}}(?!\d)))[ -]?\d){{12,63}}(?!\d)"
+#: Card numbers at the beginning of a text, in order of preference.
+CARDS = (r"^\d{13,19}(?!\d)", r"^\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\d)", r"^\d{4}([ -])\d{6}\1\d{5}(?!\d)",
+         *(rf"^\d(?:[ -]?\d){{{n - 1}}}(?!\d)" for n in range(19, 12, -1)))
 #: Alternatives in order of preference at one place.
-ANY = "|".join((EMAIL, IPV4, DATE, PHONE, US_PHONE, CARD))
+ANY = "|".join((EMAIL, IPV4, DATE, NANP_PHONE, PHONE, US_PHONE, RUN))
 KINDS = ("email", "ip", "date", "phone", "card")
 
 
@@ -60,8 +70,32 @@ def kind_of(hit: Column) -> Column:
             .when(hit.rlike(f"^(?:{DATE})$"), F.when(
                 F.datediff(F.try_to_date(hit, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).between(0, YEARS * DAYS - 1), "date"))
             .when(hit.startswith("+") | hit.rlike(f"^(?:{US_PHONE})$"),
-                  F.when(F.length(_digits(hit)).between(7, 15), "phone"))
-            .when(luhn_sum(_digits(hit)) % 10 == 0, "card"))
+                  F.when(F.length(_digits(hit)).between(7, 15), "phone")))
+
+
+def cut_run(run: Column) -> Column:
+    """The pieces (hit, kind) of a run of digits: card numbers that begin and end with its groups, and the rest.
+
+    From left to right, at each group the first of ``CARDS`` that passes the Luhn test; groups
+    of one digit are no card's unless the whole run is one.
+    """
+    piece = lambda hit, kind: F.struct(hit.alias("hit"), F.lit(kind).cast("string").alias("kind"))
+    passes = lambda c: (c != "") & (luhn_sum(_digits(c)) % 10 == 0)
+    starts = F.filter(F.sequence(F.lit(1), F.length(run)), lambda i: F.substr(run, F.greatest(i - 1, F.lit(1)), F.when(
+        i > 1, 2).otherwise(1)).rlike(r"^[ -]?\d$"))
+    found = F.filter(F.transform(starts, lambda i: F.struct(i.alias("at"), F.get(F.filter(
+        F.array(*[F.regexp_extract(F.substr(run, i, F.lit(40)), c, 0) for c in CARDS]),
+        lambda c: ~c.rlike(r"(?:^|[ -])\d(?:[ -]|$)") & passes(c)), F.lit(0)).alias("card"))), lambda x: x["card"].isNotNull())
+    none = F.array().cast("array<struct<hit:string,kind:string>>")
+    cut = F.aggregate(
+        found, F.struct(F.lit(1).alias("free"), none.alias("pieces")),
+        lambda a, x: F.when(x["at"] < a["free"], a).otherwise(F.struct(
+            (x["at"] + F.length(x["card"])).alias("free"),
+            F.concat(a["pieces"], F.array(piece(F.substr(run, a["free"], x["at"] - a["free"]), None),
+                                          piece(x["card"], "card"))).alias("pieces"))),
+        lambda a: F.concat(a["pieces"], F.array(piece(F.substr(run, a["free"]), None))))
+    whole = (F.size(cut) == 1) & F.length(_digits(run)).between(13, 19) & passes(run)
+    return F.when(whole, F.array(piece(run, "card"))).otherwise(cut)
 
 
 def permuted(values: Column, bases: Column, key: Column) -> Column:
@@ -118,7 +152,8 @@ def pseudonym(hit: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """Per document: ``doc_id``, the new ``text``, ``n_email, n_ip, n_date, n_phone, n_card`` and ``n_pii``.
 
-    Values that fail their check (Luhn, octets, calendar, length) stay as they are.
+    Values that fail their check (Luhn, octets, calendar, length) stay as they are; a number
+    beside a value does not hide it.
 
     Defined cases: null and empty texts give an empty text; a null id stays null; repeated
     rows give repeated results; an empty table gives an empty result; further columns are
@@ -130,14 +165,15 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     df = df.select("*", F.inline(F.array(F.struct(
         F.when(may, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none).alias("hits"),
         F.when(may, F.split("text", ANY, -1)).otherwise(F.array("text")).alias("rest")))))
-    df = df.select("doc_id", "rest", F.inline(F.array(F.struct(F.transform("hits", lambda h: F.struct(
-        h.alias("hit"), kind_of(h).alias("kind"))).alias("hits")))))
-    new = F.transform("hits", lambda h: pseudonym(h["hit"], h["kind"], key))
+    df = df.select("doc_id", "rest", F.inline(F.array(F.struct(F.transform("hits", lambda h: F.when(
+        h.rlike(r"^\d(?:[ -]?\d){12,}$"), cut_run(h)).otherwise(F.array(F.struct(
+            h.alias("hit"), kind_of(h).alias("kind"))))).alias("hits")))))
+    new = F.transform("hits", lambda h: F.array_join(F.transform(h, lambda p: pseudonym(p["hit"], p["kind"], key)), ""))
     text = F.when(F.size("hits") == 0, F.get("rest", F.lit(0))).otherwise(F.array_join(F.zip_with(
         "rest", new, lambda r, h: F.concat(r, F.coalesce(h, F.lit("")))), ""))
-    count = lambda k: F.size(F.filter("hits", lambda h: h["kind"] == k)).cast("long")
+    count = lambda k: F.size(F.filter(F.flatten("hits"), lambda h: h["kind"] == k)).cast("long")
     return df.select("doc_id", text.alias("text"), *[count(k).alias(f"n_{k}") for k in KINDS],
-                     F.size(F.filter("hits", lambda h: h["kind"].isNotNull())).cast("long").alias("n_pii"))
+                     F.size(F.filter(F.flatten("hits"), lambda h: h["kind"].isNotNull())).cast("long").alias("n_pii"))
 
 
 def op2_pii_pseudonyms(spark, sf_dir: str) -> DataFrame:
