@@ -46,7 +46,7 @@ HEX = re.compile("[0-9a-f]+")
 HEX_LONG = re.compile("[0-9a-f]{24,}")
 LOGIN = re.compile(f"(?<![A-Za-z])({_either_case('user|user_?name|login|account|client_?id|access_?key_?id')})"
                    r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})""")
-KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20"'<>]+""")
 
 #: Translations that turn a text's characters of a class into x, for a fast first look.
@@ -76,16 +76,18 @@ def entropy(value: str) -> float:
 
 def weak_spans(text: str, raw: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of candidates that overlap no base secret, sorted."""
-    found = []
+    found, logins = [], []
     if b":" in raw or b"=" in raw:
-        found += [(m.start(), 3, m.end()) for m in LOGIN.finditer(text)] if re.search("(?i)user|login|account|client|access", text) else []
+        logins = [(m.start(), 3, m.end()) for m in LOGIN.finditer(text)] if re.search("(?i)user|login|account|client|access", text) else []
     if b"x" * 20 in raw.translate(_KEY_RUN):
-        found += [(m.start(), 4, m.end()) for m in KEY.finditer(text)
-                  if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])
+        # a login's own value is no secret that goes with it
+        inside = {i for a, _, b in logins for i in range(a, b)}
+        found += [(m.start(), 4, m.end()) for m in KEY.finditer(text) if m.start() not in inside
+                  and re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])
                   and entropy(m[0]) >= KEY_ENTROPY]
     if b"://" in raw:
         found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
-    found.sort()
+    found = sorted(logins + found)
     out, i = [], 0
     for s in found:
         while i < len(base) and base[i][2] <= s[0]:
