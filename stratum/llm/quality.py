@@ -25,7 +25,8 @@ RULES: tuple[tuple[str, str], ...] = (
     ("too_few_words", "n_words < 20"),
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     ("many_symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    # up to two may be a headline; long lines that stand again fail repeated_windows, which goes by words
+    ("repeated_lines", "n_dup_lines > 2 and 100 * n_dup_lines > 30 * n_lines"),
     ("shouting", "2 * n_upper > word_chars and n_words >= 20"),
     ("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)"),
     ("stutter", "100 * n_stutter > 20 * n_words"),
