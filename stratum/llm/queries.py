@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stratum.llm.bpe import op6_bpe_codec
+from stratum.llm.conversation_repair import op11_conversation_repair
 from stratum.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from stratum.llm.fill_middle import OP13_SQL, op13_fill_middle
 from stratum.llm.html_wrappers import op8_html_wrappers
@@ -17,6 +18,6 @@ from stratum.llm.url_rules import op3_url_rules
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_pii_pseudonyms, op3_url_rules, op4_ngram_jaccard, op5_quality_ledger, op6_bpe_codec,
     op7_source_mix, op8_html_wrappers, op9_secret_links, op10_license_templates,
-    op13_fill_middle)}
+    op11_conversation_repair, op13_fill_middle)}
 ORACLE = {"op1_exact_dedup": OP1_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_quality_ledger": OP5_SQL,
           "op10_license_templates": OP10_SQL, "op13_fill_middle": OP13_SQL}
