@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,23 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def with_row_key(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` of the documents with a key ``file, at`` that tells every row and that later readings repeat.
+
+    The key is the Parquet file's path (hashed) and the row's place in it. Rows that do not
+    come straight from Parquet files are written to the shared folder first.
+    """
+    named = [column.alias(name) for name, column in columns.items()]
+    try:
+        meta = docs.metadataColumn("_metadata")
+        rows = docs.select(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at"), *named)
+        rows.schema  # noqa: B018 - analysed here, so a source without row numbers shows
+        return rows
+    except AnalysisException:
+        written = stage(docs.select(*named))
+        return with_row_key(written, **{name: written[name] for name in columns})
+
+
 def text_of(df: DataFrame, col: str) -> Column:
     """The text column, null as empty."""
     return F.coalesce(df[col].cast("string"), F.lit(""))
