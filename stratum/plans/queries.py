@@ -12,6 +12,7 @@ from stratum.operators import grading as G
 from stratum.operators import knn as K
 from stratum.operators import resample as R
 from stratum.operators.aggregates import class_counts, class_targets, feature_columns
+from stratum.operators.cell_tree import knn_tree
 from stratum.operators.prepare import dictionary, string_index
 from stratum.operators.subsets import filter_all_subsets, subsets_table
 from stratum.plans import oracle as O
@@ -482,9 +483,9 @@ def knn_exact_pruned(spark, sf):
 
 @query("knn_cells")
 def knn_cells_q(spark, sf):
-    """K4: 16 k-means cells, 8 probed per query (approximate; rows-only check, recall is
-    tested separately)."""
-    nb = K.knn_cells(D.ds_emb(spark, sf), 5, n_cells=16, nprobe=8)
+    """K4: 16 cells in four groups, probed as deep as a measured recall of 0.9 asks
+    (approximate; rows-only check, ``knn_cells_recall`` checks the recall)."""
+    nb = knn_tree(D.ds_emb(spark, sf), 5, n_cells=16)
     return nb.select("index", "n_index", F.col("rn").cast("int").alias("rn"),
                      F.round("d2", 6).alias("d2"))
 
@@ -795,10 +796,9 @@ def row_index(spark, sf):
        " true AS recall_reached FROM embeddings")
 def knn_cells_recall(spark, sf):
     """K4 against K3: every row has 5 neighbours, none nearer than the exact one of its rank,
-    and 16 cells with 8 probed find more than half of the exact pairs (the vectors barely
-    cluster)."""
+    and the two-level cells find 0.9 of the exact pairs (the vectors barely cluster)."""
     e = D.ds_emb(spark, sf)
-    exact, approx = K.knn(e, 5), K.knn_cells(e, 5, n_cells=16, nprobe=8)
+    exact, approx = K.knn(e, 5), knn_tree(e, 5, n_cells=16, recall=0.9)
     hit = approx.select("index", "n_index", F.lit(1).alias("hit"))
     best = exact.join(hit, ["index", "n_index"], "left").select("index", "rn", F.col("d2").alias("best"), "hit")
     per_row = (best.join(approx.select("index", "rn", "d2"), ["index", "rn"], "left").groupBy("index")
@@ -806,16 +806,17 @@ def knn_cells_recall(spark, sf):
                     F.count("hit").alias("hits"), F.count(F.lit(1)).alias("pairs")))
     return per_row.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n") < 5).alias("n_short"),
                        F.sum("nearer").alias("n_nearer"),
-                       (F.sum("hits") * 2 > F.sum("pairs")).alias("recall_reached"))
+                       (F.sum("hits") >= 0.9 * F.sum("pairs")).alias("recall_reached"))
 
 
 @query("minority_counts_cells",
-       O.doc_graded_prefix(5) + " SELECT label, count(*) AS n FROM g GROUP BY label")
+       O.doc_graded_prefix(5) + " SELECT label, count(*) AS n, true AS grades_agree FROM g GROUP BY label")
 def minority_counts_cells(spark, sf):
-    """K4 under M3: rows graded from the cell search (16 cells, 4 probed), counted by class;
-    every row must get k neighbours and a grade."""
+    """K4 under M3: rows graded from the two-level cell search, by class, and whether at least
+    0.95 of a class's rows get the grade that the exact search gives."""
     pts = _doc_scaled(spark, sf)
-    nb = K.knn_cells(pts, 5, n_cells=16, nprobe=4)
-    g = G.minority_types(pts, 5, nb).where(F.col("minority_type").between(0, 3))
-    full = nb.groupBy("index").agg(F.max("rn").alias("m")).where("m = 5")
-    return class_counts(g.join(full, "index", "left_semi"))
+    g = G.minority_types(pts, 5, knn_tree(pts, 5, n_cells=16)).select("index", "label", "minority_type")
+    exact = G.minority_types(pts, 5, K.knn(pts, 5)).select("index", F.col("minority_type").alias("exact"))
+    same = F.count_if(F.col("minority_type") == F.col("exact"))
+    return g.join(exact, "index").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), (same >= 0.95 * F.count(F.lit(1))).alias("grades_agree"))
