@@ -9,12 +9,15 @@ from stratum.operators.knn import blocked_neighbours
 
 
 def random_forest_predict(train: DataFrame, test: DataFrame, num_trees: int = 10,
-                          seed: int = 42) -> DataFrame:
+                          seed: int = 42, num_classes: int | None = None) -> DataFrame:
     """L1: fit ``RandomForestClassifier`` (10 trees, seed 42) on ``train``, predict ``test``.
-    Returns ``test`` columns plus ``prediction int``."""
+    Returns ``test`` columns plus ``prediction int``. ``num_classes`` (largest label + 1),
+    where known, saves the job that looks for it."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
-    tr = train.select(F.col("label").cast("double").alias("label"),
+    known = {"ml_attr": {"type": "nominal", "num_vals": int(num_classes)}} if num_classes else None
+    tr = train.select(F.col("label").cast("double").alias("label", metadata=known) if known else
+                      F.col("label").cast("double").alias("label"),
                       array_to_vector("features").alias("fv"))
     te = test.withColumn("fv", array_to_vector("features"))
     rf = RandomForestClassifier(numTrees=num_trees, seed=seed, labelCol="label",

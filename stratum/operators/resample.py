@@ -155,55 +155,62 @@ def smote(df: DataFrame, seed: int = 42, draws_per_row: int = 5, keys=()) -> Dat
 
 # ----------------------------------------------------------------- R5 SMOTE+ (cluster form)
 
-def smote_plus_rows(selected: DataFrame, pool: DataFrame, draws_per_row: int,
-                    seed: int = 42) -> DataFrame:
+def smote_plus_rows(selected: DataFrame | None, pool: DataFrame, draws_per_row: int | Column,
+                    seed: int = 42, keys=(), need: DataFrame | None = None) -> DataFrame:
     """R5 synthetic rows. Targets come from ``selected`` (after grade/cluster filters):
     classes below half the largest get ``max//2 - n`` rows. Row s picks one of its class's
     clusters uniformly (``md5(seed:label:s)``), then averages ``draws_per_row`` draws with
     replacement from that cluster of ``pool`` (``md5(seed:label:s:j)``); duplicates count
     as often as drawn.
 
-    ``pool``: ``label, cluster, index, features`` (the whole class by default).
+    ``pool``: ``keys, label, cluster, index, features`` (the whole class by default). Each key
+    is resampled on its own, all in one plan; ``draws_per_row`` may be an expression of the
+    keys. ``need`` (``keys, label, m``: new rows of a class) replaces ``selected`` where the
+    caller knows the targets; it has a row per key and class.
     """
-    c = counts_with_targets(selected)
-    target = F.floor(F.col("max_n") / 2)
-    need = c.where(F.col("n") < target).select("label", (target - F.col("n")).alias("m"))
-    sizes = pool.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("size"))
-    # one row per (class, cluster): bounded by classes x k-means k
+    k = list(keys)
+    by = [*k, "label"]
+    if need is None:
+        c = counts_with_targets(selected, k)
+        target = F.floor(F.col("max_n") / 2)
+        need = c.where(F.col("n") < target).select(*by, (target - F.col("n")).alias("m"))
+    per_row = F.lit(draws_per_row) if isinstance(draws_per_row, int) else draws_per_row
+    sizes = pool.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("size"))
+    # one row per (key, class, cluster): bounded by the grid, the classes and k
     ranks = sizes.select(
-        "label", "cluster", "size",
-        (F.dense_rank().over(Window.partitionBy("label").orderBy("cluster")) - 1).alias("crank"),
-        F.count(F.lit(1)).over(Window.partitionBy("label")).alias("ncl"))
-    ncl = ranks.select("label", "ncl").distinct()
-    draws = draw_table(need.join(ncl, "label"))
+        *by, "cluster", "size",
+        (F.dense_rank().over(Window.partitionBy(*by).orderBy("cluster")) - 1).alias("crank"),
+        F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("ncl"))
+    ncl = ranks.select(*by, "ncl").distinct()
+    draws = draw_table(need.join(ncl, by))
     picks = draws.withColumn("crank", draw_position(F.col("ncl"), seed, "label", "s")) \
-        .join(ranks.drop("ncl"), ["label", "crank"])
+        .join(ranks.drop("ncl"), [*by, "crank"])
     # salt per (class, cluster): expected draws into a cluster ~ m * draws / ncl
-    fac = ranks.join(need, "label").select(
-        "label", "cluster",
-        _salt_factor(F.col("size"), F.col("m") * draws_per_row / F.col("ncl")).alias("_r"))
-    dj = picks.select("label", "cluster", "size", "s",
-                      F.explode(F.sequence(F.lit(1), F.lit(draws_per_row))).alias("j"))
-    dj = dj.join(fac, ["label", "cluster"]).select(
-        "label", "cluster", "s", "j",
+    fac = ranks.join(need, by).select(
+        *by, "cluster",
+        _salt_factor(F.col("size"), F.col("m") * per_row / F.col("ncl")).alias("_r"))
+    dj = picks.select(*by, "cluster", "size", "s",
+                      F.explode(F.sequence(F.lit(1), per_row)).alias("j"))
+    dj = dj.join(fac, [*by, "cluster"]).select(
+        *by, "cluster", "s", "j",
         draw_position(F.col("size"), seed, "label", "s", "j").alias("pos"),
         F.pmod(F.col("s"), F.col("_r")).cast("int").alias("_salt"))
     numbered = _salted(dense_positions(
-        _in_need(pool.select("label", "cluster", "index", "features"), fac, ["label", "cluster"]),
-        "index", ["label", "cluster"]), ["label", "cluster"])
-    hit = dj.join(numbered, ["label", "cluster", "pos", "_salt"])
-    grp = hit.groupBy("label", "s").agg(
+        _in_need(pool.select(*by, "cluster", "index", "features"), fac, [*by, "cluster"]),
+        "index", [*by, "cluster"]), [*by, "cluster"])
+    hit = dj.join(numbered, [*by, "cluster", "pos", "_salt"])
+    grp = hit.groupBy(*by, "s").agg(
         F.array_sort(F.collect_list(F.struct("j", "features"))).alias("_h"))
     mean = mean_of_arrays(F.transform("_h", lambda x: x["features"]))
-    return grp.select(F.lit(None).cast("long").alias("index"), F.col("label").cast("int"),
+    return grp.select(*k, F.lit(None).cast("long").alias("index"), F.col("label").cast("int"),
                       F.lit(-1).alias("minority_type"), mean.alias("features"),
                       F.lit(True).alias("is_synthetic"), F.col("s").cast("long").alias("draw"))
 
 
-def smote_plus(selected: DataFrame, pool: DataFrame, draws_per_row: int,
-               seed: int = 42) -> DataFrame:
-    """Selected rows plus :func:`smote_plus_rows`, all classes in one plan."""
-    return _original(selected).unionByName(smote_plus_rows(selected, pool, draws_per_row, seed))
+def smote_plus(selected: DataFrame, pool: DataFrame, draws_per_row: int | Column,
+               seed: int = 42, keys=()) -> DataFrame:
+    """Selected rows plus :func:`smote_plus_rows`, all classes (and keys) in one plan."""
+    return _original(selected, keys).unionByName(smote_plus_rows(selected, pool, draws_per_row, seed, keys))
 
 
 # ----------------------------------------------------------------- dispatch

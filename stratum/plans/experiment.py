@@ -18,13 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratum.operators.aggregates import cluster_histogram
-from stratum.operators.clusters import class_clusters
+from stratum.operators.clusters import keyed_clusters
 from stratum.operators.folds import assign_folds
-from stratum.operators.metrics import METRIC_NAMES, evaluate
+from stratum.operators.metrics import METRIC_NAMES, class_rates, confusion, evaluate, metrics
 from stratum.operators.model import random_forest_predict
-from stratum.operators.resample import resample, smote_plus
-from stratum.operators.subsets import filter_all_subsets, select_by_clusters, subset_list
+from stratum.operators.resample import resample, smote_plus_rows
+from stratum.operators.subsets import filter_all_subsets, filter_types, subset_list
 from stratum.session import reliable_checkpoint
 
 RESULT_SCHEMA = T.StructType(
@@ -45,37 +44,88 @@ def _types_text(types: Sequence[int]) -> str:
 FIT_ROWS = 50_000
 
 
-def _fit_predict(train: DataFrame, test: DataFrame, cell: int, n_train: int, num_trees: int,
-                 seed: int) -> DataFrame:
-    """Fit one forest on a persisted training slice; lazy predictions tagged with ``cell``."""
+def _fit_confusion(train: DataFrame, test: DataFrame, n_train: int, num_trees: int, seed: int,
+                   num_classes: int | None) -> list[tuple]:
+    """Fit one forest on a persisted training slice; the confusion of its predictions, a few rows."""
     train = train.coalesce(-(-n_train // FIT_ROWS)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        pred = random_forest_predict(train, test, num_trees=num_trees, seed=seed)
+        pred = random_forest_predict(train, test, num_trees, seed, num_classes)
+        return [tuple(r) for r in confusion(pred).collect()]
     finally:
         train.unpersist()
-    return pred.select(F.lit(cell).alias("cell"), "label", "prediction")
 
 
-def _smote_plus_sizes(clustered: DataFrame, subsets, cutoffs) -> dict:
-    """Training rows of every (subset, cutoff) cell of one clustering, None where a class
-    keeps no row (F5, F6). Worked out from the clusters' grade counts, at most classes x
-    clusters x 4 rows, in one job."""
+def _plus_targets(counts: dict, types, cutoff: float) -> tuple[int | None, dict, set]:
+    """Of one clustering and (subset, cutoff): training rows (None where a class keeps no row),
+    the new rows of every class, and the kept clusters. ``counts``: (label, cluster) to rows
+    by grade (F5, F6)."""
+    kept = {c for c, by in counts.items()
+            if any(by.get(t, 0) for t in types) and sum(by.get(t, 0) for t in types) >= sum(by.values()) * cutoff}
+    sizes: dict = {}
+    for label, cluster in kept:
+        sizes[label] = sizes.get(label, 0) + sum(counts[label, cluster].get(t, 0) for t in types)
+    half = max(sizes.values(), default=0) // 2
+    new = {label: half - n for label, n in sizes.items() if n < half}
+    every = {label for label, _ in counts}
+    return (sum(sizes.values()) + sum(new.values()) if sizes and set(sizes) == every else None), new, kept
+
+
+def _plus_cells(train: DataFrame, fold_ids, subsets, cluster_ks, cutoffs, pool: str, seed: int, cluster_seed: int):
+    """V4: what every SMOTE+ cell of some folds trains on, by one clustering and one draw plan.
+
+    ``train``: the training rows, keyed by ``fold``. All folds and ks are clustered together.
+    A draw depends on the seed, the class and its number, not on the grade subset, so the
+    rows drawn from a whole class for (fold, k) serve every subset and cutoff: a cell takes
+    the first m of them. Where the pool is the ``selected`` rows, the subset and cutoff are
+    keys too. Returns the tables to release and a function (fold, types, k, cutoff) to the
+    cell's clustered rows (None: all of the selected grades), synthetic rows and number of rows.
+    """
+    spark = train.sparkSession
+    clustered = reliable_checkpoint(keyed_clusters(train, cluster_ks, ["fold"], cluster_seed))
     counts: dict = {}
-    for r in cluster_histogram(clustered).collect():
-        counts.setdefault((r["label"], r["cluster"]), {})[r["minority_type"]] = r["n"]
-    classes = {label for label, _ in counts}
-    out = {}
-    for types in subsets:
-        for cutoff in cutoffs:
-            kept: dict = {}
-            for (label, _), by_type in counts.items():
-                chosen = sum(by_type.get(t, 0) for t in types)
-                if chosen >= sum(by_type.values()) * cutoff and chosen:
-                    kept[label] = kept.get(label, 0) + chosen
-            half = max(kept.values(), default=0) // 2
-            full = sum(max(n, half) for n in kept.values())
-            out[tuple(types), cutoff] = full if kept and set(kept) == classes else None
-    return out
+    # at most folds x ks x classes x clusters x grades rows
+    for r in clustered.groupBy("fold", "k", "label", "cluster", "minority_type").count().collect():
+        counts.setdefault((r["fold"], r["k"]), {}).setdefault((r["label"], r["cluster"]), {})[r["minority_type"]] = r["count"]
+    targets = {(f, k, tuple(types), cutoff): _plus_targets(counts.get((f, max(k, 1)), {}), types, cutoff)
+               for f in fold_ids for k in cluster_ks for types in subsets for cutoff in cutoffs}
+    cell_ids = {(tuple(types), cutoff): i for i, (types, cutoff) in enumerate((t, c) for t in subsets for c in cutoffs)}
+    shared = pool == "class"
+    most: dict = {}
+    for (f, k, types, cutoff), (n, new, _) in targets.items():
+        for label, m in new.items() if n else ():
+            at = (f, max(k, 1), 0 if shared else cell_ids[types, cutoff], label)
+            most[at] = max(m, most.get(at, 0))
+    need = spark.createDataFrame([(*at, m) for at, m in most.items()], "fold int, k int, cell int, label int, m long")
+    if shared:
+        rows = clustered.withColumn("cell", F.lit(0))
+    else:  # the selected rows of every (subset, cutoff) cell
+        kept = spark.createDataFrame([(f, max(k, 1), cell_ids[types, cutoff], label, cluster, list(types))
+                                      for (f, k, types, cutoff), (n, _, clusters) in targets.items() if n for label, cluster in clusters],
+                                     "fold int, k int, cell int, label int, cluster int, types array<int>")
+        rows = clustered.join(F.broadcast(kept), ["fold", "k", "label", "cluster"]).where(F.array_contains("types", F.col("minority_type")))
+    keys = ["fold", "k", "cell"]
+    made = reliable_checkpoint(smote_plus_rows(None, rows.select(*keys, "label", "cluster", "index", "features"), F.col("k"),
+                                               seed, keys, need))
+
+    def cell(fold: int, types, k: int, cutoff: float):
+        n, new, kept = targets[fold, k, tuple(types), cutoff]
+        if n is None:
+            return None, None, None
+        chosen = None
+        if any(any(by.get(t, 0) for t in types) for c, by in counts[fold, max(k, 1)].items() if c not in kept):
+            by_label: dict = {}
+            for label, cluster in kept:
+                by_label.setdefault(label, []).append(cluster)
+            chosen = clustered.where((F.col("fold") == fold) & (F.col("k") == max(k, 1)) & F.col("minority_type").isin(list(types))
+                                     & reduce(lambda a, b: a | b, [(F.col("label") == label) & F.col("cluster").isin(some)
+                                                                   for label, some in by_label.items()]))
+        drawn = [(F.col("label") == label) & (F.col("draw") <= m) for label, m in new.items()]
+        extra = made.where((F.col("fold") == fold) & (F.col("k") == max(k, 1))
+                           & (F.col("cell") == (0 if shared else cell_ids[tuple(types), cutoff]))
+                           & reduce(lambda a, b: a | b, drawn, F.lit(False)))
+        return chosen, extra, n
+
+    return [clustered, made], cell
 
 
 def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "undersample",
@@ -106,10 +156,18 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
     subsets = [list(s) for s in (subsets or subset_list())]
     all_subsets = subset_list()
     subset_ids = [all_subsets.index(sorted(t)) for t in subsets]
+    cutoffs = [float(c) for c in cutoffs]
+    fold_ids = list(folds if folds is not None else range(max(num_splits, 1)))
     # lineage cut once: every fold, cell and model fit starts from this written table
     with_folds = reliable_checkpoint(assign_folds(minority, num_splits))
+    num_classes = (with_folds.agg(F.max("label")).first()[0] or 0) + 1
+    plus = None
+    if "smotePlus" in methods and regrade is None:
+        others = F.filter(F.array(*[F.lit(int(f)) for f in fold_ids]), lambda x: x != F.col("fold"))
+        plus = _plus_cells(with_folds.withColumn("fold", F.explode(others)), fold_ids, subsets, cluster_ks, cutoffs,
+                           pool, seed, cluster_seed)
     out: list[tuple] = []
-    for f in (folds if folds is not None else range(max(num_splits, 1))):
+    for f in fold_ids:
         train, test = (with_folds.where(cond).drop("fold") for cond in (F.col("fold") != f, F.col("fold") == f))
         if regrade is not None:
             train, test = regrade(train, test)
@@ -119,18 +177,18 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
         cached = [train, test]
         for method in methods:
             if method == "smotePlus":
+                mine = plus or _plus_cells(train.withColumn("fold", F.lit(int(f))), [f], subsets, cluster_ks, cutoffs, pool,
+                                           seed, cluster_seed)
+                if plus is None:
+                    cached += mine[0]
                 for k in cluster_ks:
-                    clustered = reliable_checkpoint(class_clusters(train, k, seed=cluster_seed,
-                                                                   parallel_fits=parallel_fits))
-                    cached.append(clustered)
-                    sizes = _smote_plus_sizes(clustered, subsets, cutoffs)
                     for types in subsets:
                         for cutoff in cutoffs:
-                            sel = select_by_clusters(clustered, types, cutoff).drop("k_eff")
-                            drawn = clustered if pool == "class" else sel
-                            tr = smote_plus(sel, drawn.select("label", "cluster", "index", "features"),
-                                            max(k, 1), seed)
-                            cells.append((method, types, k, float(cutoff), tr, sizes[tuple(types), cutoff]))
+                            chosen, extra, n = mine[1](f, types, k, cutoff)
+                            if n is not None:
+                                chosen = filter_types(train, types) if chosen is None else chosen
+                                chosen = chosen.select("label", "features").unionByName(extra.select("label", "features"))
+                            cells.append((method, types, k, cutoff, chosen, n))
             else:
                 # every requested subset of this fold resampled in one keyed plan
                 keyed = resample(filter_all_subsets(train)
@@ -142,18 +200,17 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
                 cells += [(method, types, None, None, keyed.where(F.col("subset_id") == sid).drop("subset_id"),
                            sizes.get(sid)) for types, sid in zip(subsets, subset_ids, strict=True)]
 
-        def run(i_cell, test=test):
+        def run(i_cell, test=test, n_test=n_test):
             i, cell = i_cell
-            return None if not cell[5] else _fit_predict(cell[4], test, i, cell[5], num_trees, seed)
+            if not cell[5] or not n_test:
+                return []
+            return [(i, *row) for row in _fit_confusion(cell[4], test, cell[5], num_trees, seed, num_classes)]
 
         with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as workers:
-            preds = list(workers.map(run, enumerate(cells)))
-        live = [p for p in preds if p is not None]
-        scores = {}
-        if live and n_test:
-            allp = reduce(lambda a, b: a.unionByName(b), live)
-            # one evaluation plan for every cell of the fold: one row per cell comes back
-            scores = {r["cell"]: r for r in evaluate(allp, ["cell"]).collect()}
+            found = [row for rows in workers.map(run, enumerate(cells)) for row in rows]
+        # one evaluation plan for every cell of the fold, on their confusion counts
+        conf = spark.createDataFrame(found, "cell int, label int, prediction int, n long")
+        scores = {r["cell"]: r for r in metrics(class_rates(conf, ["cell"]), ["cell"]).collect()} if found else {}
         for i, (method, types, k, cutoff, _, n_train) in enumerate(cells):
             sc = scores.get(i)
             out.append((int(f), i, method, _types_text(types), k, cutoff, n_train, n_test,
@@ -161,7 +218,8 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
                         sc["n_classes_scored"] if sc else None, "ok" if sc else "empty_class"))
         for c in cached:
             c.unpersist()
-    with_folds.unpersist()
+    for c in [with_folds, *(plus[0] if plus else ())]:
+        c.unpersist()
     # one row per experiment cell: tiny, built from the collected metrics rows
     return spark.createDataFrame(out, RESULT_SCHEMA)
 
