@@ -82,8 +82,9 @@ def _matrix(features: pd.Series) -> np.ndarray:
     return x
 
 
-def _block_topk(k: int, exclude_self: bool):
-    """Pandas cogroup function: partial top-k of one query block against one data block."""
+def _block_topk(k: int, exclude_self: bool, skip_part: bool = False):
+    """Pandas cogroup function: partial top-k of one query block against one data block.
+    With ``skip_part`` rows of the query's own part are no neighbours."""
 
     def run(key, q, d):
         if q.empty or d.empty:
@@ -100,8 +101,13 @@ def _block_topk(k: int, exclude_self: bool):
         for j in range(qx.shape[1]):
             diff = qx[:, j, None] - dx[None, :, j]
             dist += diff * diff
-        own = (qi[:, None] == di[None, :]) & (dd == 0) if exclude_self else None
+        own = None
         if exclude_self:
+            own = (qi[:, None] == di[None, :]) & (dd == 0)
+        if skip_part:
+            same = q["q_part"].to_numpy()[:, None] == d["part"].to_numpy()[None, :]
+            own = same if own is None else own | same
+        if own is not None:
             dist[own] = np.inf
         kk = min(k, dx.shape[0])
         if kk < dx.shape[0]:
@@ -109,7 +115,7 @@ def _block_topk(k: int, exclude_self: bool):
             mask = dist <= thr[:, None]
         else:
             mask = np.ones(dist.shape, dtype=bool)
-        if exclude_self:
+        if own is not None:
             mask &= ~own
         r, c = np.nonzero(mask)
         dv = dist[r, c]
@@ -144,7 +150,7 @@ def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_sel
                        block_rows: int = DEFAULT_BLOCK_ROWS, min_split: int = 1,
                        max_cells: int | None = None,
                        fixed_splits: tuple[int, int] | None = None,
-                       per_cell: bool = False) -> DataFrame:
+                       per_cell: bool = False, skip_part: bool = False, keep_draw: bool = False) -> DataFrame:
     """Top-k neighbours of each query row among the data rows of the cells it probes.
 
     ``query``: ``index, label, features, probes array<int>``;
@@ -152,6 +158,9 @@ def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_sel
     Returns ``index, label, n_index, n_label, d2, rn`` (rn 1..k, by d2 then n_index). With
     ``per_cell`` a query gets its k neighbours in each cell it probes, and ``cell`` is a
     column. Synthetic data rows carry ``draw`` > 0 (their ``index`` is only a tie-break).
+    With ``skip_part`` both tables have a column ``part`` (a fold), and rows of the query's
+    own part are passed over inside the kernel, so one search serves all parts.
+    ``keep_draw`` keeps the neighbour's draw number as ``n_draw``.
 
     ``max_cells`` is the proven bound on distinct cells (it sizes the broadcast of the split
     table); when None the split table is left to AQE. ``fixed_splits = (data splits, query
@@ -161,21 +170,23 @@ def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_sel
     if "draw" not in data.columns:
         data = data.withColumn("draw", F.lit(0).cast("long"))
 
+    d_cols = ["index", "label", "features", "cell", "draw", *(["part"] if skip_part else [])]
+    q_cols = [F.col(c).alias(f"q_{c}") for c in ("index", "label", "features", *(["part"] if skip_part else []))]
+    kernel = _block_topk(k, exclude_self, skip_part)
+
     def answer(partial: DataFrame) -> DataFrame:
         top = _top_k(partial, k, ("cell", "index") if per_cell else ("index",))
-        return top.drop("n_draw") if per_cell else top.drop("cell", "n_draw")
+        return top.drop(*([] if per_cell else ["cell"]), *([] if keep_draw else ["n_draw"]))
 
     if fixed_splits is not None:
         sd, sq = fixed_splits
-        d = (data.select("index", "label", "features", "cell", "draw")
+        d = (data.select(*d_cols)
              .withColumn("dsub", F.pmod(F.xxhash64("index", "draw"), F.lit(sd)).cast("int"))
              .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.lit(sq - 1)))))
-        q = (query.select(F.col("index").alias("q_index"), F.col("label").alias("q_label"),
-                          F.col("features").alias("q_features"),
-                          F.explode("probes").alias("cell"))
+        q = (query.select(*q_cols, F.explode("probes").alias("cell"))
              .withColumn("qsub", F.pmod(F.xxhash64("q_index", F.lit(7)), F.lit(sq)).cast("int"))
              .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.lit(sd - 1)))))
-        return answer(_cogroup(q, d, keys, _block_topk(k, exclude_self), KERNEL_SCHEMA,
+        return answer(_cogroup(q, d, keys, kernel, KERNEL_SCHEMA,
                                _kernel_partitions(data, sd * sq)))
     dcnt = data.groupBy("cell").agg(F.count(F.lit(1)).alias("_dn"))
     qcnt = query.select(F.explode("probes").alias("cell")).groupBy("cell") \
@@ -189,22 +200,21 @@ def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_sel
     if max_cells is not None and max_cells <= BROADCAST_MAX_ROWS:
         splits = F.broadcast(splits)
 
-    d = (data.select("index", "label", "features", "cell", "draw")
+    d = (data.select(*d_cols)
          .join(splits, "cell")
          .withColumn("dsub", F.pmod(F.xxhash64("index", "draw"), F.col("_sd")).cast("int"))
          .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.col("_sq") - 1)))
          .drop("_sd", "_sq"))
-    q = (query.select(F.col("index").alias("q_index"), F.col("label").alias("q_label"),
-                      F.col("features").alias("q_features"), F.explode("probes").alias("cell"))
+    q = (query.select(*q_cols, F.explode("probes").alias("cell"))
          .join(splits, "cell")
          .withColumn("qsub", F.pmod(F.xxhash64("q_index", F.lit(7)), F.col("_sq")).cast("int"))
          .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.col("_sd") - 1)))
          .drop("_sd", "_sq"))
-    return answer(_cogroup(q, d, keys, _block_topk(k, exclude_self), KERNEL_SCHEMA,
+    return answer(_cogroup(q, d, keys, kernel, KERNEL_SCHEMA,
                            _kernel_partitions(data)))
 
 
-def _parallel_split(df: DataFrame) -> int:
+def parallel_split(df: DataFrame) -> int:
     par = df.sparkSession.sparkContext.defaultParallelism
     return max(1, int(math.ceil(math.sqrt(par))))
 
@@ -224,7 +234,7 @@ def knn(data: DataFrame, k: int, query: DataFrame | None = None, *,
     q = qdf.select("index", "label", "features", F.array(F.lit(0)).alias("probes"))
     d = data.select("index", "label", "features", F.lit(0).alias("cell"))
     # one cell: its split factors come from two counts (scalars), so no split-table join
-    m = _parallel_split(data)
+    m = parallel_split(data)
     nd = n_rows if n_rows is not None else data.count()
     nq = nd if self_join else (n_query_rows if n_query_rows is not None else qdf.count())
 
@@ -245,7 +255,7 @@ def nearest_same_class(data: DataFrame, k: int = 1, *,
     q = data.select("index", "label", "features", F.array("label").alias("probes"))
     d = data.select("index", "label", "features", F.col("label").alias("cell"))
     return blocked_neighbours(q, d, k, exclude_self=True, block_rows=block_rows,
-                              min_split=_parallel_split(data))
+                              min_split=parallel_split(data))
 
 
 def nearest_same_class_distance(data: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.operators.knn import blocked_neighbours
+from stratum.operators.knn import DEFAULT_BLOCK_ROWS, blocked_neighbours, parallel_split
 
 
 def random_forest_predict(train: DataFrame, test: DataFrame, num_trees: int = 10,
@@ -47,7 +49,32 @@ def knn_vote_predict(train: DataFrame, test: DataFrame, k: int = 5,
     q = test.select("index", "label", "features", F.array(cell).alias("probes"))
     # the cell is a key of the search, so one test row may take part in many cells
     nb = blocked_neighbours(q, d, k, exclude_self=False, min_split=1, per_cell=True)
-    votes = nb.groupBy("cell", "index", "label", "n_label").agg(F.count(F.lit(1)).alias("v"))
-    w = Window.partitionBy("cell", "index").orderBy(F.desc("v"), F.asc("n_label"))
-    pred = votes.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    return pred.select("cell", "index", "label", F.col("n_label").alias("prediction"))
+    pred = _majority(nb, ["cell", "index", "label"])
+    return pred.select("cell", "index", "label", "prediction")
+
+
+def _majority(nb: DataFrame, by: list[str]) -> DataFrame:
+    """``by, prediction``: the label of most neighbours, ties to the lower one."""
+    return nb.groupBy(*by).agg(F.collect_list("n_label").alias("_l")).select(*by, majority("_l").alias("prediction"))
+
+
+def majority(labels: Column | str) -> Column:
+    """The most frequent value of a short array of whole numbers, ties to the lowest."""
+    labels = F.col(labels) if isinstance(labels, str) else labels
+    votes = F.transform(F.array_distinct(labels), lambda v: F.struct(
+        F.size(F.filter(labels, lambda x: x == v)).alias("n"), (-v).alias("low")))
+    return -F.array_max(votes)["low"]
+
+
+def fold_vote_predict(folded: DataFrame, k: int = 5) -> DataFrame:
+    """L2 for all folds of ``index, label, features, fold`` in one search: every row against
+    the rows of the other folds, its own fold passed over inside the kernel, so training rows
+    are not copied for the folds they train. Returns ``fold, index, label, prediction``."""
+    rows = folded.select("index", "label", "features", F.col("fold").alias("part"))
+    m = parallel_split(rows)
+    n = rows.count()  # only sizes the blocks
+    split = max(1, min(max(math.ceil(n / DEFAULT_BLOCK_ROWS), m), n))
+    nb = blocked_neighbours(rows.withColumn("probes", F.array(F.lit(0))), rows.withColumn("cell", F.lit(0)), k,
+                            exclude_self=False, skip_part=True, fixed_splits=(split, split))
+    pred = _majority(nb, ["index", "label"])
+    return pred.join(folded.select("index", "fold"), "index").select("fold", "index", "label", "prediction")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from stratum.operators.clusters import keyed_clusters
 from stratum.operators.folds import assign_folds
-from stratum.operators.metrics import METRIC_NAMES, class_rates, confusion, evaluate, metrics
+from stratum.operators.metrics import METRIC_NAMES, class_rates, confusion, metrics
 from stratum.operators.model import random_forest_predict
 from stratum.operators.resample import resample, smote_plus_rows
 from stratum.operators.subsets import filter_all_subsets, filter_types, subset_list
@@ -222,54 +222,3 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
         c.unpersist()
     # one row per experiment cell: tiny, built from the collected metrics rows
     return spark.createDataFrame(out, RESULT_SCHEMA)
-
-
-def vote_grid_metrics(minority: DataFrame, methods: Sequence[str] = ("none", "undersample",
-                                                                     "oversample", "smote"),
-                      k: int = 5, num_splits: int = 5, seed: int = 42) -> DataFrame:
-    """V3+V5+V6 with the kNN-vote stand-in model (L2): the ten metrics of every
-    (fold, grade subset, method) cell in one plan; an empty cell has ``status`` empty_class.
-
-    Training rows are expanded per fold they train (all folds but their own) and per grade
-    subset that keeps their grade, resampled with the grid keys, then every test row is
-    matched only against the training rows of its cells by the blocked neighbour kernel
-    (the cell id is the kernel's cell). Returns ``fold, index, sampling, minority_types,
-    subset_id`` + metrics + ``n_classes_scored``; ``index`` numbers the cells of a fold in
-    method-then-subset order (V6).
-    """
-    from stratum.functions.exprs import subset_text
-    from stratum.operators.model import knn_vote_predict
-    from stratum.operators.subsets import subsets_table
-    spark = minority.sparkSession
-    f = assign_folds(minority, num_splits)
-    folds_arr = F.sequence(F.lit(0), F.lit(num_splits - 1))
-    train = f.withColumn("_tf", F.explode(F.filter(folds_arr, lambda x: x != F.col("fold")))) \
-        .drop("fold").withColumnRenamed("_tf", "fold")
-    train = filter_all_subsets(train)
-    parts = [resample(train, m, seed, keys=["fold", "subset_id"]).withColumn("method_id", F.lit(i))
-             for i, m in enumerate(methods)]
-    rs = reduce(lambda a, b: a.unionByName(b), parts)
-    # the cells of a fold are numbered method by method, as the result table is (V6)
-    per_fold = 15 * len(methods)
-    cell = F.col("fold") * per_fold + F.col("method_id") * 15 + F.col("subset_id")
-    rs = rs.withColumn("cell", cell.cast("int"))
-    # every test row takes part in each (subset, method) cell of its own fold
-    test = f.withColumn("cell", F.explode(F.sequence(F.col("fold") * per_fold,
-                                                     (F.col("fold") + 1) * per_fold - 1)))
-    pred = knn_vote_predict(rs, test, k, cell_col="cell")
-    met = evaluate(pred, ["cell"])
-    names = F.array(*[F.lit(m) for m in methods])
-    # the whole grid: num_splits x methods x 15 rows; a cell without training or test rows
-    # keeps its number and says so
-    grid = (spark.range(num_splits * per_fold).select(F.col("id").cast("int").alias("cell"))
-            .withColumn("fold", F.floor(F.col("cell") / per_fold).cast("int"))
-            .withColumn("index", (F.col("cell") % per_fold).cast("int"))
-            .withColumn("subset_id", (F.col("index") % 15).cast("int")))
-    sub = subsets_table(spark).select("subset_id", "subset")
-    # both sides have a row per cell at most
-    out = grid.join(F.broadcast(sub), "subset_id").join(F.broadcast(met), "cell", "left")
-    return out.select(
-        "fold", "index", F.element_at(names, F.floor(F.col("index") / 15).cast("int") + 1).alias("sampling"),
-        F.col("subset").alias("minority_types"), "subset_id",
-        *[F.round(m, 6).alias(m) for m in METRIC_NAMES], "n_classes_scored",
-        F.when(F.col("n_classes_scored").isNull(), "empty_class").otherwise("ok").alias("status"))

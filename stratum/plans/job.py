@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 from stratum.operators.grading import minority_types
 from stratum.operators.knn import knn, knn_cells, knn_pruned
 from stratum.operators.prepare import feature_ranges, min_max_scale, to_indexed
-from stratum.plans.experiment import run_experiment, vote_grid_metrics
+from stratum.plans.experiment import run_experiment
 from stratum.plans.grading import graded, scaled_points
+from stratum.plans.vote_grid import vote_grid_metrics
 from stratum.sources.files import read_table, write_results
 
 

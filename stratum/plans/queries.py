@@ -17,6 +17,7 @@ from stratum.operators.prepare import dictionary, string_index
 from stratum.operators.subsets import filter_all_subsets, subsets_table
 from stratum.plans import oracle as O
 from stratum.plans.grading import graded, scaled_points
+from stratum.session import reliable_checkpoint
 from stratum.sources import datasets as D
 from stratum.sources.tables import table
 
@@ -303,7 +304,7 @@ def smote_filtered_q(spark, sf):
 
 from stratum.operators.folds import assign_folds  # noqa: E402
 from stratum.operators.metrics import METRIC_NAMES, class_rates, confusion, metrics  # noqa: E402
-from stratum.operators.model import knn_vote_predict  # noqa: E402
+from stratum.operators.model import fold_vote_predict  # noqa: E402
 
 
 def _graded_folds(spark, sf):
@@ -341,14 +342,8 @@ def fold_sizes(spark, sf):
 
 def _fold_votes(spark, sf):
     """L2 predictions: every fold's rows predicted by 5-NN vote from the other folds, all
-    folds in one blocked neighbour search keyed by fold."""
-    f = _graded_folds(spark, sf)
-    train = f.withColumn("cell", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)),
-                                                    lambda x: x != F.col("fold"))))
-    test = f.withColumn("cell", F.col("fold"))
-    pred = knn_vote_predict(train.withColumn("draw", F.lit(None).cast("long")), test, 5,
-                            cell_col="cell")
-    return pred.withColumnRenamed("cell", "fold")
+    folds in one blocked neighbour search."""
+    return fold_vote_predict(reliable_checkpoint(_graded_folds(spark, sf)), 5)
 
 
 _CONF = (O.doc_graded_prefix(5) + ", " + O.fold_sql("g") + ", " + O.vote_confusion_sql("fo", 4))
@@ -641,7 +636,7 @@ def minority_round_trip(spark, sf):
 
 # ----------------------------------------------------------------- grid metrics (V3, V5, V6)
 
-from stratum.plans.experiment import vote_grid_metrics  # noqa: E402
+from stratum.plans.vote_grid import vote_grid_metrics  # noqa: E402
 
 
 def _vote_grid_sql() -> str:

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.operators.metrics import METRIC_NAMES
-from stratum.plans.experiment import run_experiment, vote_grid_metrics
+from stratum.plans.experiment import run_experiment
 from stratum.plans.job import fold_grader, run_job
+from stratum.plans.vote_grid import vote_grid_metrics
 
 
 def minority(spark, grades=(0, 1, 2, 3), n=60):
