@@ -72,20 +72,19 @@ def to_vector(df: DataFrame, col: str = "features", out: str | None = None) -> D
 def feature_ranges(df: DataFrame, col: str = "features", with_count: bool = False):
     """Per-position min and max of an array column in one pass.
 
-    ``posexplode`` feeds a hash aggregate keyed by position; the partial aggregate runs
-    map-side, so only (#partitions x #features) rows are shuffled. The result has one row
-    per feature position, bounded by the feature width, and is the only thing collected.
-    With ``with_count`` the row count (values at position 0) is returned as well.
+    MLlib's ``Summarizer`` keeps two vectors and a count for each partition and merges them
+    element by element, so a partition sends one row whatever the number of features. The
+    result is one row, the only thing collected. With ``with_count`` the number of rows is
+    returned as well. Rows without features are passed over; arrays must have one length.
     """
-    rows = (df.select(F.posexplode(col).alias("p", "v"))
-            .groupBy("p").agg(F.min("v").alias("mn"), F.max("v").alias("mx"),
-                              F.count(F.lit(1)).alias("n"))
-            .collect())
-    rows = sorted(rows, key=lambda r: r["p"])
-    out = ([r["mn"] for r in rows], [r["mx"] for r in rows])
-    if with_count:
-        return out + ((rows[0]["n"] if rows else 0),)
-    return out
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    vectors = df.where(F.size(F.col(col)) > 0).select(array_to_vector(F.col(col).cast("array<double>")).alias("v"))
+    # grouped by a constant, so that a table without rows gives no row
+    found = vectors.groupBy(F.lit("all")).agg(Summarizer.metrics("min", "max", "count").summary(F.col("v")).alias("s")) \
+        .select("s.*").collect()
+    mins, maxs, n = (list(found[0]["min"]), list(found[0]["max"]), found[0]["count"]) if found else ([], [], 0)
+    return (mins, maxs, n) if with_count else (mins, maxs)
 
 
 def min_max_scale(df: DataFrame, col: str = "features",

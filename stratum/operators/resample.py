@@ -22,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.functions.exprs import draw_position, hash_number
+from stratum.functions.exprs import DRAW_DIGITS, draw_position, hash_number
 from stratum.operators.aggregates import counts_with_targets, mean_of_arrays
-from stratum.operators.common import default_buckets, dense_positions, join_small
+from stratum.operators.common import BROADCAST_MAX_ROWS, default_buckets, dense_positions, join_small
 from stratum.operators.subsets import filter_types
 
 METHODS = ("none", "undersample", "oversample", "smote")
+#: Undersampling counts hashes of 60 bits by their first 12: 4,096 buckets for each class.
+HASH_BITS, CUT_BITS = 4 * DRAW_DIGITS, 12
 DRAW_CHUNK = 100_000
 # Draws per (class, position) join key before the class's rows are replicated (salted).
 SALT_TARGET = 10_000
@@ -79,20 +81,41 @@ def draw_table(need: DataFrame, count_col: str = "m", chunk: int = DRAW_CHUNK) -
 
 # ----------------------------------------------------------------- R1 undersample
 
+def _hash_cuts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Where undersampling cuts every class: ``keys, label, cut, rest``. Of rows with hash bucket
+    below ``cut`` all stay, of those in it the first ``rest``.
+
+    An exact count by hash bucket, so a class of any size is cut without being sorted; only
+    its one bucket at the cut is. The table has a row per key and class; where that is
+    within the broadcast bound it is fetched and handed out as a local table."""
+    by = [*keys, "label"]
+    buckets = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("c"))
+    up_to = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = buckets.select(*by, "_b", "c", F.sum("c").over(up_to).alias("up"),
+                             F.sum("c").over(Window.partitionBy(*by)).alias("n"))
+    least = F.min("n").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
+    cuts = buckets.withColumn("min_n", least).where((F.col("up") >= F.col("min_n")) & (F.col("up") - F.col("c") < F.col("min_n"))) \
+        .select(*by, F.col("_b").alias("cut"), (F.col("min_n") - F.col("up") + F.col("c")).alias("rest"))
+    few = cuts.limit(BROADCAST_MAX_ROWS + 1).collect()
+    return cuts if len(few) > BROADCAST_MAX_ROWS else rows.sparkSession.createDataFrame(few, cuts.schema)
+
+
 def undersample(df: DataFrame, seed: int = 42, keys=()) -> DataFrame:
     """Every class cut to exactly the smallest class size, keeping the rows with the
-    smallest ``md5(seed:index)`` (ties by index). Exact size, seeded."""
+    smallest ``md5(seed:index)`` (ties by index). Exact size, seeded.
+
+    One job counts the rows by class and hash bucket; then one scan keeps what lies below
+    the cut and ranks only the bucket at it. Kept rows are shuffled once, spread evenly."""
     k = list(keys)
-    c = counts_with_targets(df, k).select(*k, "label", "n", "min_n")
     h = hash_number(F.concat_ws(":", F.lit(str(seed)), F.col("index").cast("string")))
-    # a class of n rows keeps about min_n below this hash; the margin of ten standard
-    # deviations makes fewer than min_n impossible in practice, and the row number is exact
-    share = (F.col("min_n") + 10 * F.sqrt(F.col("min_n").cast("double")) + 100) / F.col("n")
-    near = join_small(df.withColumn("_h", h), c, [*k, "label"]).where(
-        F.col("_h") < F.least(share, F.lit(1.0)) * F.lit(float(1 << 60)))
-    kept = dense_positions(near.drop("n"), "_h", [*k, "label"], pos_col="_pos", tiebreak="index")
-    kept = kept.where(F.col("_pos") < F.col("min_n"))
-    return _original(kept.drop("_h", "_pos", "min_n"), k)
+    bucket = F.shiftright("_h", HASH_BITS - CUT_BITS).cast("int")
+    cuts = _hash_cuts(df.select(*k, "label", h.alias("_h")).withColumn("_b", bucket), k)
+    near = df.withColumn("_h", h).withColumn("_b", bucket).join(cuts, [*k, "label"]).where("_b <= cut")
+    # rows below the cut need no rank: they are only dealt out
+    part = F.when(F.col("_b") == F.col("cut"), F.lit(-1)).otherwise(F.col("_b"))
+    rank = F.row_number().over(Window.partitionBy(*k, "label", "_part").orderBy("_h", "index"))
+    kept = near.withColumn("_part", part).withColumn("_rn", rank).where("_part >= 0 or _rn <= rest")
+    return _original(kept, k)
 
 
 # ----------------------------------------------------------------- R2 oversample
