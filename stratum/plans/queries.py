@@ -13,6 +13,7 @@ from stratum.operators import knn as K
 from stratum.operators import resample as R
 from stratum.operators.aggregates import class_counts, class_targets, feature_columns
 from stratum.operators.cell_tree import knn_tree
+from stratum.operators.class_search import average_distance_bounded, nearest_same_class_bounded
 from stratum.operators.prepare import dictionary, string_index
 from stratum.operators.subsets import filter_all_subsets, subsets_table
 from stratum.plans import oracle as O
@@ -815,3 +816,21 @@ def minority_counts_cells(spark, sf):
     same = F.count_if(F.col("minority_type") == F.col("exact"))
     return g.join(exact, "index").groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), (same >= 0.95 * F.count(F.lit(1))).alias("grades_agree"))
+
+
+@query("nearest_same_class_bounded", ORACLE["nearest_same_class"])
+def nearest_same_class_bounded_q(spark, sf):
+    """K5 by bounds of cells: the same distances as ``nearest_same_class``, far cells skipped."""
+    d = nearest_same_class_bounded(_doc_scaled(spark, sf))
+    return d.select("index", "label", F.round("distance", 6).alias("distance"))
+
+
+@query("average_distance_bounded",
+       f"WITH ds AS ({_B}) SELECT idx AS \"index\", label, true AS within_error FROM ds")
+def average_distance_bounded_q(spark, sf):
+    """K6 within a tolerance of 0.01, held against the exact average of every row."""
+    pts = _doc_scaled(spark, sf)
+    near = average_distance_bounded(pts, tolerance=0.01).select("index", F.col("avg_distance").alias("a"))
+    off = F.abs(F.col("a") - F.col("avg_distance")) <= 0.01 * F.col("avg_distance") + 1e-9
+    return K.average_distance(pts).join(near, "index").select(
+        "index", "label", F.coalesce(off, F.col("a").isNull() & F.col("avg_distance").isNull()).alias("within_error"))
