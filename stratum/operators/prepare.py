@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.operators.common import dense_positions, global_rank
+from stratum.operators.common import dense_positions, global_rank, join_small
 
 
 def _checked(c: Column, what: str) -> Column:
@@ -112,21 +112,43 @@ def string_index(df: DataFrame, cols: Sequence[str], suffix: str = "_idx",
     """Replace string columns by their frequency-ranked index (StringIndexer order:
     most frequent first, ties alphabetical), named ``<col>_idx``.
 
-    The dictionary is built from the distinct values of each column on executors and
-    ranked with :func:`global_rank` (no single-task sort of the category domain). A NULL
-    category fails the job.
+    All columns' values are counted in one scan and ranked together (:func:`dictionaries`).
+    A dictionary is broadcast where it is short enough, by the counts of distinct values
+    that come with the ranking. A NULL category fails the job.
     """
+    found = dictionaries(df, cols)
+    sizes = {r["column"]: r["n"] for r in found.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
     for c in cols:
-        d = dictionary(df, c)
-        out = out.withColumn(c, _checked(F.col(c), f"category {c}"))
-        out = out.join(d.select(F.col("value").alias(c), F.col("label").alias(c + suffix)),
-                       on=c, how="left")
+        d = found.where(F.col("column") == c).select(F.col("value").alias(c), F.col("label").alias(c + suffix))
+        out = join_small(out.withColumn(c, _checked(F.col(c), f"category {c}")), d, c, "left", known_rows=sizes.get(c, 0))
         if drop:
             out = out.drop(c)
     return out
 
 
+def dictionaries(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """P7/P8 for many string columns: ``column, value, label``, each column in StringIndexer order.
+
+    One scan turns the columns into (column, value) and counts; one distributed ranking
+    orders the values of all columns, and a column's labels start where its values do."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+    counts = df.select(pairs.alias("p")).select("p.*").where(F.col("value").isNotNull()) \
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = _rank(counts, [F.asc("column"), F.desc("_n"), F.asc("value")])
+    starts = ranked.groupBy("column").agg(F.min("_r").alias("_first"))  # a row per column
+    return ranked.join(F.broadcast(starts), "column").select("column", "value", (F.col("_r") - F.col("_first")).cast("int").alias("label"))
+
+
+def impute_median(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+    """§1.2: NULL numbers of ``cols`` replaced by the column's median, an explicit option.
+
+    The medians come from one pass of mergeable quantile sketches (their rank error is
+    1 / ``accuracy``); a column of NULLs alone stays as it is."""
+    medians = df.agg(*[F.percentile_approx(c, F.lit(0.5), accuracy).alias(c) for c in cols]).first()
+    return df.fillna({c: medians[c] for c in cols if medians[c] is not None})
+
+
 def dictionary(df: DataFrame, col: str) -> DataFrame:
     """``(label int, value string)`` table, one row per distinct value, StringIndexer order."""
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("_n")) \

@@ -14,7 +14,7 @@ from stratum.operators import resample as R
 from stratum.operators.aggregates import class_counts, class_targets, feature_columns
 from stratum.operators.cell_tree import knn_tree
 from stratum.operators.class_search import average_distance_bounded, nearest_same_class_bounded
-from stratum.operators.prepare import dictionary, string_index
+from stratum.operators.prepare import dictionary, impute_median, string_index
 from stratum.operators.subsets import filter_all_subsets, subsets_table
 from stratum.plans import oracle as O
 from stratum.plans.grading import graded, scaled_points
@@ -775,7 +775,8 @@ def job_end_to_end(spark, sf):
     raw = feature_columns(D.ds_doc(spark, sf), 4, digits=None, keep=("index", "label"))
     source, out = FS.scratch_path(spark, "job-in"), FS.scratch_path(spark, "job-out")
     raw.write.option("header", True).csv(source)
-    res = run_job(spark, source, out, schema=raw.schema, label_col="label", index_col="index", model="vote")
+    res = run_job(spark, source, out, schema=raw.schema, label_col="label", index_col="index", model="vote",
+                  search="exact")
     return res
 
 
@@ -834,3 +835,53 @@ def average_distance_bounded_q(spark, sf):
     off = F.abs(F.col("a") - F.col("avg_distance")) <= 0.01 * F.col("avg_distance") + 1e-9
     return K.average_distance(pts).join(near, "index").select(
         "index", "label", F.coalesce(off, F.col("a").isNull() & F.col("avg_distance").isNull()).alias("within_error"))
+
+
+def _rank_sql(col: str) -> str:
+    return (f"(SELECT {col} AS v, CAST(row_number() OVER (ORDER BY count(*) DESC, {col}) - 1 AS INTEGER) AS i"
+            f" FROM part GROUP BY {col})")
+
+
+@query("string_index_many",
+       "SELECT p_partkey, a.i AS p_brand_idx, b.i AS p_type_idx, c.i AS p_name_idx FROM part"
+       f" JOIN {_rank_sql('p_brand')} a ON a.v = p_brand JOIN {_rank_sql('p_type')} b ON b.v = p_type"
+       f" JOIN {_rank_sql('p_name')} c ON c.v = p_name")
+def string_index_many(spark, sf):
+    """Three string columns indexed by dictionaries of one scan."""
+    part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_name")
+    return string_index(part, ["p_brand", "p_type", "p_name"])
+
+
+@query("sorted_sink_range",
+       "SELECT o_orderkey AS \"index\", o_orderstatus AS status, round(o_totalprice, 2) AS price FROM orders"
+       " WHERE o_orderkey BETWEEN (SELECT max(o_orderkey) // 4 FROM orders) AND (SELECT max(o_orderkey) // 2 FROM orders)")
+def sorted_sink_range(spark, sf):
+    """O1: a table written in ranges of its index, and the second quarter of the range read back."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("index"), F.col("o_orderstatus").alias("status"),
+                                          F.round("o_totalprice", 2).alias("price"))
+    path = FS.scratch_path(spark, "sorted")
+    FS.write_sorted(o, path)
+    last = o.agg(F.max("index")).first()[0] or 0
+    return spark.read.parquet(path).where(F.col("index").between(last // 4, last // 2))
+
+
+_LINE = ("CASE WHEN o_orderkey % 11 = 3 THEN 'n/a' WHEN o_orderkey % 5 = 1 THEN '' ELSE"
+         " CAST(CAST(round(o_totalprice, 2) AS DECIMAL(18, 2)) AS {text}) END")
+
+
+@query("rejects_and_medians",
+       "WITH k AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 1 THEN CAST(round(o_totalprice, 2) AS DOUBLE) END AS price"
+       " FROM orders WHERE o_orderkey % 11 <> 3)"
+       " SELECT o_orderkey AS \"index\", coalesce(price, (SELECT quantile_disc(price, 0.5) FROM k)) AS price, 'kept' AS status FROM k"
+       " UNION ALL SELECT o_orderkey, NULL, 'rejected' FROM orders WHERE o_orderkey % 11 = 3")
+def rejects_and_medians(spark, sf):
+    """S1, §1.2: a delimited file with values that are no numbers (rejected lines) and empty ones
+    (replaced by the median of the column)."""
+    lines = table(spark, sf, "orders").select(F.col("o_orderkey").alias("index"), F.expr(_LINE.format(text="STRING")).alias("price"))
+    path = FS.scratch_path(spark, "lines")
+    lines.write.option("header", True).option("emptyValue", "").csv(path)
+    schema = T.StructType([T.StructField("index", T.LongType()), T.StructField("price", T.DoubleType())])
+    kept, rejected = FS.read_with_rejects(spark, path, schema)
+    kept = impute_median(kept, ["price"], accuracy=1_000_000).withColumn("status", F.lit("kept"))
+    return kept.unionByName(rejected.select(F.split("record", ",")[0].cast("long").alias("index"),
+                                            F.lit(None).cast("double").alias("price"), F.lit("rejected").alias("status")))
