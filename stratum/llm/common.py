@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters between words, as the inside of a regular-expression class.
@@ -88,6 +88,21 @@ def with_row_key(docs: DataFrame, **columns: Column) -> DataFrame:
         return with_row_key(written, **{name: written[name] for name in columns})
 
 
+#: Bits of a row number that hold the row's place in its file.
+PLACE_BITS = 40
+
+
+def with_row_number(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` of the documents with a number ``row`` that tells every row and that later
+    readings repeat: the file's number and the row's place in it. The table of files, a row
+    per file, is all that is written."""
+    rows = with_row_key(docs, **columns)
+    order = Window.partitionBy(F.lit(0)).orderBy("file")
+    files = stage(rows.select("file").distinct().withColumn("number", F.row_number().over(order).cast("long")))
+    row = F.shiftleft("number", PLACE_BITS).bitwiseOR(F.col("at"))
+    return rows.join(F.broadcast(files), "file").select(row.alias("row"), *columns)
+
+
 def text_of(df: DataFrame, col: str) -> Column:
     """The text column, null as empty."""
     return F.coalesce(df[col].cast("string"), F.lit(""))
