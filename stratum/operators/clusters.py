@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratum.operators.subsets import rows_of_class
+
 
 def class_clusters(minority: DataFrame, k: int, seed: int = 1, max_iter: int = 20,
                    parallel_fits: int = 4) -> DataFrame:
@@ -27,7 +29,7 @@ def class_clusters(minority: DataFrame, k: int, seed: int = 1, max_iter: int = 2
     from pyspark.ml.functions import array_to_vector
 
     def fitted(label: int) -> DataFrame:
-        rows = minority.where(F.col("label") == label)
+        rows = rows_of_class(minority, label)
         k_eff = min(k, sizes[label])
         if k_eff < 2:
             return rows.withColumn("cluster", F.lit(0)).withColumn("k_eff", F.lit(1))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.exprs import GRADE_NAMES, grade_expr
 from stratum.operators.knn import knn
+from stratum.session import reliable_checkpoint
 
 
 def same_class_counts(neighbours: DataFrame) -> DataFrame:
@@ -46,13 +47,6 @@ def type_report(minority: DataFrame) -> DataFrame:
     return minority.groupBy("label", "minority_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def type_report_wide(minority: DataFrame) -> DataFrame:
-    """M8 as one row per class with a count column per grade name."""
-    return minority.groupBy("label").agg(
-        *[F.count_if(F.col("minority_type") == code).alias(name)
-          for code, name in enumerate(GRADE_NAMES)])
-
-
 def one_vs_rest(points: DataFrame, neighbours: DataFrame, classes: Sequence[int], k: int
                 ) -> DataFrame:
     """M6: for every row and every class c, ``is_positive`` (row of class c) and the grade of
@@ -93,7 +87,8 @@ def one_vs_rest_totals(points: DataFrame, neighbours: DataFrame, k: int) -> Data
     nl = neighbours.groupBy("index").agg(F.collect_list("n_label").alias("nl"))  # k labels
     rows = points.select("index", "label").join(nl, "index", "left").select(
         "label", F.coalesce("nl", F.array().cast("array<int>")).alias("nl"))
-    rows = rows.withColumn("tn", F.size("nl"))
+    # read four times below: staged, so the neighbours are found once
+    rows = reliable_checkpoint(rows.withColumn("tn", F.size("nl")))
     cls = F.explode(F.array_distinct(F.concat(F.array("label"), "nl")))
     own = F.col("class") == F.col("label")
     same = F.size(F.filter("nl", lambda v: v == F.col("class")))

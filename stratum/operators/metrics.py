@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratum.operators.prepare import greater
+
 # The ten metric names, in the order of the result table.
 METRIC_NAMES = ("AvAvg", "MAvG", "RecM", "PrecM", "Recu", "Precu", "FbM", "Fbu", "AvFb", "CBA")
 
@@ -79,7 +81,7 @@ def metrics(rates: DataFrame, keys: Sequence[str] = (), beta: float = 0.5) -> Da
         *k, "has_test", tp.alias("tp"), fn.alias("fn"), fp.alias("fp"),
         _div(tp + tn, tp + tn + fp + fn).alias("acc"),
         _div(tp, tp + fn).alias("rec"), _div(tp, tp + fp).alias("prec"),
-        _div(tp, F.greatest(tp + fn, tp + fp)).alias("cba"))
+        _div(tp, greater(tp + fn, tp + fp)).alias("cba"))
     per = per.withColumn("fb", _fbeta(F.col("prec"), F.col("rec"), beta))
     t = F.col("has_test")
 

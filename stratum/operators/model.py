@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.operators.knn import DEFAULT_BLOCK_ROWS, blocked_neighbours, parallel_split
+from stratum.operators.prepare import to_vector
 
 
 def random_forest_predict(train: DataFrame, test: DataFrame, num_trees: int = 10,
@@ -16,12 +17,11 @@ def random_forest_predict(train: DataFrame, test: DataFrame, num_trees: int = 10
     Returns ``test`` columns plus ``prediction int``. ``num_classes`` (largest label + 1),
     where known, saves the job that looks for it."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector
     known = {"ml_attr": {"type": "nominal", "num_vals": int(num_classes)}} if num_classes else None
     tr = train.select(F.col("label").cast("double").alias("label", metadata=known) if known else
                       F.col("label").cast("double").alias("label"),
-                      array_to_vector("features").alias("fv"))
-    te = test.withColumn("fv", array_to_vector("features"))
+                      "features")
+    tr, te = to_vector(tr, out="fv").drop("features"), to_vector(test, out="fv")
     rf = RandomForestClassifier(numTrees=num_trees, seed=seed, labelCol="label",
                                 featuresCol="fv", predictionCol="prediction")
     model = rf.fit(tr)

@@ -46,11 +46,6 @@ def rows_of_class(df: DataFrame, label: int) -> DataFrame:
     return df.where(F.col("label") == int(label))
 
 
-def distinct_classes(df: DataFrame) -> DataFrame:
-    """F4."""
-    return df.select("label").distinct()
-
-
 def cluster_keep(clustered: DataFrame, types: Sequence[int], cutoff: float) -> DataFrame:
     """``label, cluster, n, n_selected, keep`` - a cluster is kept when the share of its
     rows whose grade is selected reaches ``cutoff`` (computed per cutoff, not accumulated)."""
@@ -66,9 +61,11 @@ def select_by_clusters(clustered: DataFrame, types: Sequence[int], cutoff: float
     return filter_types(clustered, types).join(keep, ["label", "cluster"], "left_semi")
 
 
-def empty_classes(all_rows: DataFrame, selected: DataFrame) -> DataFrame:
-    """classes present in ``all_rows`` with no row left in ``selected`` (anti join),
-    with ``status = 'empty_class'``."""
-    return (all_rows.select("label").distinct()
-            .join(selected.select("label").distinct(), "label", "left_anti")
-            .withColumn("status", F.lit("empty_class")))
+def empty_classes(minority: DataFrame) -> DataFrame:
+    """``subset_id, label, status``: the classes that a grade subset leaves without a row, for all
+    subsets from one aggregate (the grades that a class has)."""
+    present = minority.groupBy("label").agg(F.collect_set("minority_type").alias("present"))
+    lists = F.array(*[F.array(*[F.lit(t) for t in sub]) for sub in subset_list()])
+    each = present.select("label", "present", F.explode(F.sequence(F.lit(0), F.lit(14))).alias("subset_id"))
+    none = F.size(F.array_intersect("present", F.element_at(lists, F.col("subset_id") + 1))) == 0
+    return each.where(none).select("subset_id", "label", F.lit("empty_class").alias("status"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratum.operators.clusters import keyed_clusters
-from stratum.operators.folds import assign_folds
+from stratum.operators.folds import assign_folds, fold_split
 from stratum.operators.metrics import METRIC_NAMES, class_rates, confusion, metrics
 from stratum.operators.model import random_forest_predict
 from stratum.operators.resample import resample, smote_plus_rows
@@ -168,7 +168,7 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
                            pool, seed, cluster_seed)
     out: list[tuple] = []
     for f in fold_ids:
-        train, test = (with_folds.where(cond).drop("fold") for cond in (F.col("fold") != f, F.col("fold") == f))
+        train, test = (part.drop("fold") for part in fold_split(with_folds, f))
         if regrade is not None:
             train, test = regrade(train, test)
         train, test = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in (train, test))

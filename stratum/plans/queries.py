@@ -14,7 +14,7 @@ from stratum.operators import resample as R
 from stratum.operators.aggregates import class_counts, class_targets, feature_columns
 from stratum.operators.cell_tree import knn_tree
 from stratum.operators.class_search import average_distance_bounded, nearest_same_class_bounded
-from stratum.operators.prepare import dictionary, impute_median, string_index
+from stratum.operators.prepare import dictionary, impute_median, label_names, string_index
 from stratum.operators.subsets import filter_all_subsets, subsets_table
 from stratum.plans import oracle as O
 from stratum.plans.grading import graded, scaled_points
@@ -229,8 +229,7 @@ def index_to_name(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     idx = string_index(docs, ["lang"], drop=False)
     cnt = idx.groupBy(F.col("lang_idx").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    names = dictionary(docs, "lang").withColumnRenamed("value", "name")
-    return cnt.join(names, "label")
+    return label_names(cnt, dictionary(docs, "lang")).select("label", "name", "n")
 
 
 # ----------------------------------------------------------------- resampling
@@ -297,14 +296,14 @@ def smote_q(spark, sf):
 @query("smote_filtered", _smote_sql((1, 2, 3)))
 def smote_filtered_q(spark, sf):
     """R9+F2: grades [1 2 3] kept, then SMOTE; targets computed after the filter."""
-    g = _doc_graded(spark, sf)
-    return _smote_rows_out(g.where(F.col("minority_type").isin(1, 2, 3)))
+    made = R.resample_types(_doc_graded(spark, sf), (1, 2, 3), "smote").where("is_synthetic")
+    return feature_columns(made, 4, keep=("label", "draw"))
 
 
 # ----------------------------------------------------------------- folds, confusion, metrics
 
 from stratum.operators.folds import assign_folds  # noqa: E402
-from stratum.operators.metrics import METRIC_NAMES, class_rates, confusion, metrics  # noqa: E402
+from stratum.operators.metrics import METRIC_NAMES, class_rates, confusion, confusion_wide, metrics  # noqa: E402
 from stratum.operators.model import fold_vote_predict  # noqa: E402
 
 
@@ -356,6 +355,13 @@ def confusion_q(spark, sf):
     return confusion(_fold_votes(spark, sf), ["fold"])
 
 
+@query("confusion_wide", _CONF + " SELECT label, " + ", ".join(
+    f"CAST(coalesce(sum(n) FILTER (WHERE prediction = {p}), 0) AS BIGINT) AS \"{p}\"" for p in range(4)) + " FROM conf GROUP BY label")
+def confusion_wide_q(spark, sf):
+    """A5 (wide form) and O2: a row per actual class, a column per predicted one, all folds together."""
+    return confusion_wide(confusion(_fold_votes(spark, sf)), [0, 1, 2, 3])
+
+
 @query("class_rates", _CONF + ", " + O.rates_sql() +
        " SELECT fold, label, tp, fn, fp, tn FROM rates")
 def class_rates_q(spark, sf):
@@ -375,7 +381,7 @@ def multiclass_metrics(spark, sf):
 # ----------------------------------------------------------------- clusters, SMOTE+
 
 from stratum.operators.aggregates import cluster_histogram  # noqa: E402
-from stratum.operators.subsets import cluster_keep, select_by_clusters, subset_list  # noqa: E402
+from stratum.operators.subsets import cluster_keep, empty_classes, select_by_clusters  # noqa: E402
 
 FIXED_K = 3
 
@@ -412,14 +418,7 @@ def cluster_cutoff_q(spark, sf):
        " AND ((ss.subset_id >> g.minority_type) & 1) = 0)")
 def empty_class_report(spark, sf):
     """(subset, class) pairs where the grade filter leaves the class empty."""
-    g = _doc_graded(spark, sf)
-    present = g.groupBy("label").agg(F.collect_set("minority_type").alias("present"))
-    lists = F.array(*[F.array(*[F.lit(t) for t in sub]) for sub in subset_list()])
-    x = present.select("label", "present",
-                       F.explode(F.sequence(F.lit(0), F.lit(14))).alias("subset_id"))
-    x = x.where(F.size(F.array_intersect("present", F.element_at(lists, F.col("subset_id") + 1)))
-                == 0)
-    return x.select("subset_id", "label", F.lit("empty_class").alias("status"))
+    return empty_classes(_doc_graded(spark, sf))
 
 
 def _smote_plus_sql(k: int) -> str:
@@ -600,6 +599,26 @@ def smote_plus_q(spark, sf):
     return feature_columns(syn, 4, keep=("label", "draw"))
 
 
+@query("class_clusters_report",
+       O.doc_graded_prefix(5) + ", ks AS (SELECT unnest([2, 5, 25]) AS k)"
+       " SELECT label, CAST(k AS INTEGER) AS k, count(*) AS n, CAST(least(k, count(*)) AS INTEGER) AS k_eff,"
+       " true AS nearest_centre FROM g CROSS JOIN ks GROUP BY label, k")
+def class_clusters_report(spark, sf):
+    """Rows, effective k, and whether every row lies in the cluster whose mean is nearest to it
+    (a fixed point of k-means, up to the tolerance), for three ks at once."""
+    from stratum.operators.clusters import keyed_clusters
+    c = reliable_checkpoint(keyed_clusters(_doc_graded(spark, sf), (2, 5, 25), max_iter=100, tolerance=0.0))
+    means = c.groupBy("label", "k", "cluster").agg(*[F.avg(F.col("features")[i]).alias(f"m{i}") for i in range(4)])
+    means = means.groupBy("label", "k").agg(F.collect_list(F.struct(
+        "cluster", F.array(*[F.col(f"m{i}") for i in range(4)]).alias("m"))).alias("means"))  # k at most
+    far = F.transform("means", lambda x: F.struct(x["cluster"].alias("cluster"), squared_distance("features", x["m"]).alias("d")))
+    own = F.array_max(F.transform(F.filter("far", lambda x: x["cluster"] == F.col("cluster")), lambda x: x["d"]))
+    least = F.array_min(F.transform("far", lambda x: x["d"]))
+    rows = c.join(means, ["label", "k"]).withColumn("far", far)
+    return rows.groupBy("label", "k").agg(F.count(F.lit(1)).alias("n"), F.max("k_eff").alias("k_eff"),
+                                          F.bool_and((own <= least + 1e-9) & (F.col("cluster") < F.col("k_eff"))).alias("nearest_centre"))
+
+
 # ----------------------------------------------------------------- sources and sinks
 
 from stratum.sources import files as FS  # noqa: E402
@@ -714,7 +733,7 @@ def subset_grid_metrics(spark, sf):
 
 # ----------------------------------------------------------------- M2, M4, S4
 
-from stratum.functions.exprs import grade_name_expr  # noqa: E402
+from stratum.functions.exprs import grade_name_expr, squared_distance  # noqa: E402
 from stratum.operators.prepare import to_indexed  # noqa: E402
 
 
