@@ -500,3 +500,60 @@ def op11_conversation_repair(spark, sf_dir: str) -> DataFrame:
     return every.join(report.alias("r"), F.expr("c.conv_id <=> r.conv_id"), "left").select(
         "c.conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+#: The repair row by row, the cheapest and first audit of every state kept; CRC-32 bit by bit.
+OP11_SQL = r"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+ids AS (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM src)),
+crc AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END)), CAST(4294967295 AS BIGINT)) % 20 AS code
+  FROM src),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS rep FROM crc),
+o AS (
+  SELECT cid, turn, role, text, substr(role, 1, 1) AS ini,
+         row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, rep) AS i,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+              WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY turn NULLS FIRST, rep) > 1 THEN 2
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault
+  FROM damaged JOIN ids ON damaged.conv_id IS NOT DISTINCT FROM ids.conv_id),
+edits(s, op, ini, t, c, role) AS (
+  SELECT s, 'D', CAST(NULL AS VARCHAR), s, 3, CAST(NULL AS VARCHAR) FROM range(4) AS x(s)
+  UNION ALL VALUES (0, 'K', 's', 1, 0, NULL), (0, 'K', 'u', 2, 0, NULL), (1, 'K', 'u', 2, 0, NULL), (3, 'K', 'u', 2, 0, NULL),
+    (2, 'K', 'a', 3, 0, NULL), (0, 'R', NULL, 2, 2, 'user'), (1, 'R', NULL, 2, 2, 'user'), (2, 'R', NULL, 3, 2, 'assistant'),
+    (3, 'R', NULL, 2, 2, 'user')),
+inserts(s, t, c, op, lines) AS (
+  SELECT s, s, 0, '', CAST([] AS VARCHAR[]) FROM range(4) AS x(s)
+  UNION ALL VALUES (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 2, 2, 'I', ['user:']),
+    (1, 3, 4, 'II', ['user:', 'assistant:']), (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:'])),
+best(cid, i, s, cost, audit, lines) AS (
+  SELECT DISTINCT o.cid, CAST(0 AS BIGINT), CAST(n.t AS BIGINT), CAST(n.c AS BIGINT), n.op, n.lines FROM o, inserts n WHERE n.s = 0
+  UNION ALL
+  SELECT cid, i, s, cost, audit, lines FROM (
+    SELECT b.cid, o.i, CAST(n.t AS BIGINT) AS s, b.cost + e.c + n.c + CASE WHEN o.fault = 3 AND e.op <> 'D' THEN 1 ELSE 0 END AS cost,
+           b.audit || e.op || n.op AS audit,
+           list_concat(b.lines, CASE WHEN e.op = 'D' THEN CAST([] AS VARCHAR[]) ELSE [coalesce(e.role, o.role) || ':' || o.text] END, n.lines) AS lines
+    FROM best b JOIN o ON o.cid = b.cid AND o.i = b.i + 1 JOIN edits e ON e.s = b.s JOIN inserts n ON n.s = e.t
+    WHERE (e.ini IS NULL OR e.ini = o.ini) AND (e.op = 'D' OR o.fault NOT IN (1, 2)))
+  QUALIFY row_number() OVER (PARTITION BY cid, s ORDER BY cost, audit) = 1),
+whole AS (
+  SELECT cid, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+         count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated FROM o GROUP BY cid),
+pairs AS (
+  SELECT cid, count(*) AS illegal FROM (SELECT cid, lag(ini) OVER (PARTITION BY cid ORDER BY i) || ini AS p FROM o)
+  WHERE p NOT IN ('su', 'ua', 'au') GROUP BY cid),
+final AS (
+  SELECT b.* FROM best b JOIN whole w ON w.cid = b.cid AND w.n = b.i WHERE b.s IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY b.cid ORDER BY cost, audit) = 1)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN whole USING (cid) LEFT JOIN pairs USING (cid) LEFT JOIN final USING (cid)
+"""
