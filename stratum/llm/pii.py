@@ -25,13 +25,16 @@ ROUNDS = 8
 #: Dates from 1900-01-01 on, 200 years of 365 days, are permuted among themselves.
 FIRST_DAY, YEARS, DAYS = "1900-01-01", 200, 365
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+#: A host name has 63 characters in a label and 127 labels at most; the bounds keep Java's matcher, which recurses
+#: once for each label, from running out of stack.
+HOST = r"(?:[A-Za-z0-9-]{1,63}+\.){1,127}[A-Za-z]{2,}"
+EMAIL = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+@{HOST}"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 US_PHONE = r"(?<!\d)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)"
 #: What begins a value of its own after a blank or hyphen; no number runs into it.
 OWN = (r"\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)|\d{4}-\d{2}-\d{2}(?![\d-])|\d{13,19}(?!\d)"
-       r"|[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+       rf"|[A-Za-z0-9._%+-]{{1,64}}+@{HOST}")
 NANP_PHONE = r"(?<!\d)\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
 #: At most 15 digits; a longer run is cut where a group ends.
 PHONE = (rf"(?<!\d)\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:(?![ -](?:{OWN}))[ .-]?\d{{2,4}}){{1,4}}(?!\d)"
