@@ -47,7 +47,8 @@ HEX_LONG = re.compile("[0-9a-f]{24,}")
 LOGIN = re.compile(f"(?<![A-Za-z])({_either_case('user|user_?name|login|account|client_?id|access_?key_?id')})"
                    r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})""")
 KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20"'<>]+""")
+#: Looked for once for each run of a scheme's characters, so a long run costs its length; group 1 is where it begins.
+ENDPOINT = re.compile(r"""(?<![A-Za-z0-9+.-])[0-9+.-]*([A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20"'<>]+)""")
 
 #: Translations that turn a text's characters of a class into x, for a fast first look.
 _HEX_RUN = bytes(0x78 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256))
@@ -86,7 +87,7 @@ def weak_spans(text: str, raw: bytes, base: list[tuple[int, int, int]]) -> list[
                   and re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])
                   and entropy(m[0]) >= KEY_ENTROPY]
     if b"://" in raw:
-        found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
+        found += [(m.start(1), 5, m.end()) for m in ENDPOINT.finditer(text)]
     found = sorted(logins + found)
     out, i = [], 0
     for s in found:
