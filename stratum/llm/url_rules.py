@@ -3,11 +3,13 @@
 A URL becomes a set of tokens: host suffixes and labels, path segments, extension, query
 keys and whether it has a fragment; numbers are one token, so that no token names a single
 page. FP-growth mines token combinations of the labelled pages together with their class;
-rules "tokens -> block" stay that reach the least support and confidence and are not implied
-by a shorter rule. A rule is filed under its rarest token (an inverted index), so a URL
-meets a rule only through that token, and then has its token set compared.
+rules "tokens -> block" of any length stay that reach the least support and confidence and
+are not implied by a shorter rule. A rule is filed under its rarest token (an inverted
+index), so a URL meets a rule only through that token, and then has its token set compared.
+Longer rules find the shorter ones that imply them in the same way.
 
-Fixed allow and block rules on host and path come first; the longest wins.
+Fixed allow and block rules on host and path come first; the longest wins. Rules are mined on
+pages that no fixed rule decides, which are those that mined rules judge.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ FIXED_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.ex
                ("net", "/es/", "block"), ("net", "/fr/", "block"))
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
-#: Tokens in a rule at most.
-MAX_TOKENS = 3
+#: Rules that are handed to every task at most; beyond, they are dealt out like the pages.
+BROADCAST_RULES = 100_000
 CLASS = "class:block"
 
 
@@ -70,8 +72,7 @@ def tokens(host: Column, path: Column, tail: Column) -> Column:
         one(F.contains(tail, F.lit("#")), F.lit("fragment"))))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-               max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Block rules from (tokens, bad): ``rule_id, tokens, confidence, support``.
 
     The least support is a share, so the number of frequent tokens is at most the tokens of
@@ -82,28 +83,33 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     parts = int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence,
                      numPartitions=parts).fit(baskets)
-    rules = stage(model.associationRules.where(
-        (F.col("consequent") == F.array(F.lit(CLASS))) & (F.size("antecedent") <= max_tokens)).select(
-            F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
+    rules = stage(model.associationRules.where(F.col("consequent") == F.array(F.lit(CLASS))).select(
+        F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
     rules = rules.withColumn("rule_id", F.array_join("tokens", " & "))
-    # a rule of which one or two tokens are a rule already adds nothing
-    parts = F.expr("concat(transform(tokens, t -> array(t)), flatten(transform(tokens, (t, i) -> "
-                   "transform(slice(tokens, i + 2, size(tokens)), u -> array(t, u)))))")
-    implied = (rules.select("rule_id", "tokens", F.explode(parts).alias("part")).where("size(part) < size(tokens)")
-               .join(rules.select(F.col("tokens").alias("part")), "part", "left_semi"))
-    return rules.join(implied, "rule_id", "left_anti")
+    # a rule of which some tokens are a rule already adds nothing
+    met = _met(rules.select(F.col("rule_id").alias("row"), "tokens"), rules)
+    return rules.join(met.where("size(need) < size(tokens)").select(F.col("row").alias("rule_id")), "rule_id", "left_anti")
 
 
-def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``row, method_rule, confidence``: each URL's strongest matching rule, through the inverted index."""
-    spread = urls.select("row", "tokens", F.explode("tokens").alias("token"))
-    wanted = rules.select(F.explode("tokens").alias("token"))
-    # how often the rules' tokens stand in the URLs: one row per such token
+def _met(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``row, tokens, rule_id, confidence, need`` of the rules all of whose tokens a row has.
+
+    A rule is filed under the token that fewest rows have, and rows find it there. Only the
+    rules' side is handed out, where there are few enough of them."""
+    spread = rows.select("row", "tokens", F.explode("tokens").alias("token"))
+    wanted = rules.select(F.explode("tokens").alias("token")).distinct()
+    # how often the rules' tokens stand in the rows: one row per such token
     seen = spread.join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     filed = stage(rules.select("rule_id", "confidence", F.col("tokens").alias("need"), F.explode("tokens").alias("token"))
                   .join(seen, "token")
                   .groupBy("rule_id", "confidence", "need").agg(F.min_by("token", F.struct("n", "token")).alias("token")))
-    hit = spread.join(filed, "token").where(F.size(F.array_except("need", "tokens")) == 0)
+    filed = F.broadcast(filed) if filed.count() <= BROADCAST_RULES else filed.hint("merge")
+    return spread.join(filed, "token").where(F.size(F.array_except("need", "tokens")) == 0)
+
+
+def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``row, method_rule, confidence``: each URL's strongest matching rule, through the inverted index."""
+    hit = _met(urls, rules)
     return hit.groupBy("row").agg(F.max(F.struct("confidence", "rule_id")).alias("best")).select(
         "row", F.col("best.rule_id").alias("method_rule"), F.col("best.confidence").alias("confidence"))
 
@@ -131,9 +137,11 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
     bad = F.max((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1))
     marks = (labels.where("doc_id is not null and quality is not null")
              .groupBy("doc_id").agg(bad.alias("bad")))
-    labelled = urls.select("tokens", F.expr(doc_of or "page_id").alias("doc_id")).join(marks, "doc_id")
+    # labels and hits grow with the pages, so neither is handed out whole
+    open_ones = urls.where("fixed is null").select("tokens", F.expr(doc_of or "page_id").alias("doc_id"))
+    labelled = open_ones.join(marks.hint("merge"), "doc_id")
     rules = stage(mine_rules(labelled.select("tokens", "bad"), min_support, min_confidence))
-    return urls.join(matches(urls, rules), "row", "left").select(
+    return urls.join(matches(urls, rules).hint("merge"), "row", "left").select(
         "page_id", "host", "path", F.col("fixed.rule").alias("rule"),
         F.coalesce(F.col("fixed.verdict"), F.when(F.col("method_rule").isNotNull(), "block").otherwise("allow"))
         .alias("verdict"), "method_rule")
