@@ -22,6 +22,8 @@ import json
 import operator
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -36,6 +38,10 @@ OPTIONAL, REPEATED = 1, 2
 TEXT, GROUP = "#", "()"
 #: Longest run of siblings that is looked for as a repeated group.
 GROUP_SIZES = (1, 2, 3, 4)
+#: Elements open inside one another at most; what is nested deeper stands beside its parent.
+DEPTH = 150
+#: Sibling lists whose sizes multiply to more are aligned by their next common elements, not by the most common ones.
+ALIGN_CELLS = 1_000_000
 #: Constant text is template text only when so many pages were aligned.
 CONSTANT_PAGES = 3
 
@@ -58,7 +64,8 @@ MAIN = re.compile(r"^(article|main)$")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     rf"|<({'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S | re.I)
+    # a quote opens a value only behind an equals sign; a stray one is a character like others
+    r"""|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>=]+|=)*)(?:>|\Z)""", re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -73,6 +80,7 @@ def parse(page: str) -> list:
     """The page as a tree: [signature, children] and text strings; scripts, styles and comments are gone."""
     root: list = []
     stack: list[tuple[str, list]] = [("", root)]
+    too_deep: Counter[str] = Counter()
     at = 0
 
     def close(tags: frozenset | set, until: frozenset | set) -> None:
@@ -96,7 +104,10 @@ def parse(page: str) -> list:
             continue
         tag = m[3].lower()
         if m[2]:
-            close({tag}, set())
+            if too_deep[tag]:
+                too_deep[tag] -= 1
+            else:
+                close({tag}, set())
             continue
         if tag in CLOSES_P:
             close({"p"}, BLOCKS - {"p"})
@@ -105,7 +116,10 @@ def parse(page: str) -> list:
         kids: list = []
         stack[-1][1].append([_signature(tag, m[4]), kids])
         if tag not in VOID and not m[4].rstrip().endswith("/"):
-            stack.append((tag, kids))
+            if len(stack) < DEPTH:
+                stack.append((tag, kids))
+            else:
+                too_deep[tag] += 1
     text(page[at:])
     return root
 
@@ -176,6 +190,8 @@ def align(a: list, b: list, pages=operator.add) -> list:
     if [x[0] for x in a] == [x[0] for x in b] and all(_same(x, y) for x, y in zip(a, b, strict=True)):
         return [_join(x, y, pages) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
+    if n * m > ALIGN_CELLS:
+        return fold(_align_long(a, b, pages))
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -194,6 +210,41 @@ def align(a: list, b: list, pages=operator.add) -> list:
     return fold(out)
 
 
+def _shape(node: list) -> tuple:
+    return node[0], tuple(x[0] for x in node[2]) if node[0] == GROUP else ()
+
+
+def _align_long(a: list, b: list, pages) -> list:
+    """Long sibling lists as one, in memory of their length: at a difference the list goes on in which
+    the other's element comes sooner."""
+    at_a: dict[tuple, list[int]] = {}
+    at_b: dict[tuple, list[int]] = {}
+    for places, nodes in ((at_a, a), (at_b, b)):
+        for k, node in enumerate(nodes):
+            places.setdefault(_shape(node), []).append(k)
+
+    def ahead(places: dict, node: list, start: int) -> float:
+        some = places.get(_shape(node), [])
+        k = bisect_left(some, start)
+        return some[k] - start if k < len(some) else float("inf")
+
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b):
+            if _same(a[i], b[j]):
+                out.append(_join(a[i], b[j], pages))
+                i, j = i + 1, j + 1
+                continue
+            # to drop a[i] pays off where b[j] stands soon in a
+            from_a = ahead(at_a, b[j], i) <= ahead(at_b, a[i], j)
+        else:
+            from_a = i < len(a)
+        node = a[i] if from_a else b[j]
+        out.append([node[0], node[1] | OPTIONAL, *node[2:]])
+        i, j = (i + 1, j) if from_a else (i, j + 1)
+    return out
+
+
 # ---------------------------------------------------------------- extraction
 
 
