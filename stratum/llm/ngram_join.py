@@ -16,8 +16,8 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
    A list's head is the class with the fewest shingles of its own, so near copies meet at
    their original. This joins most of a group of near copies, in work linear in the postings.
 5. Search: what is left to find are links between different components. A class asks every
-   larger component that stands on its short lists. A component's members are indexed in
-   blocks of at most ``BLOCK`` classes, and in a block the query merges its short inverted
+   larger component that stands on its short lists. Its members, and those that ask it, stand in
+   blocks of at most ``BLOCK`` classes; in a pair of blocks a query merges its short inverted
    lists by a heap, skipping what cannot reach T occurrences, and probes the long lists by
    binary search. One link found to a block's component is enough.
 
@@ -296,7 +296,8 @@ def _search_links(lists: DataFrame, short: DataFrame, sets: DataFrame, comp: Dat
     """Step 5: links ``u, v`` found by the classes' searches in other, larger components.
 
     Only components of ``least`` or more classes are asked."""
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    # a table of its own: a hot component's rows can then be split where they meet its size
+    sizes = stage(comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     named = stage(comp.join(sizes, "component").select(F.col("node").alias("cid"), "component", "size"))
     on = stage(lists.join(named.where(F.col("size") >= least), "cid").groupBy("h", "component").agg(
         F.max("size").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("their_most")))
@@ -306,13 +307,16 @@ def _search_links(lists: DataFrame, short: DataFrame, sets: DataFrame, comp: Dat
                    & _fits(_one("n", "most"), theirs, percent))  # some member may fit
             .select("cid", "component", "size").distinct())
     asks = stage(asks)
-    asked = asks.select("component").distinct()
-    # a component's blocks hold BLOCK classes each, in order of a hash
-    blocks = F.ceil(F.col("size") / BLOCK)
-    members = (named.join(asked, "component", "left_semi").join(sets.select("cid", "hashes"), "cid")
-               .select("component", F.pmod(F.xxhash64("cid"), blocks).alias("block"), "cid", "hashes"))
-    queries = (asks.join(sets.select("cid", "hashes"), "cid")
-               .select(F.col("component").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("part"),
+    # both the classes of a component and those that ask it are cut into blocks of BLOCK, by a hash
+    cuts = stage(asks.groupBy("component").agg(F.ceil(F.max("size") / BLOCK).alias("blocks"),
+                                               F.ceil(F.count(F.lit(1)) / BLOCK).alias("sides")))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = (named.join(cuts, "component").join(sets.select("cid", "hashes"), "cid")
+               .select("component", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), each("sides").alias("side"),
+                       "cid", "hashes"))
+    queries = (asks.join(cuts, "component").join(sets.select("cid", "hashes"), "cid")
+               .select(F.col("component").alias("asked"), each("blocks").alias("part"),
+                       F.pmod(F.xxhash64("cid", F.lit(1)), F.col("sides")).alias("from"),
                        F.col("cid").alias("asker"), F.col("hashes").alias("query")))
 
     def run(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -326,7 +330,7 @@ def _search_links(lists: DataFrame, short: DataFrame, sets: DataFrame, comp: Dat
                     found.append((int(cid), cids[hit]))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return (queries.groupBy("asked", "part").cogroup(members.groupBy("component", "block"))
+    return (queries.groupBy("asked", "part", "from").cogroup(members.groupBy("component", "block", "side"))
             .applyInPandas(run, "u long, v long"))
 
 
@@ -362,7 +366,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             comp = components(links)
     of_class = sets.select("key", "cid").join(comp, F.col("cid") == F.col("node")).select("key", "component")
     named = stage(classes.join(of_class, "key", "left"))
-    heads = named.where("component is not null").groupBy("component").agg(F.min("head").alias("best"))
+    heads = stage(named.where("component is not null").groupBy("component").agg(F.min("head").alias("best")))
     named = named.join(heads, "component", "left").select("key", F.coalesce("best", "head").alias("head"))
     alone = F.col("key").isNull()
     return rows.join(named, "key", "left").select(
