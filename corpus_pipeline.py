@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm.bpe import encode_documents
-from stratum.llm.common import read_table, recording, remove_folders, stage
+from stratum.llm.common import read_table, recording, remove_folders, stage, with_row_number
 from stratum.llm.exact_dedup import exact_dedup
 from stratum.llm.mixing import mix
 from stratum.llm.ngram_join import ngram_components
@@ -23,8 +23,9 @@ from stratum.llm.quality import keep_documents
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The documents as one struct each, with a row number that later reads repeat."""
-    return stage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
+    """The documents as one struct each, with a row number that later reads repeat; read
+    where they stand, not written anew."""
+    return with_row_number(docs, doc=F.struct("*"))
 
 
 def _texts(rows: DataFrame) -> DataFrame:
