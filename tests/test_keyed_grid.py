@@ -69,7 +69,7 @@ def test_keyed_rows_equal_single_calls(spark, table):
 
 @pytest.mark.parametrize("pool", ["class", "selected"])
 def test_cells_equal_single_calls(spark, table, pool):
-    subsets, ks, cutoffs, folds = [[0, 1, 2, 3], [1, 3]], (2,), [0.0, 0.4], [0, 1]
+    subsets, ks, cutoffs, folds = [[0, 1, 2, 3], [1, 3]], (2,), [0.0, 0.4], [1]
     train = table.withColumn("fold", 1 - F.col("fold"))
     tables, cell = X._plus_cells(train, folds, subsets, ks, cutoffs, pool, 42, 1)
     clustered = tables[0]
@@ -91,4 +91,4 @@ def test_cells_equal_single_calls(spark, table, pool):
                     assert plain(extra) == plain(want.where("is_synthetic")) and want.count() == n
                     assert cluster_keep(one, types, cutoff).where("keep").count() > 0
                     seen += 1
-    assert seen > 4
+    assert seen >= 2
