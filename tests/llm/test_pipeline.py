@@ -96,3 +96,17 @@ def test_stages_on_odd_rows(spark):
     assert kept.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows()})
     near = run_stage(spark, 2, odd)
     assert {r["doc_id"] for r in near.collect()} >= {3, 4, 5, 15}  # without words: linked with nothing
+
+
+def test_empty_and_odd_tables(spark):
+    """Every stage on no rows, and the filter stages on nulls, ties, repeated rows and clashing columns."""
+    none = spark.createDataFrame([], SCHEMA)
+    for k in range(len(P.STAGES)):
+        out = run_stage(spark, k, none)
+        assert out.count() == 0 and (k == len(P.STAGES) - 1 or out.columns == none.columns)
+    odd = stage(spark.createDataFrame(rows(), SCHEMA).repartition(3))
+    for k in (1, 2):
+        out = run_stage(spark, k, odd)
+        assert out.columns == odd.columns and out.exceptAll(odd).isEmpty()
+        texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in out.collect()]
+        assert k == 2 or len(texts) == len(set(texts))
