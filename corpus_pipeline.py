@@ -5,6 +5,13 @@ the check tool and ``run`` write each result as Parquet and read it back for the
 but the last return the columns of ``docs`` unchanged, carried as one struct so that no
 column name can clash with an operator's own. A stage's intermediate tables are removed when
 the next one begins, so their disk does not add up.
+
+Defined cases, at every stage: a null text counts as empty, which the quality rules reject, so
+later stages see none from this pipeline, but take them (empty texts are copies of each
+other, near copies of nothing, never mixed in, and have no tokens). Of rows with the same id
+and text one stays after exact dedup; a null id stands after every other. Documents without
+a source are a source of their own. An empty table gives an empty result with the same
+columns; further columns travel along whatever their names.
 """
 
 from __future__ import annotations
