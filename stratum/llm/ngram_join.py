@@ -15,13 +15,17 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
 4. Star links: each class is compared with one list head, that of most of its short lists.
    A list's head is the class with the fewest shingles of its own, so near copies meet at
    their original. This joins most of a group of near copies, in work linear in the postings.
-5. Search: what is left to find are links between different components. A class asks every
-   larger component that stands on its short lists. Its members, and those that ask it, stand in
-   blocks of at most ``BLOCK`` classes; in a pair of blocks a query merges its short inverted
-   lists by a heap, skipping what cannot reach T occurrences, and probes the long lists by
-   binary search. One link found to a block's component is enough.
-
-No pairs of a list are made: a list hands on one row per class and component on it.
+5. Search: what is left to find are links between different components. They stand on lists
+   that hold several components; a class on too few of those is done. Classes meet in the
+   pots of their lists' heads: a list belongs to its head's pot, so that many lists make few
+   pots. A class asks its short lists' pots, unless it is of a pot's largest component: of two
+   components the smaller asks. Askers and members of a pot stand in blocks of at most about
+   ``BLOCK`` classes; in a pair of blocks a query merges its short inverted lists by a heap, skipping
+   what cannot reach T occurrences, and probes the long lists by binary search. A pair of blocks
+   hands on a spanning forest of the components it joins.
+
+No pairs of a list are made: a class goes to a pot once, whatever lists they share, and a row
+of it stands for a whole block of the other side.
 """
 
 from __future__ import annotations
@@ -45,8 +49,8 @@ PERCENT = 80
 #: Beyond the plain prefix filter, prefixes have 1 + n / share shingles: in the support
 #: filter over all documents, and in the inverted lists of those that passed.
 PREFIX_SHARE, LIST_SHARE = 20, 5
-#: Classes of a component that are indexed together.
-BLOCK = 256
+#: Classes of a pot that are indexed together, and about as many shingles at most.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 21
 #: Heads a class is compared with before its search.
 HEADS = 4
 #: Bits of the Bloom filter, which is 8 MB whatever the corpus holds.
@@ -239,8 +243,9 @@ def _candidates(docs: DataFrame, rows: DataFrame, text_col: str, words: int, per
                     (F.floor((n - alone) * (100 + percent) / percent) - n).alias("most")))
 
 
-def _lists(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Step 3: the inverted lists ``h, cid, n, most, alone`` and each class's short ones, both without lists of one class."""
+def _lists(sets: DataFrame, percent: int) -> DataFrame:
+    """Step 3: the inverted lists ``h, cid, n, most, alone, short`` of two or more classes; ``short``
+    marks the class's short ones."""
     n = F.col("n")
     need = _least_shared(n, percent, LIST_SHARE)
     length = n - least_overlap(n, percent) + _ell(n, LIST_SHARE)
@@ -248,11 +253,10 @@ def _lists(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     df = stage(posts.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     posts = posts.join(df, "h")
     own = Window.partitionBy("cid")  # of one document's prefix
-    posts = stage(posts.withColumn("on", F.count(F.lit(1)).over(own))
-                  .withColumn("place", F.row_number().over(own.orderBy(F.desc("df"), "h")))
-                  .where(F.col("on") >= need).withColumn("short", F.col("place") >= need)
-                  .select("h", "cid", "n", "most", "alone", "short"))
-    return posts.drop("short"), posts.where("short").drop("short", "alone")
+    return stage(posts.withColumn("on", F.count(F.lit(1)).over(own))
+                 .withColumn("place", F.row_number().over(own.orderBy(F.desc("df"), "h")))
+                 .where(F.col("on") >= need).withColumn("short", F.col("place") >= need)
+                 .select("h", "cid", "n", "most", "alone", "short"))
 
 
 def _fits(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
@@ -265,13 +269,16 @@ def _one(n: str, most: str) -> dict[str, Column]:
     return {"lo": F.col(n), "hi": F.col(n), "most": F.col(most)}
 
 
-def _star_links(lists: DataFrame, short: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _heads(lists: DataFrame) -> DataFrame:
+    """Each list's head: the class with the fewest shingles of its own, in a group of near copies the original."""
+    central = F.struct((F.col("alone") / F.col("n")).alias("share"), "cid", "n", "most")
+    return stage(lists.groupBy("h").agg(F.min(central).alias("head")))
+
+
+def _star_links(lists: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Step 4: links ``u, v`` between a class and the head of most of its short lists, or failing
     that one of the next heads."""
-    # the class with the fewest shingles of its own: in a group of near copies the original
-    central = F.struct((F.col("alone") / F.col("n")).alias("share"), "cid", "n", "most")
-    heads = stage(lists.groupBy("h").agg(F.min(central).alias("head")))
-    votes = (short.join(heads, "h")
+    votes = (lists.where("short").join(heads, "h")
              .where((F.col("head.cid") != F.col("cid")) & _fits(_one("n", "most"), _one("head.n", "head.most"), percent))
              .groupBy(F.col("cid").alias("u"), F.col("head.cid").alias("v")).agg(F.count(F.lit(1)).alias("c")))
     by_votes = Window.partitionBy("u").orderBy(F.desc("c"), "v")  # of one document's lists
@@ -291,46 +298,70 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("u", "v"))
 
 
-def _search_links(lists: DataFrame, short: DataFrame, sets: DataFrame, comp: DataFrame, percent: int,
-                  least: int = 1) -> DataFrame:
-    """Step 5: links ``u, v`` found by the classes' searches in other, larger components.
+def _pots(lists: DataFrame, heads: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Which classes meet in which pots: ``pot, cid, n, most, asks, component, size``.
+
+    A link between components stands on ``_least_shared`` lists of either class, all of which
+    hold several components."""
+    mixed = (lists.join(named, "cid").groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("top"))
+             .where("low <> top"))
+    mixed = stage(mixed.join(heads, "h").select("h", F.col("head.cid").alias("pot")))
+    near = stage(lists.join(mixed, "h").groupBy("cid", "pot").agg(
+        F.count(F.lit(1)).alias("on"), F.max("short").alias("asks"), F.max("n").alias("n"), F.max("most").alias("most")))
+    enough = near.groupBy("cid").agg(F.sum("on").alias("on"), F.max("n").alias("n")).where(
+        F.col("on") >= _least_shared(F.col("n"), percent, LIST_SHARE))
+    return stage(near.drop("on").join(enough.select("cid"), "cid", "left_semi").join(named, "cid"))
+
 
-    Only components of ``least`` or more classes are asked."""
+def _search_links(lists: DataFrame, heads: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Step 5: links ``u, v`` found by the classes' searches in other, larger components."""
     # a table of its own: a hot component's rows can then be split where they meet its size
     sizes = stage(comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     named = stage(comp.join(sizes, "component").select(F.col("node").alias("cid"), "component", "size"))
-    on = stage(lists.join(named.where(F.col("size") >= least), "cid").groupBy("h", "component").agg(
-        F.max("size").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("their_most")))
+    near = _pots(lists, heads, named, percent)
+    rank = F.struct("size", "component")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    pots = stage(near.groupBy("pot").agg(
+        F.min(rank).alias("low"), F.max(rank).alias("top"), F.min("n").alias("lo"), F.max("n").alias("hi"),
+        F.max("most").alias("their_most"), blocks.alias("blocks")).where("low <> top"))
     theirs = {"lo": F.col("lo"), "hi": F.col("hi"), "most": F.col("their_most")}
-    asks = (short.join(named.withColumnsRenamed({"component": "own", "size": "own_size"}), "cid").join(on, "h")
-            .where((F.struct("own_size", "own") < F.struct("size", "component"))
-                   & _fits(_one("n", "most"), theirs, percent))  # some member may fit
-            .select("cid", "component", "size").distinct())
-    asks = stage(asks)
-    # both the classes of a component and those that ask it are cut into blocks of BLOCK, by a hash
-    cuts = stage(asks.groupBy("component").agg(F.ceil(F.max("size") / BLOCK).alias("blocks"),
-                                               F.ceil(F.count(F.lit(1)) / BLOCK).alias("sides")))
+    asks = stage(near.where("asks").join(pots, "pot")
+                 .where((rank < F.col("top")) & _fits(_one("n", "most"), theirs, percent))  # some member may fit
+                 .select("pot", "cid", "n", "component", "size"))
+    sides = stage(asks.groupBy("pot").agg(blocks.alias("sides")))
+    cuts = stage(pots.join(sides, "pot").select("pot", "blocks", "sides"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    members = (named.join(cuts, "component").join(sets.select("cid", "hashes"), "cid")
-               .select("component", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), each("sides").alias("side"),
-                       "cid", "hashes"))
-    queries = (asks.join(cuts, "component").join(sets.select("cid", "hashes"), "cid")
-               .select(F.col("component").alias("asked"), each("blocks").alias("part"),
+    whole = sets.select("cid", "hashes")
+    members = (near.join(cuts, "pot").join(whole, "cid")
+               .select("pot", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), each("sides").alias("side"),
+                       "cid", "component", "size", "hashes"))
+    queries = (asks.join(cuts, "pot").join(whole, "cid")
+               .select(F.col("pot").alias("asked"), each("blocks").alias("part"),
                        F.pmod(F.xxhash64("cid", F.lit(1)), F.col("sides")).alias("from"),
-                       F.col("cid").alias("asker"), F.col("hashes").alias("query")))
+                       F.col("cid").alias("asker"), F.col("component").alias("own"), F.col("size").alias("own_size"),
+                       F.col("hashes").alias("query")))
 
     def run(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         if len(asking) and len(held):
-            held = held.sort_values("cid")
-            index, cids = Block([np.asarray(h, dtype=np.int64) for h in held["hashes"]]), held["cid"].tolist()
-            for cid, h in zip(asking["asker"], asking["query"], strict=True):
-                hit = next(index.search(np.asarray(h, dtype=np.int64), percent), None)
-                if hit is not None:
-                    found.append((int(cid), cids[hit]))
+            index = Block([np.asarray(h, dtype=np.int64) for h in held["hashes"]])
+            cids, ranks = held["cid"].tolist(), list(zip(held["size"].tolist(), held["component"].tolist(), strict=True))
+            joined: dict[int, int] = {}
+
+            def root(component: int) -> int:
+                while component in joined:
+                    component = joined[component]
+                return component
+
+            for cid, size, own, h in zip(asking["asker"].tolist(), asking["own_size"].tolist(), asking["own"].tolist(),
+                                         asking["query"], strict=True):
+                for hit in index.search(np.asarray(h, dtype=np.int64), percent):
+                    if ranks[hit] > (size, own) and (a := root(own)) != (b := root(ranks[hit][1])):
+                        joined[a] = b
+                        found.append((cid, cids[hit]))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return (queries.groupBy("asked", "part", "from").cogroup(members.groupBy("component", "block", "side"))
+    return (queries.groupBy("asked", "part", "from").cogroup(members.groupBy("pot", "block", "side"))
             .applyInPandas(run, "u long, v long"))
 
 
@@ -353,21 +384,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     head = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = rows.where("key is not null").groupBy("key").agg(F.min(head).alias("head"))
     sets = stage(_candidates(docs, rows, text_col, words, percent))
-    lists, short = _lists(sets, percent)
-    nodes = short.select("cid").distinct()
-    links = stage(_star_links(lists, short, sets, percent))
+    lists = _lists(sets, percent)
+    heads = _heads(lists)
+    links = stage(_star_links(lists, heads, sets, percent))
     comp = components(links)
-    for least in (2, 1):  # most classes that are still alone join a larger component first
-        alone = nodes.join(comp, nodes["cid"] == comp["node"], "left_anti")
-        every = comp.unionAll(alone.select(F.col("cid").alias("node"), F.col("cid").alias("component")))
-        more = stage(_search_links(lists, short, sets, stage(every), percent, least))
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            comp = components(links)
+    alone = lists.select("cid").distinct().join(comp, F.col("cid") == F.col("node"), "left_anti")
+    every = stage(comp.unionAll(alone.select(F.col("cid").alias("node"), F.col("cid").alias("component"))))
+    more = stage(_search_links(lists, heads, sets, every, percent))
+    if not more.isEmpty():
+        comp = components(links.unionAll(more))
     of_class = sets.select("key", "cid").join(comp, F.col("cid") == F.col("node")).select("key", "component")
     named = stage(classes.join(of_class, "key", "left"))
-    heads = stage(named.where("component is not null").groupBy("component").agg(F.min("head").alias("best")))
-    named = named.join(heads, "component", "left").select("key", F.coalesce("best", "head").alias("head"))
+    best = stage(named.where("component is not null").groupBy("component").agg(F.min("head").alias("best")))
+    named = named.join(best, "component", "left").select("key", F.coalesce("best", "head").alias("head"))
     alone = F.col("key").isNull()
     return rows.join(named, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
