@@ -41,7 +41,9 @@ NEIGHBOUR_SCHEMA = T.StructType([
 KERNEL_SCHEMA = T.StructType([T.StructField("cell", T.IntegerType()), *NEIGHBOUR_SCHEMA.fields,
                               T.StructField("n_draw", T.LongType())])
 
-DEFAULT_BLOCK_ROWS = 2048
+DEFAULT_BLOCK_ROWS = 16_384
+#: Rows from which ``knn`` goes through boxes, and most features for it.
+BOX_MIN_ROWS, BOX_FEATURES = 16_384, 8
 
 
 # ----------------------------------------------------------------- block kernel
@@ -69,6 +71,59 @@ def _matrix(features: pd.Series) -> np.ndarray:
     return x
 
 
+#: Pairs that a kernel holds at once, and columns that one running minimum stands for.
+TILE_PAIRS, MINIMUM_OF = 1 << 21, 64
+#: Pairs of a tile that distances are summed by.
+SUM_PAIRS = 1 << 16
+
+
+def _exact_d2(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (r, c), summed feature by feature, left to right, so every
+    engine that sums (a1-b1)^2 + (a2-b2)^2 + ... in order gets the same bits."""
+    d2 = np.zeros(len(r))
+    for j in range(x.shape[1]):
+        diff = x[r, j] - y[c, j]
+        d2 += diff * diff
+    return d2
+
+
+def _near_pairs(qx: np.ndarray, dx: np.ndarray, k: int, own):
+    """Pairs (row, column, squared distance) among which are every query's k nearest, by tiles of
+    queries. ``own(i, j)`` lists the pairs of queries i to j that do not count, as (rows, columns).
+
+    One matrix product estimates a tile's distances. The k-th least of minima over
+    separate columns bounds the k-th least distance; what lies below it, with room for the
+    estimate's rounding, is computed exactly."""
+    n, width = dx.shape
+    norms = np.einsum("ij,ij->i", dx, dx)
+    room = 16 * (width + 8) * np.finfo(np.float64).eps
+    step = max(1, TILE_PAIRS // n)
+    for i in range(0, len(qx), step):
+        x = qx[i:i + step]
+        slack = room * (np.einsum("ij,ij->i", x, x) + norms.max()) + 1e-300
+        out = own(i, i + len(x))
+        if not np.isfinite(slack).all():  # squares overflow: every pair is computed
+            every = np.ones((len(x), n), dtype=bool)
+            every[out] = False
+            r, c = np.nonzero(every)
+        else:
+            est = x @ dx.T
+            est *= -2.0
+            est += norms
+            est[out] = np.inf
+            if n // MINIMUM_OF >= 2 * k:
+                m = n // MINIMUM_OF
+                least = est[:, :m * MINIMUM_OF].reshape(len(x), MINIMUM_OF, m).min(axis=1)
+            else:
+                least = est
+            kk = min(k, least.shape[1])
+            limit = np.partition(least, kk - 1, axis=1)[:, kk - 1] + slack
+            r, c = np.divmod(np.flatnonzero(est <= limit[:, None]), n)
+            counts = est[r, c] < np.inf
+            r, c = r[counts], c[counts]
+        yield i + r, c, _exact_d2(x, dx, r, c)
+
+
 def _block_topk(k: int, exclude_self: bool, skip_part: bool = False):
     """Pandas cogroup function: partial top-k of one query block against one data block.
     With ``skip_part`` rows of the query's own part are no neighbours."""
@@ -82,37 +137,37 @@ def _block_topk(k: int, exclude_self: bool, skip_part: bool = False):
         qi = q["q_index"].to_numpy(np.int64)
         di = d["index"].to_numpy(np.int64)
         dd = d["draw"].to_numpy(np.int64)
-        dist = np.zeros((qx.shape[0], dx.shape[0]), dtype=np.float64)
-        # accumulate feature by feature, left to right, so every engine that sums
-        # (a1-b1)^2 + (a2-b2)^2 + ... in order gets the same bits
-        for j in range(qx.shape[1]):
-            diff = qx[:, j, None] - dx[None, :, j]
-            dist += diff * diff
-        own = None
         if exclude_self:
-            own = (qi[:, None] == di[None, :]) & (dd == 0)
+            plain = np.flatnonzero(dd == 0)
+            plain = plain[np.argsort(di[plain], kind="stable")]
+            low, high = (np.searchsorted(di[plain], qi, side=s) for s in ("left", "right"))
         if skip_part:
-            same = q["q_part"].to_numpy()[:, None] == d["part"].to_numpy()[None, :]
-            own = same if own is None else own | same
-        if own is not None:
-            dist[own] = np.inf
-        kk = min(k, dx.shape[0])
-        if kk < dx.shape[0]:
-            thr = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
-            mask = dist <= thr[:, None]
-        else:
-            mask = np.ones(dist.shape, dtype=bool)
-        if own is not None:
-            mask &= ~own
-        r, c = np.nonzero(mask)
-        dv = dist[r, c]
-        order = np.lexsort((dd[c], di[c], dd[c] > 0, dv, r))
-        r, c, dv = r[order], c[order], dv[order]
-        if len(r):
-            starts = np.r_[True, r[1:] != r[:-1]]
-            first = np.maximum.accumulate(np.where(starts, np.arange(len(r)), 0))
-            keep = (np.arange(len(r)) - first) < k
-            r, c, dv = r[keep], c[keep], dv[keep]
+            q_part, d_part = q["q_part"].to_numpy(), d["part"].to_numpy()
+
+        def own(i, j):
+            rows, cols = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            if exclude_self:
+                for at in range(int((high[i:j] - low[i:j]).max(initial=0))):
+                    r = np.flatnonzero(low[i:j] + at < high[i:j])
+                    rows.append(r)
+                    cols.append(plain[low[i:j][r] + at])
+            if skip_part:
+                r, c = np.nonzero(q_part[i:j, None] == d_part[None, :])
+                rows.append(r)
+                cols.append(c)
+            return np.concatenate(rows), np.concatenate(cols)
+
+        found = []
+        for r, c, dv in _near_pairs(qx, dx, k, own):
+            order = np.lexsort((dd[c], di[c], dd[c] > 0, dv, r))
+            r, c, dv = r[order], c[order], dv[order]
+            if len(r):
+                starts = np.r_[True, r[1:] != r[:-1]]
+                first = np.maximum.accumulate(np.where(starts, np.arange(len(r)), 0))
+                keep = (np.arange(len(r)) - first) < k
+                r, c, dv = r[keep], c[keep], dv[keep]
+            found.append((r, c, dv))
+        r, c, dv = (np.concatenate(part) for part in zip(*found, strict=True))
         return pd.DataFrame({
             "cell": np.full(len(r), key[0], dtype=np.int32),
             "index": qi[r],
@@ -212,24 +267,33 @@ def knn(data: DataFrame, k: int, query: DataFrame | None = None, *,
     """K3: exact k nearest neighbours (squared Euclidean, ties by id).
 
     Without ``query`` every data row is a query and is excluded from its own neighbours.
-    Returns the long neighbour table ``index, label, n_index, n_label, d2, rn``.
+    Returns the long neighbour table ``index, label, n_index, n_label, d2, rn``. Large tables of
+    few features are searched through boxes (``box_search``), others by all pairs.
     ``n_rows`` / ``n_query_rows``: row counts when the caller already has them (they only
     size the blocks); otherwise they are counted.
     """
     self_join = query is None
+    nd = n_rows if n_rows is not None else data.count()
+    if self_join and few_features(data, nd):
+        from stratum.operators.box_search import knn_boxes
+        return knn_boxes(data, k, block_rows=block_rows)
     qdf = data if self_join else query
     q = qdf.select("index", "label", "features", F.array(F.lit(0)).alias("probes"))
     d = data.select("index", "label", "features", F.lit(0).alias("cell"))
     # one cell: its split factors come from two counts (scalars), so no split-table join
-    m = parallel_split(data)
-    nd = n_rows if n_rows is not None else data.count()
     nq = nd if self_join else (n_query_rows if n_query_rows is not None else qdf.count())
+    return blocked_neighbours(q, d, k, exclude_self=self_join, block_rows=block_rows,
+                              fixed_splits=(_splits(data, nd, block_rows), _splits(data, nq, block_rows)))
 
-    def nsplit(n):
-        return max(1, min(max(math.ceil(n / block_rows), m), n))
 
-    return blocked_neighbours(q, d, k, exclude_self=self_join, block_rows=block_rows,
-                              fixed_splits=(nsplit(nd), nsplit(nq)))
+def _splits(data: DataFrame, n: int, block_rows: int) -> int:
+    """Blocks of ``n`` rows: enough for every core, none above ``block_rows``."""
+    return max(1, min(max(math.ceil(n / block_rows), parallel_split(data), min(math.ceil(n / 2048), 2 * parallel_split(data))), n))
+
+
+def few_features(data: DataFrame, n_rows: int) -> bool:
+    """Whether ``data`` is large and narrow: searched through boxes, not by all pairs."""
+    return n_rows >= BOX_MIN_ROWS and 0 < data.select(F.size("features")).first()[0] <= BOX_FEATURES
 
 
 def nearest_same_class(data: DataFrame, k: int = 1, *,
@@ -268,12 +332,17 @@ def average_distance(data: DataFrame, group_col: str = "label", *,
             return pd.DataFrame({"index": pd.Series(dtype="int64"),
                                  "s": pd.Series(dtype="float64")})
         qx, dx = _matrix(q["q_features"]), _matrix(d["features"])
-        dist = np.zeros((qx.shape[0], dx.shape[0]))
-        for j in range(qx.shape[1]):
-            diff = qx[:, j, None] - dx[None, :, j]
-            dist += diff * diff
-        return pd.DataFrame({"index": q["q_index"].to_numpy(np.int64),
-                             "s": np.sqrt(dist).sum(axis=1)})
+        # tiles that stay in a core's cache
+        step, s, columns = max(1, SUM_PAIRS // len(dx)), np.zeros(len(qx)), np.ascontiguousarray(dx.T)
+        for i in range(0, len(qx), step):
+            dist = np.zeros((len(qx[i:i + step]), len(dx)))
+            diff = np.empty_like(dist)
+            for j in range(len(columns)):
+                np.subtract(qx[i:i + step, j, None], columns[None, j], out=diff)
+                np.multiply(diff, diff, out=diff)
+                dist += diff
+            s[i:i + step] = np.sqrt(dist, out=dist).sum(axis=1)
+        return pd.DataFrame({"index": q["q_index"].to_numpy(np.int64), "s": s})
 
     base = data.select("index", "label", "features", F.col(group_col).alias("cell"))
     cnt = base.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.operators.knn import DEFAULT_BLOCK_ROWS, blocked_neighbours, parallel_split
+from stratum.operators.box_search import knn_boxes
+from stratum.operators.knn import DEFAULT_BLOCK_ROWS, _splits, blocked_neighbours, few_features
 from stratum.operators.prepare import to_vector
 
 
@@ -71,10 +70,12 @@ def fold_vote_predict(folded: DataFrame, k: int = 5) -> DataFrame:
     the rows of the other folds, its own fold passed over inside the kernel, so training rows
     are not copied for the folds they train. Returns ``fold, index, label, prediction``."""
     rows = folded.select("index", "label", "features", F.col("fold").alias("part"))
-    m = parallel_split(rows)
-    n = rows.count()  # only sizes the blocks
-    split = max(1, min(max(math.ceil(n / DEFAULT_BLOCK_ROWS), m), n))
-    nb = blocked_neighbours(rows.withColumn("probes", F.array(F.lit(0))), rows.withColumn("cell", F.lit(0)), k,
-                            exclude_self=False, skip_part=True, fixed_splits=(split, split))
+    n = rows.count()
+    if few_features(rows, n):
+        nb = knn_boxes(rows, k, skip_part=True)
+    else:
+        split = _splits(rows, n, DEFAULT_BLOCK_ROWS)
+        nb = blocked_neighbours(rows.withColumn("probes", F.array(F.lit(0))), rows.withColumn("cell", F.lit(0)), k,
+                                exclude_self=False, skip_part=True, fixed_splits=(split, split))
     pred = _majority(nb, ["index", "label"])
     return pred.join(folded.select("index", "fold"), "index").select("fold", "index", "label", "prediction")

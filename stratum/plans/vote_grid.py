@@ -26,7 +26,8 @@ from stratum.functions.exprs import draw_position, hash_number
 from stratum.operators.aggregates import mean_of_arrays
 from stratum.operators.common import dense_positions, join_small
 from stratum.operators.folds import assign_folds
-from stratum.operators.knn import blocked_neighbours, parallel_split
+from stratum.operators.box_search import knn_boxes_by
+from stratum.operators.knn import blocked_neighbours, few_features, parallel_split
 from stratum.operators.metrics import METRIC_NAMES, evaluate
 from stratum.operators.model import majority
 from stratum.operators.resample import METHODS, draw_table
@@ -43,6 +44,12 @@ def grade_lists(folded: DataFrame, k: int) -> DataFrame:
     """``index, label, fold, near``: every row's k nearest rows of the other folds in each grade,
     as one sorted array of candidates with their grade."""
     rows = folded.select("index", "label", "features", F.col("fold").alias("part"), F.col("minority_type").alias("cell"))
+    if few_features(rows, rows.count()):
+        lists = knn_boxes_by(rows, k, "cell", range(4))
+        entry = F.transform("near", lambda c: F.struct(c["d2"].alias("d2"), F.lit(False).alias("made"), c["n_index"].alias("n_index"),
+                                                       F.lit(0).cast("long").alias("draw"), c["n_label"].alias("n_label"),
+                                                       c["cell"].alias("grade")))
+        return folded.select("index", "label", "fold").join(lists.select("index", F.sort_array(entry).alias("near")), "index")
     query = rows.drop("cell").withColumn("probes", F.array(*[F.lit(g) for g in range(4)]))
     nb = blocked_neighbours(query, rows, k, exclude_self=False, per_cell=True, skip_part=True, max_cells=4,
                             min_split=parallel_split(rows))
