@@ -43,7 +43,7 @@ KERNEL_SCHEMA = T.StructType([T.StructField("cell", T.IntegerType()), *NEIGHBOUR
 
 DEFAULT_BLOCK_ROWS = 16_384
 #: Rows from which ``knn`` goes through boxes, and most features for it.
-BOX_MIN_ROWS, BOX_FEATURES = 16_384, 8
+BOX_MIN_ROWS, BOX_FEATURES = 65_536, 8
 
 
 # ----------------------------------------------------------------- block kernel
