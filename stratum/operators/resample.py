@@ -26,6 +26,7 @@ from stratum.functions.exprs import DRAW_DIGITS, draw_position, hash_number
 from stratum.operators.aggregates import counts_with_targets, mean_of_arrays
 from stratum.operators.common import BROADCAST_MAX_ROWS, default_buckets, dense_positions, join_small
 from stratum.operators.subsets import filter_types
+from stratum.session import reliable_checkpoint
 
 METHODS = ("none", "undersample", "oversample", "smote")
 #: Undersampling counts hashes of 60 bits by their first 12: 4,096 buckets for each class.
@@ -42,6 +43,12 @@ def _salt_factor(n: Column, draws: Column) -> Column:
     return F.greatest(F.lit(1), r).cast("int")
 
 
+def _staged_counts(df: DataFrame, keys) -> DataFrame:
+    """Class counts and targets, written out: a row per key and class that a plan reads several
+    times, and each reading would carry the whole plan of ``df`` once more."""
+    return reliable_checkpoint(counts_with_targets(df, keys), cache=False)
+
+
 def _in_need(df: DataFrame, need: DataFrame, keys) -> DataFrame:
     """The rows of the classes that get new rows, with their salt factor ``_r``.
 
@@ -124,7 +131,7 @@ def oversample(df: DataFrame, seed: int = 42, keys=()) -> DataFrame:
     """R2: every non-empty class below the largest gets ``max - n`` copies of its own rows,
     copy s taking class position ``md5(seed:label:s) mod n``. Exact size, seeded."""
     k = list(keys)
-    c = counts_with_targets(df, k)
+    c = _staged_counts(df, k)
     need = c.where((F.col("n") > 0) & (F.col("n") < F.col("max_n"))) \
         .select(*k, "label", "n", (F.col("max_n") - F.col("n")).alias("m"))
     need = need.withColumn("_r", _salt_factor(F.col("n"), F.col("m")))
@@ -148,7 +155,7 @@ def smote_rows(df: DataFrame, seed: int = 42, draws_per_row: int = 5, keys=()) -
     rows; row s is the mean of the *distinct* class rows hit by ``draws_per_row`` draws
     ``md5(seed:label:s:j) mod n``."""
     k = list(keys)
-    c = counts_with_targets(df, k)
+    c = _staged_counts(df, k)
     target = F.floor(F.col("max_n") / 2)
     need = c.where(F.col("n") < target).select(*k, "label", "n",
                                                (target - F.col("n")).alias("m"))
@@ -194,7 +201,7 @@ def smote_plus_rows(selected: DataFrame | None, pool: DataFrame, draws_per_row:
     k = list(keys)
     by = [*k, "label"]
     if need is None:
-        c = counts_with_targets(selected, k)
+        c = _staged_counts(selected, k)
         target = F.floor(F.col("max_n") / 2)
         need = c.where(F.col("n") < target).select(*by, (target - F.col("n")).alias("m"))
     per_row = F.lit(draws_per_row) if isinstance(draws_per_row, int) else draws_per_row

@@ -513,18 +513,20 @@ _GRID_METHODS = ("none", "undersample", "oversample", "smote")
        " greatest(mx // 2 - n, 0) ELSE 0 END AS BIGINT) AS n_added FROM t CROSS JOIN m")
 def grid_counts(spark, sf):
     """Training-set sizes of every (fold, grade subset, method) cell, all
-    resampled in one plan keyed by (fold, subset)."""
-    f = _graded_folds(spark, sf)
+    cells of a method resampled in one plan keyed by (fold, subset)."""
+    # written once: every method reads the rows, their counts and their places
+    f = reliable_checkpoint(_graded_folds(spark, sf), cache=False)
     train = f.withColumn("cell_fold", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)),
                                                          lambda x: x != F.col("fold"))))
     train = _fas(train.drop("fold").withColumnRenamed("cell_fold", "fold"))
-    parts = [R.resample(train, m, keys=["fold", "subset_id"]).withColumn("method", F.lit(m))
-             for m in _GRID_METHODS]
-    allr = parts[0]
-    for p in parts[1:]:
-        allr = allr.unionByName(p)
-    return allr.groupBy("fold", "subset_id", "method", "label").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("draw").isNotNull()).alias("n_added"))
+
+    def sizes(method: str) -> DataFrame:
+        """A row per cell and class, staged: one plan a method, not all methods in one."""
+        rows = R.resample(train, method, keys=["fold", "subset_id"]).withColumn("method", F.lit(method))
+        return reliable_checkpoint(rows.groupBy("fold", "subset_id", "method", "label").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("draw").isNotNull()).alias("n_added")), cache=False)
+
+    return reduce(lambda a, b: a.unionByName(b), [sizes(m) for m in _GRID_METHODS])
 
 
 _GRID_ROWS = ("fold", "index", "sampling", "minority_types", "clusters", "cutoff", "n_train", "n_test",
