@@ -28,7 +28,7 @@ from stratum.operators.common import dense_positions, join_small
 from stratum.operators.folds import assign_folds
 from stratum.operators.box_search import knn_boxes_by
 from stratum.operators.knn import blocked_neighbours, few_features, parallel_split
-from stratum.operators.metrics import METRIC_NAMES, evaluate
+from stratum.operators.metrics import METRIC_NAMES, class_rates, confusion, metrics
 from stratum.operators.model import majority
 from stratum.operators.resample import METHODS, draw_table
 from stratum.operators.subsets import filter_all_subsets, subsets_table
@@ -207,10 +207,16 @@ def vote_grid_metrics(minority: DataFrame, methods: Sequence[str] = METHODS, k:
                         F.slice(F.sort_array(F.concat("near", "found")), 1, k)))
         return _votes(rows.withColumn("method_id", F.lit(number)), "near")
 
-    pred = reduce(lambda a, b: a.unionByName(b), [votes(m, i) for i, m in enumerate(methods)])
     per_fold = N_SUBSETS * len(methods)
     cell = F.col("fold") * per_fold + F.col("method_id") * N_SUBSETS + F.col("subset_id")
-    met = evaluate(pred.select(cell.cast("int").alias("cell"), "label", "prediction"), ["cell"])
+
+    def counted(method: str, number: int) -> DataFrame:
+        """A method's confusion counts, written out: its plan is done before the next one's begins."""
+        pred = votes(method, number).select(cell.cast("int").alias("cell"), "label", "prediction")
+        return reliable_checkpoint(confusion(pred, ["cell"]), cache=False)
+
+    conf = reduce(lambda a, b: a.unionByName(b), [counted(m, i) for i, m in enumerate(methods)])
+    met = metrics(class_rates(conf, ["cell"]), ["cell"])
     names = F.array(*[F.lit(m) for m in methods])
     # the whole grid: num_splits x methods x 15 rows; a cell without training or test rows
     # keeps its number and says so
