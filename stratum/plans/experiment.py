@@ -190,11 +190,11 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
                                 chosen = chosen.select("label", "features").unionByName(extra.select("label", "features"))
                             cells.append((method, types, k, cutoff, chosen, n))
             else:
-                # every requested subset of this fold resampled in one keyed plan
-                keyed = resample(filter_all_subsets(train)
-                                 .where(F.col("subset_id").isin(subset_ids)),
-                                 method, seed, keys=["subset_id"]) \
-                    .persist(StorageLevel.MEMORY_AND_DISK)
+                # every requested subset of this fold resampled in one keyed plan, written out:
+                # the plan of each fit then starts from a scan, it does not carry the resampling
+                keyed = reliable_checkpoint(resample(filter_all_subsets(train)
+                                                     .where(F.col("subset_id").isin(subset_ids)),
+                                                     method, seed, keys=["subset_id"]))
                 cached.append(keyed)
                 sizes = {r[0]: r[1] for r in keyed.groupBy("subset_id").count().collect()}
                 cells += [(method, types, None, None, keyed.where(F.col("subset_id") == sid).drop("subset_id"),
