@@ -48,14 +48,19 @@ BOX_MIN_ROWS, BOX_FEATURES = 65_536, 8
 
 # ----------------------------------------------------------------- block kernel
 
+#: Block groups of a kernel task, where there are more than the session's partitions.
+TASK_GROUPS, MOST_TASKS = 4, 8192
+
+
 def _kernel_partitions(df: DataFrame, groups: int | None = None) -> int:
     """Partitions for a CPU-heavy cogroup stage: enough for every core, never more than the
-    number of block groups when that is known. Fixed by an explicit repartition so AQE does
-    not coalesce a small-but-expensive stage into one task."""
+    number of block groups when that is known; a task has few of them, so its length does not grow
+    with the rows. Fixed by an explicit repartition so AQE does not coalesce a
+    small-but-expensive stage into one task."""
     sess = df.sparkSession
     n = max(sess.sparkContext.defaultParallelism,
             int(sess.conf.get("spark.sql.shuffle.partitions", "8")))
-    return max(1, min(n, groups)) if groups else n
+    return max(1, min(max(n, min(math.ceil(groups / TASK_GROUPS), MOST_TASKS)), groups)) if groups else n
 
 
 def _cogroup(q: DataFrame, d: DataFrame, keys, fn, schema, parts: int) -> DataFrame:
@@ -71,10 +76,14 @@ def _matrix(features: pd.Series) -> np.ndarray:
     return x
 
 
-#: Pairs that a kernel holds at once, and columns that one running minimum stands for.
-TILE_PAIRS, MINIMUM_OF = 1 << 21, 64
+#: Pairs that a kernel holds at once, queries and columns of a tile, and most columns that one minimum stands for.
+TILE_PAIRS, TILE_ROWS, TILE_COLUMNS, MINIMUM_OF = 1 << 21, 256, 1024, 64
+#: Features from which single precision is tried, and pairs a neighbour that it may leave.
+SINGLE_WIDTH, MOST_PAIRS = 16, 8
 #: Pairs of a tile that distances are summed by.
 SUM_PAIRS = 1 << 16
+#: Squared distances below this share of the squared norms are not left to the matrix product.
+SMALL_D2 = 1e-8
 
 
 def _exact_d2(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -87,41 +96,126 @@ def _exact_d2(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.
     return d2
 
 
+def _distance_sums(qx: np.ndarray, dx: np.ndarray) -> np.ndarray:
+    """Of every row of ``qx`` the sum of its distances to the rows of ``dx``, by tiles that stay in
+    a core's cache.
+
+    One matrix product gives a tile's squared distances from the rows' middle. Where they are so
+    small that rounding counts, or overflow, they are summed feature by feature."""
+    middle = dx.mean(axis=0)
+    q, d = qx - middle, dx - middle
+    q_norms, d_norms = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", d, d)
+    exact = not np.isfinite(q_norms.max() + d_norms.max())
+    left = np.column_stack([-2.0 * q, q_norms, np.ones(len(q))])
+    right = np.ascontiguousarray(np.vstack([d.T, np.ones(len(d)), d_norms]))
+    small = SMALL_D2 * (q_norms + d_norms.max())
+    step, s, every = max(1, SUM_PAIRS // len(dx)), np.zeros(len(qx)), np.arange(len(dx))
+    for i in range(0, len(qx), step):
+        rows = np.arange(i, min(i + step, len(qx)))
+        if exact:
+            d2 = _exact_d2(qx, dx, np.repeat(rows, len(dx)), np.tile(every, len(rows))).reshape(len(rows), -1)
+        else:
+            d2 = left[rows] @ right
+            least = d2.min(axis=1) <= small[rows]
+            if least.any():
+                r, c = np.nonzero(d2 <= np.where(least, small[rows], -np.inf)[:, None])
+                d2[r, c] = _exact_d2(qx, dx, i + r, c)
+        s[rows] = np.sqrt(d2, out=d2).sum(axis=1)
+    return s
+
+
 def _near_pairs(qx: np.ndarray, dx: np.ndarray, k: int, own):
     """Pairs (row, column, squared distance) among which are every query's k nearest, by tiles of
     queries. ``own(i, j)`` lists the pairs of queries i to j that do not count, as (rows, columns).
 
-    One matrix product estimates a tile's distances. The k-th least of minima over
-    separate columns bounds the k-th least distance; what lies below it, with room for the
-    estimate's rounding, is computed exactly."""
+    One matrix product estimates a tile's distances from the rows' middle. The k-th least of
+    minima over separate columns bounds the k-th least distance; what lies below it, with room
+    for the estimate's rounding, is computed exactly. Wide rows are estimated in single
+    precision until that leaves too many pairs."""
     n, width = dx.shape
-    norms = np.einsum("ij,ij->i", dx, dx)
-    room = 16 * (width + 8) * np.finfo(np.float64).eps
-    step = max(1, TILE_PAIRS // n)
-    for i in range(0, len(qx), step):
-        x = qx[i:i + step]
-        slack = room * (np.einsum("ij,ij->i", x, x) + norms.max()) + 1e-300
-        out = own(i, i + len(x))
-        if not np.isfinite(slack).all():  # squares overflow: every pair is computed
-            every = np.ones((len(x), n), dtype=bool)
-            every[out] = False
+    middle = dx.mean(axis=0)
+    q, d = qx - middle, dx - middle
+    q_norms, d_norms = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", d, d)
+    most = q_norms.max() + d_norms.max()
+    kinds = [t for t in (np.float32, np.float64) if most < np.finfo(t).max / 16 and (t is np.float64 or width >= SINGLE_WIDTH)]
+    made: dict = {}
+    i = 0
+    while i < len(qx):
+        j = min(i + TILE_ROWS, len(qx))
+        if not kinds:  # squares overflow: every pair is computed
+            j = min(i + max(1, TILE_PAIRS // n), len(qx))
+            every = np.ones((j - i, n), dtype=bool)
+            every[own(i, j)] = False
             r, c = np.nonzero(every)
         else:
-            est = x @ dx.T
-            est *= -2.0
-            est += norms
-            est[out] = np.inf
-            if n // MINIMUM_OF >= 2 * k:
-                m = n // MINIMUM_OF
-                least = est[:, :m * MINIMUM_OF].reshape(len(x), MINIMUM_OF, m).min(axis=1)
-            else:
-                least = est
-            kk = min(k, least.shape[1])
-            limit = np.partition(least, kk - 1, axis=1)[:, kk - 1] + slack
-            r, c = np.divmod(np.flatnonzero(est <= limit[:, None]), n)
-            counts = est[r, c] < np.inf
-            r, c = r[counts], c[counts]
-        yield i + r, c, _exact_d2(x, dx, r, c)
+            kind = kinds[0]
+            if kind not in made:
+                made[kind] = (np.column_stack([-2.0 * q, np.ones(len(q))]).astype(kind),
+                              np.ascontiguousarray(np.vstack([d.T, d_norms]).astype(kind)))
+            left, right = made[kind]
+            room = 16 * (width + 8) * float(np.finfo(kind).eps)
+            slack = (room * (q_norms[i:j] + d_norms.max()) + float(np.finfo(kind).tiny) * 64 * (width + 8)).astype(kind)
+            found = _below_bound(left[i:j], right, k, slack, own(i, j),
+                                 None if kind is np.float64 else (j - i) * MOST_PAIRS * k)
+            if found is None:
+                kinds.pop(0)
+                continue
+            r, c = found
+        yield i + r, c, _exact_d2(qx, dx, i + r, c)
+        i = j
+
+
+def _below_bound(left: np.ndarray, right: np.ndarray, k: int, slack: np.ndarray, out: tuple, most: int | None):
+    """Pairs of one tile whose estimate ``left @ right`` lies within the slack of the k-th least; None
+    beyond ``most`` pairs. Columns are taken in pieces that stay in a core's cache; the bound
+    of the pieces seen so far filters each. ``out``: the pairs that do not count."""
+    n = right.shape[1]
+    least = np.full((len(left), k), np.inf, dtype=left.dtype)
+    rows, cols, values, held = [], [], [], 0
+    out_r, out_c = out
+    if (out_c[1:] < out_c[:-1]).any():
+        order = np.argsort(out_c, kind="stable")
+        out_r, out_c = out_r[order], out_c[order]
+
+    def kept() -> tuple:
+        r, c, v = (np.concatenate(part) for part in (rows, cols, values))
+        near = v <= (least.max(axis=1) + slack)[r]
+        return r[near], c[near], v[near]
+
+    for a in range(0, n, TILE_COLUMNS):
+        b = min(a + TILE_COLUMNS, n)
+        est = left @ right[:, a:b]
+        some = slice(*np.searchsorted(out_c, (a, b)))
+        est[out_r[some], out_c[some] - a] = np.inf
+        minima, m = est, b - a
+        while m >= 4 * k and m > TILE_COLUMNS // MINIMUM_OF:  # halves laid on one another
+            m //= 2
+            minima = np.minimum(minima[:, :m], minima[:, m:2 * m])
+        least = np.partition(np.concatenate([least, minima], axis=1), k - 1, axis=1)[:, :k]
+        r, c = np.divmod(np.flatnonzero(est <= np.minimum(least.max(axis=1) + slack, np.finfo(left.dtype).max)[:, None]), b - a)
+        rows.append(r)
+        cols.append(a + c)
+        values.append(est[r, c])
+        held += len(r)
+        if held > TILE_PAIRS or b == n:  # the bound has come down: what lies above it goes
+            r, c, v = kept()
+            rows, cols, values, held = [r], [c], [v], len(r)
+            if most is not None and held > most:
+                return None
+    return rows[0], cols[0]
+
+
+def _first_of_places(x: np.ndarray, order: np.ndarray, part: np.ndarray | None, keep: int) -> np.ndarray:
+    """Of rows with equal features (and part) the first ``keep`` of ``order``: all others have as many
+    rows before them at the same distance from any query."""
+    rows = np.ascontiguousarray(x[order] + 0.0)
+    place = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_inverse=True)[1]
+    by = [place] if part is None else [part[order], place]
+    at = np.lexsort(by)
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = np.any([b[at][1:] != b[at][:-1] for b in by], axis=0)
+    number = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    return order[np.sort(at[number < keep])]
 
 
 def _block_topk(k: int, exclude_self: bool, skip_part: bool = False):
@@ -137,12 +231,17 @@ def _block_topk(k: int, exclude_self: bool, skip_part: bool = False):
         qi = q["q_index"].to_numpy(np.int64)
         di = d["index"].to_numpy(np.int64)
         dd = d["draw"].to_numpy(np.int64)
+        d_part = d["part"].to_numpy() if skip_part else None
+        copies = int(np.unique(di[dd == 0], return_counts=True)[1].max(initial=0)) if exclude_self else 0
+        # of rows at one place the first k are enough, beside the query's own
+        first = _first_of_places(dx, np.lexsort((dd, di, dd > 0)), d_part, k + copies)
+        dx, di, dd, d_label = dx[first], di[first], dd[first], d["label"].to_numpy(np.int32)[first]
         if exclude_self:
             plain = np.flatnonzero(dd == 0)
             plain = plain[np.argsort(di[plain], kind="stable")]
             low, high = (np.searchsorted(di[plain], qi, side=s) for s in ("left", "right"))
         if skip_part:
-            q_part, d_part = q["q_part"].to_numpy(), d["part"].to_numpy()
+            q_part, d_part = q["q_part"].to_numpy(), d_part[first]
 
         def own(i, j):
             rows, cols = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
@@ -152,7 +251,7 @@ def _block_topk(k: int, exclude_self: bool, skip_part: bool = False):
                     rows.append(r)
                     cols.append(plain[low[i:j][r] + at])
             if skip_part:
-                r, c = np.nonzero(q_part[i:j, None] == d_part[None, :])
+                c, r = np.nonzero(d_part[:, None] == q_part[None, i:j])
                 rows.append(r)
                 cols.append(c)
             return np.concatenate(rows), np.concatenate(cols)
@@ -173,7 +272,7 @@ def _block_topk(k: int, exclude_self: bool, skip_part: bool = False):
             "index": qi[r],
             "label": q["q_label"].to_numpy(np.int32)[r],
             "n_index": di[c],
-            "n_label": d["label"].to_numpy(np.int32)[c],
+            "n_label": d_label[c],
             "d2": dv,
             "n_draw": dd[c],
         })
@@ -239,9 +338,14 @@ def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_sel
 
     splits = dcnt.join(qcnt, "cell").select("cell", nsplit(F.col("_dn")).alias("_sd"),
                                             nsplit(F.col("_qn")).alias("_sq"))
-    if max_cells is not None and max_cells <= BROADCAST_MAX_ROWS:
-        splits = F.broadcast(splits)
-
+    parts = _kernel_partitions(data)
+    if max_cells is not None:
+        from stratum.session import reliable_checkpoint
+        splits = reliable_checkpoint(splits, cache=False)  # a row per cell, bounded
+        groups = splits.agg(F.sum(F.col("_sd").cast("long") * F.col("_sq"))).first()[0] or 1
+        parts = max(parts, _kernel_partitions(data, groups))
+        if max_cells <= BROADCAST_MAX_ROWS:
+            splits = F.broadcast(splits)
     d = (data.select(*d_cols)
          .join(splits, "cell")
          .withColumn("dsub", F.pmod(F.xxhash64("index", "draw"), F.col("_sd")).cast("int"))
@@ -252,8 +356,7 @@ def blocked_neighbours(query: DataFrame, data: DataFrame, k: int, *, exclude_sel
          .withColumn("qsub", F.pmod(F.xxhash64("q_index", F.lit(7)), F.col("_sq")).cast("int"))
          .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.col("_sd") - 1)))
          .drop("_sd", "_sq"))
-    return answer(_cogroup(q, d, keys, kernel, KERNEL_SCHEMA,
-                           _kernel_partitions(data)))
+    return answer(_cogroup(q, d, keys, kernel, KERNEL_SCHEMA, parts))
 
 
 def parallel_split(df: DataFrame) -> int:
@@ -331,21 +434,13 @@ def average_distance(data: DataFrame, group_col: str = "label", *,
         if q.empty or d.empty:
             return pd.DataFrame({"index": pd.Series(dtype="int64"),
                                  "s": pd.Series(dtype="float64")})
-        qx, dx = _matrix(q["q_features"]), _matrix(d["features"])
-        # tiles that stay in a core's cache
-        step, s, columns = max(1, SUM_PAIRS // len(dx)), np.zeros(len(qx)), np.ascontiguousarray(dx.T)
-        for i in range(0, len(qx), step):
-            dist = np.zeros((len(qx[i:i + step]), len(dx)))
-            diff = np.empty_like(dist)
-            for j in range(len(columns)):
-                np.subtract(qx[i:i + step, j, None], columns[None, j], out=diff)
-                np.multiply(diff, diff, out=diff)
-                dist += diff
-            s[i:i + step] = np.sqrt(dist, out=dist).sum(axis=1)
+        s = _distance_sums(_matrix(q["q_features"]), _matrix(d["features"]))
         return pd.DataFrame({"index": q["q_index"].to_numpy(np.int64), "s": s})
 
     base = data.select("index", "label", "features", F.col(group_col).alias("cell"))
     cnt = base.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
+    # about the block groups there are, if one group of rows holds most
+    groups = math.ceil(data.count() / block_rows) ** 2
     splits = cnt.select("cell", "_n",
                         F.greatest(F.ceil(F.col("_n") / block_rows), F.lit(1)).cast("int")
                         .alias("_s"))
@@ -360,7 +455,7 @@ def average_distance(data: DataFrame, group_col: str = "label", *,
                  F.col("qsub").alias("qsub"), F.col("index").alias("q_index"),
                  F.col("features").alias("q_features")))
     keys = ["cell", "dsub", "qsub"]
-    part = _cogroup(q, d, keys, run, schema, _kernel_partitions(data))
+    part = _cogroup(q, d, keys, run, schema, max(_kernel_partitions(data), _kernel_partitions(data, groups)))
     sums = part.groupBy("index").agg(F.sum("s").alias("s"))
     sizes = base.select("index", "label", "cell").join(cnt, "cell")
     return sizes.join(sums, "index").select(
