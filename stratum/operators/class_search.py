@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratum.operators.clusters import keyed_clusters
-from stratum.operators.knn import DEFAULT_BLOCK_ROWS, _centre_distances, _cogroup, _kernel_partitions, _matrix, blocked_neighbours
+from stratum.operators.knn import DEFAULT_BLOCK_ROWS, _centre_distances, _cogroup, _distance_sums, _kernel_partitions, _matrix, blocked_neighbours
 from stratum.session import reliable_checkpoint
 
 #: Most cells of a class; their numbers are held by every task.
@@ -142,7 +142,9 @@ def _block_sums(query: DataFrame, data: DataFrame, block_rows: int) -> DataFrame
     sizes = data.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("ds"))
     asked = query.select("index", "features", F.explode("probes").alias("cell"))
     splits = sizes.join(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("qs")), "cell")
-    splits = F.broadcast(splits)  # a row per cell
+    splits = reliable_checkpoint(splits, cache=False)  # a row per cell
+    groups = splits.agg(F.sum(F.col("ds").cast("long") * F.col("qs"))).first()[0] or 1
+    splits = F.broadcast(splits)
     d = (data.join(splits, "cell").withColumn("dsub", F.pmod(F.xxhash64("index"), F.col("ds")).cast("int"))
          .select("cell", "dsub", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qsub"), "features"))
     q = (asked.join(splits, "cell").withColumn("qsub", F.pmod(F.xxhash64("index", F.lit(7)), F.col("qs")).cast("int"))
@@ -151,9 +153,10 @@ def _block_sums(query: DataFrame, data: DataFrame, block_rows: int) -> DataFrame
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
             return pd.DataFrame({"index": pd.Series(dtype="int64"), "s": pd.Series(dtype="float64")})
-        return pd.DataFrame({"index": q["index"], "s": np.sqrt(_centre_distances(_matrix(q["q"]), _matrix(d["features"]))).sum(axis=1)})
+        return pd.DataFrame({"index": q["index"], "s": _distance_sums(_matrix(q["q"]), _matrix(d["features"]))})
 
-    part = _cogroup(q, d, ["cell", "dsub", "qsub"], run, "index long, s double", _kernel_partitions(data))
+    part = _cogroup(q, d, ["cell", "dsub", "qsub"], run, "index long, s double",
+                    max(_kernel_partitions(data), _kernel_partitions(data, groups)))
     return part.groupBy("index").agg(F.sum("s").alias("near"))
 
 
