@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratum.operators.knn import _centre_distances
 from stratum.operators.subsets import rows_of_class
 
+#: Distances to centres that a round's task holds at once.
+NEAREST_PAIRS = 1 << 15
+
 
 def class_clusters(minority: DataFrame, k: int, seed: int = 1, max_iter: int = 20,
                    parallel_fits: int = 4) -> DataFrame:
@@ -81,8 +85,8 @@ def keyed_clusters(rows: DataFrame, ks: Sequence[int], keys: Sequence[str] = (),
     width = len(starts[0]["features"])
 
     def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.argmin(((x[i:i + 2048, None, :] - c[None, :, :]) ** 2).sum(axis=2), axis=1)
-                               for i in range(0, len(x), 2048)])
+        step = max(1, NEAREST_PAIRS // len(c))  # distances that stay in a core's cache
+        return np.concatenate([np.argmin(_centre_distances(x[i:i + step], c), axis=1) for i in range(0, len(x), step)])
 
     def sums(shared):
         def run(batches):
@@ -92,8 +96,8 @@ def keyed_clusters(rows: DataFrame, ks: Sequence[int], keys: Sequence[str] = (),
                     x = np.stack(part["features"].to_numpy())
                     for k, c in shared.value[g].items():
                         own = nearest(x, c)
-                        add, n = np.zeros_like(c), np.bincount(own, minlength=len(c))
-                        np.add.at(add, own, x)
+                        n = np.bincount(own, minlength=len(c))
+                        add = np.column_stack([np.bincount(own, column, minlength=len(c)) for column in x.T])
                         old = total.get((g, k))
                         total[g, k] = (add, n) if old is None else (old[0] + add, old[1] + n)
             out = [(g, k, j, int(n[j]), *map(float, add[j])) for (g, k), (add, n) in total.items() for j in np.flatnonzero(n)]
