@@ -24,6 +24,15 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     return big.join(side, on=on, how=how)
 
 
+def join_rows(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join of two tables that both grow with the rows, never broadcast.
+
+    Spark takes the size of an exploded table for that of the rows it was exploded from, so
+    draws made from a table of class counts look like a few KB; adaptive execution sees
+    better but keeps a planned broadcast, since the merge costs it an exchange more."""
+    return left.hint("merge").join(right, on, how)
+
+
 def default_buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 

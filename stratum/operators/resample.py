@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.exprs import DRAW_DIGITS, draw_position, hash_number
 from stratum.operators.aggregates import counts_with_targets, mean_of_arrays
-from stratum.operators.common import BROADCAST_MAX_ROWS, default_buckets, dense_positions, join_small
+from stratum.operators.common import BROADCAST_MAX_ROWS, default_buckets, dense_positions, join_rows, join_small
 from stratum.operators.subsets import filter_types
 from stratum.session import reliable_checkpoint
 
@@ -74,13 +74,14 @@ def draw_table(need: DataFrame, count_col: str = "m", chunk: int = DRAW_CHUNK) -
     """Rows ``(<need columns>, s)`` with ``s = 1..m`` per row of ``need``.
 
     First explode into chunks of ``chunk`` draws (m/chunk rows), spread those over the
-    cluster, then explode each chunk; no task generates more than ``chunk`` draws.
+    cluster, then explode each chunk. All columns of ``need`` tell chunks apart, so the cells
+    of a grid do not meet in the task of their label.
     """
     m = F.col(count_col).cast("long")
     nchunks = F.floor((m + F.lit(chunk - 1)) / F.lit(chunk)).cast("long")
     ch = need.where(m > 0).withColumn("_ch", F.explode(F.sequence(F.lit(0).cast("long"),
                                                                   nchunks - 1)))
-    ch = ch.repartition(default_buckets(need), *[c for c in need.columns if c == "label"], "_ch")
+    ch = ch.repartition(default_buckets(need), *need.columns, "_ch")
     lo = F.col("_ch") * F.lit(chunk) + 1
     hi = F.least((F.col("_ch") + 1) * F.lit(chunk), m)
     return ch.withColumn("s", F.explode(F.sequence(lo, hi))).drop("_ch")
@@ -139,8 +140,7 @@ def oversample(df: DataFrame, seed: int = 42, keys=()) -> DataFrame:
         .withColumn("_salt", F.pmod(F.col("s"), F.col("_r")).cast("int"))
     numbered = _salted(dense_positions(_in_need(df, need, [*k, "label"]), "index", [*k, "label"]),
                        [*k, "label"])
-    copies = draws.select(*k, "label", "pos", "s", "_salt") \
-        .join(numbered, [*k, "label", "pos", "_salt"])
+    copies = join_rows(draws.select(*k, "label", "pos", "s", "_salt"), numbered, [*k, "label", "pos", "_salt"])
     mt = F.col("minority_type") if "minority_type" in df.columns else F.lit(-1)
     added = copies.select(*k, F.col("index").cast("long"), F.col("label").cast("int"),
                           mt.cast("int").alias("minority_type"), "features",
@@ -169,7 +169,7 @@ def smote_rows(df: DataFrame, seed: int = 42, draws_per_row: int = 5, keys=()) -
     numbered = _salted(dense_positions(
         _in_need(df.select(*k, "index", "label", "features"), need, [*k, "label"]), "index",
         [*k, "label"]), [*k, "label"])
-    hit = dj.join(numbered, [*k, "label", "pos", "_salt"])
+    hit = join_rows(dj, numbered, [*k, "label", "pos", "_salt"])
     grp = hit.groupBy(*k, "label", "s").agg(
         F.array_distinct(F.array_sort(F.collect_list(F.struct("pos", "features")))).alias("_h"))
     mean = mean_of_arrays(F.transform("_h", lambda x: x["features"]))
@@ -206,29 +206,28 @@ def smote_plus_rows(selected: DataFrame | None, pool: DataFrame, draws_per_row:
         need = c.where(F.col("n") < target).select(*by, (target - F.col("n")).alias("m"))
     per_row = F.lit(draws_per_row) if isinstance(draws_per_row, int) else draws_per_row
     sizes = pool.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("size"))
-    # one row per (key, class, cluster): bounded by the grid, the classes and k
+    # one row per (key, class, cluster): bounded by the grid, the classes and k; written out, as
+    # the draws meet it and the pool's rows do
     ranks = sizes.select(
         *by, "cluster", "size",
         (F.dense_rank().over(Window.partitionBy(*by).orderBy("cluster")) - 1).alias("crank"),
         F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("ncl"))
-    ncl = ranks.select(*by, "ncl").distinct()
-    draws = draw_table(need.join(ncl, by))
-    picks = draws.withColumn("crank", draw_position(F.col("ncl"), seed, "label", "s")) \
-        .join(ranks.drop("ncl"), [*by, "crank"])
     # salt per (class, cluster): expected draws into a cluster ~ m * draws / ncl
-    fac = ranks.join(need, by).select(
-        *by, "cluster",
-        _salt_factor(F.col("size"), F.col("m") * per_row / F.col("ncl")).alias("_r"))
-    dj = picks.select(*by, "cluster", "size", "s",
+    ranks = reliable_checkpoint(ranks.join(need, by).withColumn(
+        "_r", _salt_factor(F.col("size"), F.col("m") * per_row / F.col("ncl"))), cache=False)
+    draws = draw_table(ranks.select(*by, "m", "ncl").distinct())
+    picks = join_small(draws.withColumn("crank", draw_position(F.col("ncl"), seed, "label", "s")),
+                       ranks.select(*by, "cluster", "size", "crank", "_r"), [*by, "crank"])
+    dj = picks.select(*by, "cluster", "size", "s", "_r",
                       F.explode(F.sequence(F.lit(1), per_row)).alias("j"))
-    dj = dj.join(fac, [*by, "cluster"]).select(
+    dj = dj.select(
         *by, "cluster", "s", "j",
         draw_position(F.col("size"), seed, "label", "s", "j").alias("pos"),
         F.pmod(F.col("s"), F.col("_r")).cast("int").alias("_salt"))
     numbered = _salted(dense_positions(
-        _in_need(pool.select(*by, "cluster", "index", "features"), fac, [*by, "cluster"]),
+        _in_need(pool.select(*by, "cluster", "index", "features"), ranks, [*by, "cluster"]),
         "index", [*by, "cluster"]), [*by, "cluster"])
-    hit = dj.join(numbered, [*by, "cluster", "pos", "_salt"])
+    hit = join_rows(dj, numbered, [*by, "cluster", "pos", "_salt"])
     grp = hit.groupBy(*by, "s").agg(
         F.array_sort(F.collect_list(F.struct("j", "features"))).alias("_h"))
     mean = mean_of_arrays(F.transform("_h", lambda x: x["features"]))
