@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.exprs import draw_position, hash_number
 from stratum.operators.aggregates import mean_of_arrays
-from stratum.operators.common import dense_positions, join_small
+from stratum.operators.common import dense_positions, join_rows, join_small
 from stratum.operators.folds import assign_folds
 from stratum.operators.box_search import knn_boxes_by
 from stratum.operators.knn import blocked_neighbours, few_features, parallel_split
@@ -114,16 +114,16 @@ def copy_counts(numbered: DataFrame, counts: DataFrame, seed: int) -> DataFrame:
     need = counts.where("n < max_n").select(*CELL, "label", "n", (F.col("max_n") - F.col("n")).alias("m"))
     drawn = draw_table(need).groupBy(*CELL, "label", draw_position(F.col("n"), seed, "label", "s").alias("pos")) \
         .agg(F.count(F.lit(1)).alias("copies"))
-    return drawn.join(numbered, [*CELL, "label", "pos"]).select(*CELL, F.col("index").alias("n_index"), "copies")
+    return join_rows(drawn, numbered, [*CELL, "label", "pos"]).select(*CELL, F.col("index").alias("n_index"), "copies")
 
 
 def synthetic_rows(numbered: DataFrame, folded: DataFrame, counts: DataFrame, seed: int, draws_per_row: int = 5) -> DataFrame:
     """``fold, subset_id, label, draw, features``: the SMOTE rows of every cell."""
     target = F.floor(F.col("max_n") / 2)
     need = counts.where(F.col("n") < target).select(*CELL, "label", "n", (target - F.col("n")).alias("m"))
-    drawn = draw_table(need).select(*CELL, "label", "n", "s", F.explode(F.sequence(F.lit(1), F.lit(draws_per_row))).alias("j"))
-    hit = drawn.select(*CELL, "label", "s", draw_position(F.col("n"), seed, "label", "s", "j").alias("pos")).distinct()
-    rows = hit.join(numbered, [*CELL, "label", "pos"]).join(folded.select("index", "features"), "index")
+    places = F.array(*[draw_position(F.col("n"), seed, "label", "s", F.lit(j)) for j in range(1, draws_per_row + 1)])
+    hit = draw_table(need).select(*CELL, "label", "s", F.explode(F.array_distinct(places)).alias("pos"))
+    rows = join_rows(hit, numbered, [*CELL, "label", "pos"]).join(folded.select("index", "features"), "index")
     made = rows.groupBy(*CELL, "label", "s").agg(F.array_sort(F.collect_list(F.struct("pos", "features"))).alias("hit"))
     return made.select(*CELL, "label", F.col("s").cast("long").alias("draw"),
                        mean_of_arrays(F.transform("hit", lambda x: x["features"])).alias("features"))
@@ -193,7 +193,7 @@ def vote_grid_metrics(minority: DataFrame, methods: Sequence[str] = METHODS, k:
             rows = plain
         elif method == "oversample":
             each = plain.select("*", F.explode("near").alias("c")).withColumn("n_index", F.col("c.n_index"))
-            each = each.join(copy_counts(numbered, counts, seed), [*CELL, "n_index"], "left")
+            each = join_rows(each, copy_counts(numbered, counts, seed), [*CELL, "n_index"], "left")
             times = F.least(F.coalesce("copies", F.lit(0)) + 1, F.lit(k)).cast("int")
             rows = each.groupBy("index", "label", *CELL).agg(F.sort_array(F.collect_list(F.struct("c", times.alias("times")))).alias("l")) \
                 .withColumn("near", F.slice(F.flatten(F.transform("l", lambda x: F.array_repeat(x["c"], x["times"]))), 1, k))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.operators import resample as R
+from stratum.plans import vote_grid as V
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +42,14 @@ def test_resampling_broadcasts_no_draws(rows, make):
     assert not broadcast_draws(df)
 
 
+def test_vote_grid_broadcasts_no_draws(rows):
+    counts = V.reliable_checkpoint(V.training_counts(rows, 5))
+    ids = rows.select("index", "label", "minority_type", "fold")
+    numbered = V.reliable_checkpoint(V._numbered(ids, counts.where("n < max_n"), 5), cache=False)
+    for df in (V.copy_counts(numbered, counts, 42), V.synthetic_rows(numbered, rows, counts, 42)):
+        assert df.count() and not broadcast_draws(df)
+
+
 def test_cells_are_drawn_apart(spark):
     need = spark.createDataFrame([(f, s, 1, 7, 50) for f in range(5) for s in range(15)], "fold int, subset_id int, label int, n int, m long")
     by_task = R.draw_table(need).groupBy(F.spark_partition_id()).count().collect()
