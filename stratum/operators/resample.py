@@ -215,7 +215,8 @@ def smote_plus_rows(selected: DataFrame | None, pool: DataFrame, draws_per_row:
     # salt per (class, cluster): expected draws into a cluster ~ m * draws / ncl
     ranks = reliable_checkpoint(ranks.join(need, by).withColumn(
         "_r", _salt_factor(F.col("size"), F.col("m") * per_row / F.col("ncl"))), cache=False)
-    draws = draw_table(ranks.select(*by, "m", "ncl").distinct())
+    # a draw becomes several rows below: smaller chunks
+    draws = draw_table(ranks.select(*by, "m", "ncl").distinct(), chunk=DRAW_CHUNK // 10)
     picks = join_small(draws.withColumn("crank", draw_position(F.col("ncl"), seed, "label", "s")),
                        ranks.select(*by, "cluster", "size", "crank", "_r"), [*by, "crank"])
     dj = picks.select(*by, "cluster", "size", "s", "_r",

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratum.operators.clusters import keyed_clusters
+from stratum.operators.common import default_buckets
 from stratum.operators.folds import assign_folds, fold_split
 from stratum.operators.metrics import METRIC_NAMES, class_rates, confusion, metrics
 from stratum.operators.model import random_forest_predict
@@ -39,15 +40,19 @@ def _types_text(types: Sequence[int]) -> str:
     return "[" + " ".join(str(t) for t in types) + "]"
 
 
-# Training rows per partition of a model fit: a fit runs a dozen small jobs over its
-# training rows, whose tasks should not outnumber the work.
+# Rows per partition of a model fit: a fit runs a dozen small jobs over its training rows and one
+# over the test rows, whose tasks should not outnumber the work (the driver keeps each one's figures).
 FIT_ROWS = 50_000
 
 
+def _parts(n_rows: int) -> int:
+    return max(1, -(-n_rows // FIT_ROWS))
+
+
 def _fit_confusion(train: DataFrame, test: DataFrame, n_train: int, num_trees: int, seed: int,
                    num_classes: int | None) -> list[tuple]:
     """Fit one forest on a persisted training slice; the confusion of its predictions, a few rows."""
-    train = train.coalesce(-(-n_train // FIT_ROWS)).persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.coalesce(_parts(n_train)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         pred = random_forest_predict(train, test, num_trees, seed, num_classes)
         return [tuple(r) for r in confusion(pred).collect()]
@@ -104,8 +109,10 @@ def _plus_cells(train: DataFrame, fold_ids, subsets, cluster_ks, cutoffs, pool:
                                      "fold int, k int, cell int, label int, cluster int, types array<int>")
         rows = clustered.join(F.broadcast(kept), ["fold", "k", "label", "cluster"]).where(F.array_contains("types", F.col("minority_type")))
     keys = ["fold", "k", "cell"]
-    made = reliable_checkpoint(smote_plus_rows(None, rows.select(*keys, "label", "cluster", "index", "features"), F.col("k"),
-                                               seed, keys, need))
+    made = smote_plus_rows(None, rows.select(*keys, "label", "cluster", "index", "features"), F.col("k"), seed, keys, need)
+    # laid out as the cells read them: a fit skips the cached batches of other folds and ks
+    order = [*keys, "label", F.floor(F.col("draw") / FIT_ROWS)]
+    made = reliable_checkpoint(made.repartition(default_buckets(made), *order).sortWithinPartitions(*keys, "label", "draw"))
 
     def cell(fold: int, types, k: int, cutoff: float):
         n, new, kept = targets[fold, k, tuple(types), cutoff]
@@ -173,8 +180,11 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
             train, test = regrade(train, test)
         train, test = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in (train, test))
         n_test = test.count()
-        cells = []  # (method, types, clusters, cutoff, train slice, its rows or None when empty)
         cached = [train, test]
+        # every fit of the fold predicts these rows: few tasks each time, whatever wrote them
+        test = test.coalesce(_parts(n_test)).persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(test)
+        cells = []  # (method, types, clusters, cutoff, train slice, its rows or None when empty)
         for method in methods:
             if method == "smotePlus":
                 mine = plus or _plus_cells(train.withColumn("fold", F.lit(int(f))), [f], subsets, cluster_ks, cutoffs, pool,

@@ -35,3 +35,16 @@ def test_forest_fits_start_from_a_scan(spark, minority, monkeypatch):
     monkeypatch.setattr(E, "_fit_confusion", lambda train, *a: seen.append(plan(train)) or [])
     E.run_experiment(minority, methods=("oversample",), subsets=[[0, 1, 2, 3]], num_splits=2)
     assert seen and all(p.count("Exchange") == 0 for p in seen)
+
+
+def test_forest_predictions_take_few_tasks(spark, minority, monkeypatch):
+    seen = []
+    monkeypatch.setattr(E, "_fit_confusion", lambda train, test, *a: seen.append((test.rdd.getNumPartitions(), test.count())) or [])
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        E.run_experiment(minority, methods=("none",), subsets=[[0, 1, 2, 3]], num_splits=2)
+    finally:
+        spark.conf.set(coalesce, old)
+    assert seen == [(1, 70), (1, 70)]
