@@ -25,7 +25,7 @@ from stratum.operators.metrics import METRIC_NAMES, class_rates, confusion, metr
 from stratum.operators.model import random_forest_predict
 from stratum.operators.resample import resample, smote_plus_rows
 from stratum.operators.subsets import filter_all_subsets, filter_types, subset_list
-from stratum.session import reliable_checkpoint
+from stratum.session import collect_garbage, reliable_checkpoint
 
 RESULT_SCHEMA = T.StructType(
     [T.StructField("fold", T.IntegerType()), T.StructField("index", T.IntegerType()),
@@ -43,6 +43,8 @@ def _types_text(types: Sequence[int]) -> str:
 # Rows per partition of a model fit: a fit runs a dozen small jobs over its training rows and one
 # over the test rows, whose tasks should not outnumber the work (the driver keeps each one's figures).
 FIT_ROWS = 50_000
+#: Fits after which the driver's garbage is collected: each leaves a model, its summary and some plans.
+FITS_KEPT = 10
 
 
 def _parts(n_rows: int) -> int:
@@ -212,6 +214,8 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
 
         def run(i_cell, test=test, n_test=n_test):
             i, cell = i_cell
+            if i % FITS_KEPT == FITS_KEPT - 1:
+                collect_garbage(spark)
             if not cell[5] or not n_test:
                 return []
             return [(i, *row) for row in _fit_confusion(cell[4], test, cell[5], num_trees, seed, num_classes)]
@@ -228,6 +232,9 @@ def run_experiment(minority: DataFrame, methods: Sequence[str] = ("none", "under
                         sc["n_classes_scored"] if sc else None, "ok" if sc else "empty_class"))
         for c in cached:
             c.unpersist()
+        cells.clear()
+        cached.clear()
+        collect_garbage(spark)  # the fold's tables go before the next one's are made
     for c in [with_folds, *(plus[0] if plus else ())]:
         c.unpersist()
     # one row per experiment cell: tiny, built from the collected metrics rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -87,3 +88,11 @@ def reliable_checkpoint(df: DataFrame, cache: bool = True) -> DataFrame:
     finally:
         df.unpersist()
     return cp.persist(StorageLevel.MEMORY_AND_DISK) if cache else cp
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Collect the driver's garbage. Spark drops the shuffles, broadcasts and plans that nothing
+    refers to any more only then, and a driver that runs hundreds of small jobs grows to its
+    largest heap before it collects by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

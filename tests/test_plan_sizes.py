@@ -48,3 +48,12 @@ def test_forest_predictions_take_few_tasks(spark, minority, monkeypatch):
     finally:
         spark.conf.set(coalesce, old)
     assert seen == [(1, 70), (1, 70)]
+
+
+def test_forest_grid_collects_garbage(minority, monkeypatch):
+    seen = []
+    monkeypatch.setattr(E, "_fit_confusion", lambda *a: seen.append("fit") or [])
+    monkeypatch.setattr(E, "collect_garbage", lambda spark: seen.append("collected"))
+    monkeypatch.setattr(E, "FITS_KEPT", 2)
+    E.run_experiment(minority, methods=("none",), subsets=[[0, 1, 2, 3], [0], [1]], num_splits=2, parallel_fits=1)
+    assert seen == ["fit", "collected", "fit", "fit", "collected"] * 2
